@@ -42,18 +42,19 @@ def performance(returns: DataFrame, strategies: Mapping[str, str], periods_per_y
     for c in columns:
         aggs += [
             F.count(c).alias(f"n_{c}"),
-            (F.product(F.lit(1.0) + F.col(c)) - F.lit(1.0)).alias(f"total_{c}"),
+            F.product(F.lit(1.0) + F.col(c)).alias(f"growth_{c}"),
             (F.stddev_samp(c) * F.sqrt(ppy)).alias(f"vol_{c}"),
             F.min(f"dd_{c}").alias(f"dd_{c}"),
         ]
     per_key = curves.groupBy(*s.keys).agg(*aggs)
     rows = []
     for c, name in strategies.items():
-        total, vol = F.col(f"total_{c}"), F.col(f"vol_{c}")
-        annual = F.when(total > -1.0, F.pow(F.lit(1.0) + total, ppy / F.col(f"n_{c}")) - F.lit(1.0)).when(
-            total == -1.0, F.lit(-1.0))
+        final, vol = F.col(f"growth_{c}"), F.col(f"vol_{c}")
+        # a series that lost more than everything has no geometric mean
+        annual = F.when(final >= 0, F.pow(final, ppy / F.col(f"n_{c}")) - F.lit(1.0))
         rows.append(F.struct(
-            F.lit(name).alias("strategy"), F.col(f"n_{c}").alias("periods"), total.alias("total_return"),
+            F.lit(name).alias("strategy"), F.col(f"n_{c}").alias("periods"),
+            (final - F.lit(1.0)).alias("total_return"),
             annual.alias("annualized_return"), vol.alias("annualized_vol"),
             F.when(vol > 0, annual / vol).alias("sharpe"), F.col(f"dd_{c}").alias("max_drawdown"),
         ))
@@ -151,7 +152,7 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
                  F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), quart[c].alias(f"q_{c}")]
     wide = df.groupBy(*by).agg(*aggs)
     rows = [F.struct(
-        F.lit(c).alias("column"), F.col(f"n_{c}").alias("count"), F.col(f"mean_{c}").alias("mean"),
+        F.lit(c).alias("field"), F.col(f"n_{c}").alias("count"), F.col(f"mean_{c}").alias("mean"),
         F.col(f"std_{c}").alias("std"), F.col(f"min_{c}").alias("min"),
         F.col(f"q_{c}")[0].alias("p25"), F.col(f"q_{c}")[1].alias("p50"), F.col(f"q_{c}")[2].alias("p75"),
         F.col(f"max_{c}").alias("max")) for c in columns]
