@@ -139,28 +139,18 @@ def up_day_share(df: DataFrame, month: Column, ret: str = "daily_return",
         "month_pos_frac", F.avg(up).over(Window.partitionBy(*keys, "_month"))).drop("_month")
 
 
-def widen_quotes(quotes: DataFrame, tickers: dict[str, str], field: str = "adj_close") -> DataFrame:
+def widen_quotes(quotes: DataFrame, tickers: dict[str, str], field: str = "adj_close",
+                 keys: Sequence[str] = ()) -> DataFrame:
     """One field of a tidy multi-ticker table as one column per ticker, carried forward by date.
 
-    ``tickers`` maps the quoted name to the output column. A wide macro table has one row per day; the
-    carry runs inside each year, and a year starts from the last values of the years before.
+    ``tickers`` maps the quoted name to the output column. The pivot is a conditional aggregation on
+    (keys, day); after it a market has one row per day, so the carry sees at most 366 rows per year.
     """
-    wide = (
-        quotes.filter(F.col("field") == field)
-        .groupBy("d").pivot("ticker", list(tickers)).agg(F.first("value"))
-        .withColumnsRenamed(tickers)
-    )
-    names = list(tickers.values())
-    in_year = Series(("_year",), "d")
-    keyed = wide.withColumn("_year", F.year("d"))
-    closings = keyed.groupBy("_year").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("d"))).alias(c) for c in names])
-    one = Series(("_one",), "_year")
-    carried = closings.withColumn("_one", F.lit(0)).select(
-        "_year", *[F.last(c, ignorenulls=True).over(one.before).alias(f"_from_{c}") for c in names])
-    local = keyed.withColumns({c: ffill(c, in_year) for c in names})
-    return local.join(carried, "_year").select(
-        "d", *[F.coalesce(c, f"_from_{c}").alias(c) for c in names])
+    wide = quotes.filter(F.col("field") == field).groupBy(*keys, "d").agg(
+        *[F.max(F.when(F.col("ticker") == t, F.col("value"))).alias(name) for t, name in tickers.items()])
+    market = Series((*keys, "_market"), "d")
+    carried = wide.withColumn("_market", F.lit(0)).withColumns({c: ffill(c, market) for c in tickers.values()})
+    return carried.drop("_market")
 
 
 def align_macro(df: DataFrame, macro: DataFrame, columns: Sequence[str], s: Series = DAILY) -> DataFrame:

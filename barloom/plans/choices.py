@@ -20,9 +20,9 @@ from barloom.operators.strategies import (
 )
 from barloom.plans import sql_parts as q
 from barloom.plans.registry import Shape, query
-from barloom.session import scratch_path
+from barloom.session import scratch_path, settle
 from barloom.sources import files
-from barloom.sources.bars import between_days, brand_bars, segment_bars
+from barloom.sources.bars import between_days, brand_bars, segment_bars, settled_bars
 from barloom.sources.checks import complete_rows, numeric_features
 
 NAMES = {"bh": BH, "mom": MOM, "mr": MR}
@@ -31,11 +31,19 @@ WITH_ML = {"bh": BH, "mom": MOM, "mr": MR, "ml": "ML Adaptive", "oracle": "Oracl
 
 
 def month_rules(spark, sf_dir):
-    return monthly_rules(period_returns(segment_bars(spark, sf_dir)))
+    return rules_of(segment_bars(spark, sf_dir))
 
 
 def week_rules(spark, sf_dir):
-    return weekly_rules(period_returns(segment_bars(spark, sf_dir), "week"))
+    return week_rules_of(segment_bars(spark, sf_dir))
+
+
+def rules_of(bars):
+    return monthly_rules(period_returns(bars))
+
+
+def week_rules_of(bars):
+    return weekly_rules(period_returns(bars, "week"))
 
 
 def last_choice(rules):
@@ -43,10 +51,13 @@ def last_choice(rules):
     return label_same_period(rules).withColumn("choice", lag("best_strategy", PERIODIC))
 
 
-def monthly_dataset(spark, sf_dir, bars=segment_bars):
+def monthly_dataset(spark, sf_dir):
+    return monthly_dataset_of(segment_bars(spark, sf_dir))
+
+
+def monthly_dataset_of(bars):
     """Monthly return features with the next month's winner, complete rows only."""
-    rules = monthly_rules(period_returns(bars(spark, sf_dir)))
-    data = label_next_period(monthly_return_features(rules))
+    data = label_next_period(monthly_return_features(rules_of(bars)))
     return data.dropna("any", subset=["ret_1m", "ret_3m", "ret_6m", "vol_3m", "vol_6m", "best_strategy"])
 
 
@@ -135,7 +146,7 @@ def label_broadcast_daily(spark, sf_dir):
 
 
 def labelled_daily(bars):
-    daily = equity_features(bars)
+    daily = settle(equity_features(bars))
     rules = monthly_rules(period_returns(daily), drop_first=False)
     return broadcast_label(daily, label_next_period(rules, SNAKE_LABELS), month_end("d"))
 
@@ -177,8 +188,7 @@ def lagged_features(spark, sf_dir):
 
 
 def binary_dataset(bars):
-    rules = monthly_rules(period_returns(bars))
-    data = monthly_return_features(rules).withColumn("go_active", target_active_wins())
+    data = monthly_return_features(rules_of(bars)).withColumn("go_active", target_active_wins())
     features = ["ret_1m", "ret_3m", "ret_6m", "vol_3m", "vol_6m"]
     return complete_rows(lag_features(data, features), features, "go_active")
 
@@ -207,7 +217,7 @@ SELECT r.asset, r.period_end, r.bh, r.mom, r.mr, coalesce(l.ml, 0.0) AS ml
 FROM rules_m r LEFT JOIN late l ON l.asset = r.asset AND l.period_end = r.period_end""")
 def aligned_ml_returns(spark, sf_dir):
     """Adaptive returns of the later months aligned to all months, zero before they start."""
-    rules = month_rules(spark, sf_dir)
+    rules = settle(month_rules(spark, sf_dir))
     late = follow(last_choice(rules)).withColumn("rn", F.row_number().over(PERIODIC.rows)).filter(F.col("rn") > 36)
     ml = late.select("asset", "period_end", "ml")
     joined = rules.join(ml, ["asset", "period_end"], "left")
@@ -219,8 +229,9 @@ SELECT coalesce(m.asset, w.asset) AS asset, coalesce(m.period_end, w.period_end)
 FROM rules_m m FULL JOIN rules_w w ON w.asset = m.asset AND w.period_end = m.period_end""")
 def outer_concat(spark, sf_dir):
     """Monthly and weekly holding returns side by side on the union of their dates."""
-    months = month_rules(spark, sf_dir).select("asset", "period_end", "bh")
-    weeks = week_rules(spark, sf_dir).select("asset", "period_end", F.col("bh").alias("week_bh"))
+    bars = settled_bars(spark, sf_dir)
+    months = rules_of(bars).select("asset", "period_end", "bh")
+    weeks = week_rules_of(bars).select("asset", "period_end", F.col("bh").alias("week_bh"))
     return months.join(weeks, ["asset", "period_end"], "full_outer")
 
 
@@ -229,11 +240,11 @@ def outer_concat(spark, sf_dir):
 SELECT f.*, l.best_strategy FROM cm_ready f JOIN label_same l ON l.asset = f.asset AND l.period_end = f.period_end""")
 def labelled_monthly(spark, sf_dir):
     """Month-end crypto features joined with the winner of the same month on their common months."""
-    return crypto_monthly_dataset(segment_bars(spark, sf_dir))
+    return crypto_monthly_dataset(settled_bars(spark, sf_dir))
 
 
 def crypto_monthly_dataset(bars):
-    labels = label_same_period(monthly_rules(period_returns(bars))).select("asset", "period_end", "best_strategy")
+    labels = label_same_period(rules_of(bars)).select("asset", "period_end", "best_strategy")
     return crypto_month_features(bars).join(labels, ["asset", "period_end"])
 
 
@@ -252,9 +263,9 @@ SELECT coalesce(f.asset, l.asset) AS asset, count(f.asset) FILTER (WHERE l.asset
 FROM cm_ready f FULL JOIN label_same l ON l.asset = f.asset AND l.period_end = f.period_end GROUP BY 1""")
 def key_sets(spark, sf_dir):
     """Sizes of the intersection and the differences of two sets of (asset, month) keys."""
-    bars = segment_bars(spark, sf_dir)
+    bars = settled_bars(spark, sf_dir)
     a = crypto_month_features(bars).select("asset", "period_end").withColumn("in_a", F.lit(1))
-    b = month_rules(spark, sf_dir).select("asset", "period_end").withColumn("in_b", F.lit(1))
+    b = rules_of(bars).select("asset", "period_end").withColumn("in_b", F.lit(1))
     both = a.join(b, ["asset", "period_end"], "full_outer")
     return both.groupBy("asset").agg(
         F.count(F.when(F.col("in_b") == 1, F.col("in_a"))).alias("common"),
@@ -305,8 +316,7 @@ def perf_weekly(spark, sf_dir):
      f"ru AS ({q.rules('br', 'month')})", "o AS (SELECT *, greatest(bh, mom, mr) AS oracle FROM ru)"]) + " " + q.perf("o", _COLS, 12))
 def perf_brands(spark, sf_dir):
     """Monthly performance table of the wide brand panel."""
-    rules = monthly_rules(period_returns(brand_bars(spark, sf_dir)))
-    return performance(with_oracle(rules), WITH_ORACLE)
+    return performance(with_oracle(rules_of(brand_bars(spark, sf_dir))), WITH_ORACLE)
 
 
 @query(Shape("asset period_end strategy", sig="equity"), "rules_m", " UNION ALL ".join(

@@ -17,11 +17,12 @@ from barloom.operators.learning import (
 from barloom.operators.metrics import accuracy, performance, shares
 from barloom.operators.strategies import follow, gated_follow, with_oracle
 from barloom.plans.choices import (
-    WITH_ML, binary_dataset, crypto_monthly_dataset, crypto_weekly_dataset, month_rules, monthly_dataset, week_rules,
+    WITH_ML, binary_dataset, crypto_monthly_dataset, crypto_weekly_dataset, monthly_dataset, monthly_dataset_of,
+    rules_of, week_rules_of,
 )
 from barloom.plans.registry import Shape, query
 from barloom.session import settle
-from barloom.sources.bars import segment_bars
+from barloom.sources.bars import segment_bars, settled_bars
 
 FEATURES = ["ret_1m", "ret_3m", "ret_6m", "vol_3m", "vol_6m"]
 NAMES = {0: BH, 1: MOM, 2: MR}
@@ -33,8 +34,8 @@ def coded(df):
     return df.withColumn("y", recode("best_strategy", CODES_BH_MOM_MR))
 
 
-def binary_predictions(spark, sf_dir):
-    data = settle(binary_dataset(segment_bars(spark, sf_dir)))
+def binary_predictions(bars):
+    data = settle(binary_dataset(bars))
     splits = expanding_splits(period_list(data), 60, refit_every=6)
     return walk_forward(data, FEATURES, "go_active", logistic(), splits)
 
@@ -42,20 +43,21 @@ def binary_predictions(spark, sf_dir):
 @query(Shape("asset period_end", n="fold y_true y_pred go_active", sig="p_active"))
 def walkforward_lr_binary(spark, sf_dir):
     """Probability of leaving holding, from an expanding logistic regression, with its decision."""
-    pred = binary_predictions(spark, sf_dir)
+    pred = binary_predictions(segment_bars(spark, sf_dir))
     return pred.withColumn("go_active", (F.col("p_active") >= 0.55).cast("int"))
 
 
 @query(PERF)
 def perf_binary_switch(spark, sf_dir):
     """Performance of the probability-gated switch beside the static rules, over its test months."""
-    pred = binary_predictions(spark, sf_dir).select("asset", "period_end", "p_active")
-    rules = month_rules(spark, sf_dir).join(pred, ["asset", "period_end"])
+    bars = settled_bars(spark, sf_dir)
+    pred = binary_predictions(bars).select("asset", "period_end", "p_active")
+    rules = rules_of(bars).join(pred, ["asset", "period_end"])
     return performance(with_oracle(gated_follow(rules)), WITH_ML)
 
 
-def boosted_months(spark, sf_dir):
-    data = settle(coded(monthly_dataset(spark, sf_dir)))
+def boosted_months(bars):
+    data = settle(coded(monthly_dataset_of(bars)))
     splits = expanding_splits(period_list(data), 60, refit_every=12)
     return walk_forward(data, FEATURES, "y", boosting(10, 0.05, 3, scaler="standard"), splits)
 
@@ -63,21 +65,22 @@ def boosted_months(spark, sf_dir):
 @query(PREDICTIONS)
 def walkforward_gbt(spark, sf_dir):
     """Boosted trees that pick next month's rule, expanding window of sixty months and more."""
-    return boosted_months(spark, sf_dir)
+    return boosted_months(segment_bars(spark, sf_dir))
 
 
 @query(PERF)
 def perf_adaptive(spark, sf_dir):
     """Performance of following the boosted choice, zero before the first prediction."""
-    pred = boosted_months(spark, sf_dir).select("asset", "period_end", recode("y_pred", NAMES).alias("choice"))
-    rules = with_oracle(month_rules(spark, sf_dir)).join(pred, ["asset", "period_end"], "left")
+    bars = settled_bars(spark, sf_dir)
+    pred = boosted_months(bars).select("asset", "period_end", recode("y_pred", NAMES).alias("choice"))
+    rules = with_oracle(rules_of(bars)).join(pred, ["asset", "period_end"], "left")
     return performance(follow(rules).withColumn("ml", F.when(F.col("choice").isNull(), 0.0).otherwise(F.col("ml"))), WITH_ML)
 
 
 @query(PREDICTIONS)
 def walkforward_gbt_calendar(spark, sf_dir):
     """Boosted trees on the five calendar years before each refit month."""
-    data = settle(coded(crypto_monthly_dataset(segment_bars(spark, sf_dir))))
+    data = settle(coded(crypto_monthly_dataset(settled_bars(spark, sf_dir))))
     splits = calendar_splits(period_list(data), refit_every=12)
     return walk_forward(data, CRYPTO_FEATURES, "y", boosting(8, 0.05, 2, 0.8, scaler="standard"), splits)
 
@@ -85,12 +88,13 @@ def walkforward_gbt_calendar(spark, sf_dir):
 @query(PERF)
 def perf_adaptive_weekly(spark, sf_dir):
     """Weekly adaptive performance: boosted trees on 104 weeks and more, any other label is reversal."""
-    data = settle(coded(crypto_weekly_dataset(segment_bars(spark, sf_dir))).select(
+    bars = settled_bars(spark, sf_dir)
+    data = settle(coded(crypto_weekly_dataset(bars)).select(
         "asset", "period_end", "y", *CRYPTO_FEATURES))
     splits = expanding_splits(period_list(data), 104, refit_every=52)
     pred = walk_forward(data, CRYPTO_FEATURES, "y", boosting(8, 0.05, 2, 0.7), splits)
     choice = pred.select("asset", "period_end", recode("y_pred", NAMES).alias("choice"))
-    rules = week_rules(spark, sf_dir).join(choice, ["asset", "period_end"])
+    rules = week_rules_of(bars).join(choice, ["asset", "period_end"])
     return performance(with_oracle(follow(rules, otherwise="mr")), WITH_ML, 52)
 
 
@@ -109,7 +113,7 @@ def cv_model_comparison(spark, sf_dir):
 @query(Shape("model", n="folds", sig="accuracy balanced_accuracy"))
 def cv_rolling_comparison(spark, sf_dir):
     """Mean accuracies of conservative models trained on sliding windows with robust scaling."""
-    data = settle(coded(crypto_monthly_dataset(segment_bars(spark, sf_dir))))
+    data = settle(coded(crypto_monthly_dataset(settled_bars(spark, sf_dir))))
     models = [logistic(scaler="robust"), forest(15, 3, 4), boosting(5, 0.1, 1, 0.8)]
     splits = rolling_splits(period_list(data), 36, refit_every=12)
     per_fold = accuracy(compare_models(data, CRYPTO_FEATURES, "y", models, splits), ["model", "fold"])

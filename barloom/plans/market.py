@@ -11,7 +11,7 @@ from barloom.operators.indicators import widen_quotes
 from barloom.operators.resample import last_row, period_returns, resample_last
 from barloom.plans import sql_parts as q
 from barloom.plans.registry import Shape, query
-from barloom.session import scratch_path
+from barloom.session import scratch_path, settle
 from barloom.sources import files
 from barloom.sources.bars import (
     between_days, brand_bars, day_bounds, macro_quotes, segment_bars, table,
@@ -156,7 +156,7 @@ _KEPT = {"any": "close IS NOT NULL AND busy IS NOT NULL", "all": "close IS NOT N
            for rule, cond in _KEPT.items()))
 def missing_data_rules(spark, sf_dir):
     """Rows that survive dropping on any, on all and on one of the columns of gappy month ends."""
-    months = resample_last(segment_bars(spark, sf_dir), "month", ["close", "volume"])
+    months = settle(resample_last(segment_bars(spark, sf_dir), "month", ["close", "volume"]))
     months = months.withColumn("busy", F.when(F.col("volume") > 1, F.col("volume")))
     kept = {"any": months.dropna("any", subset=["close", "busy"]),
             "all": months.dropna("all", subset=["close", "busy"]),

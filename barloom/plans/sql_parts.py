@@ -141,8 +141,8 @@ SELECT asset, d, close AS open, high, low, close, close AS adj_close, volume FRO
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)""")
 part("macro", "", """
 SELECT CAST(l_shipdate AS DATE) AS d,
-  round(CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*), 6) AS VIX,
-  round(10.0::DOUBLE * CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*), 6) AS TNX
+  CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS VIX,
+  10.0::DOUBLE * CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) AS TNX
 FROM lineitem GROUP BY 1""")
 part("month_px", "bars", month_steps("bars", "month_px"), raw=True)
 part("month_held", "month_px",

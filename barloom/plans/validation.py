@@ -15,9 +15,9 @@ from barloom.operators.metrics import (
 )
 from barloom.operators.strategies import label_same_period, with_oracle
 from barloom.plans import sql_parts as q
-from barloom.plans.choices import last_choice, month_rules, monthly_dataset
+from barloom.plans.choices import last_choice, month_rules, monthly_dataset, monthly_dataset_of, rules_of
 from barloom.plans.registry import Shape, query
-from barloom.sources.bars import segment_bars
+from barloom.sources.bars import segment_bars, settled_bars
 from barloom.sources.checks import known_label, unknown_labels
 
 FEATURES = ["ret_1m", "ret_3m", "ret_6m", "vol_3m", "vol_6m"]
@@ -199,8 +199,9 @@ f AS (SELECT model, asset, fold, sum(h)::DOUBLE / sum(n) AS acc, avg(h::DOUBLE /
 SELECT model, count(*) AS folds, avg(acc) AS accuracy, avg(bal) AS balanced_accuracy FROM f GROUP BY model""")
 def baseline_comparison(spark, sf_dir):
     """Mean fold accuracy of two fixed predictors over the five-fold split of every asset."""
-    folds = with_kfold(monthly_dataset(spark, sf_dir)).filter(F.col("fold").isNotNull()).select("asset", "period_end", "fold")
-    rows = last_choice(month_rules(spark, sf_dir)).select("asset", "period_end", F.col("best_strategy").alias("y_true"), "choice")
+    bars = settled_bars(spark, sf_dir)
+    folds = with_kfold(monthly_dataset_of(bars)).filter(F.col("fold").isNotNull()).select("asset", "period_end", "fold")
+    rows = last_choice(rules_of(bars)).select("asset", "period_end", F.col("best_strategy").alias("y_true"), "choice")
     guesses = folds.join(rows, ["asset", "period_end"]).select(
         "asset", "fold", "y_true", F.inline(F.array(
             F.struct(F.lit("hold").alias("model"), F.lit(BH).alias("y_pred")),

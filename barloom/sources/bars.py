@@ -7,9 +7,11 @@ on an asset's series is bounded by the calendar (at most 366 rows per year).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.session import settle
+
 BAR_COLUMNS = ("asset", "d", "open", "high", "low", "close", "adj_close", "volume")
 
 
@@ -62,6 +64,12 @@ def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def settled_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment bars written once, for plans that read them more than once: the raw tables are scanned and
+    shuffled a single time however many branches follow."""
+    return settle(segment_bars(spark, sf_dir))
+
+
 def macro_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tidy macro quotes (ticker, d, field, value) from the discount and tax rates of order lines.
 
@@ -76,13 +84,24 @@ def macro_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return daily.select(
         "d",
-        F.round(F.col("disc") / F.col("n"), 6).alias("^VIX"),
-        F.round(F.lit(10.0) * F.col("tax") / F.col("n"), 6).alias("^TNX"),
+        (F.col("disc") / F.col("n")).alias("^VIX"),
+        (F.lit(10.0) * F.col("tax") / F.col("n")).alias("^TNX"),
     ).unpivot("d", ["^VIX", "^TNX"], "ticker", "value").select(
         "ticker", "d", F.lit("adj_close").alias("field"), "value"
     )
 
 
+def one_per_day(bars: DataFrame) -> DataFrame:
+    """One bar per asset and day: of repeated dates the one with the largest volume, then close, is kept.
+
+    Series windows count on it, both for row positions and for the bound on a series' length.
+    """
+    day = Window.partitionBy("asset", "d").orderBy(
+        F.desc_nulls_last("volume"), F.desc_nulls_last("close"), F.desc_nulls_last("open"),
+        F.desc_nulls_last("high"), F.desc_nulls_last("low"))
+    return bars.withColumn("_rank", F.row_number().over(day)).filter(F.col("_rank") == 1).drop("_rank")
+
+
 def between_days(bars: DataFrame, start: str | Column | None = None, end: str | Column | None = None) -> DataFrame:
     """Closed date range as a filter on the bar date; apply it before any window."""
     if start is not None:
