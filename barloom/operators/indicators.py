@@ -15,7 +15,8 @@ from barloom.functions.frames import (
     DAILY, Series, diff, ffill, lag_return, rolling_max, rolling_mean, rolling_std, rolling_sum, zscore,
 )
 from barloom.functions.scalars import clip_above, clip_below, excess_ratio, ratio
-from barloom.operators.smoothing import ewm, macd
+from barloom.operators.blocks import in_blocks, number_rows
+from barloom.operators.smoothing import ewm, ewm_by_year, macd
 
 # Names of the bundle columns.
 EQUITY_FEATURES = (
@@ -29,6 +30,7 @@ CRYPTO_FEATURES = (
     "macd", "macd_signal", "ret_5d", "ret_21d", "ret_63d", "vol_zscore_21d",
 )
 WARM_UP_ROWS = 200
+EQUITY_REACH, CRYPTO_REACH = 200, 273
 
 
 def gains_losses(price: str, s: Series, first: str) -> dict[str, Column]:
@@ -60,12 +62,10 @@ def rolling_drawdown(price: str, n: int, s: Series) -> Column:
     return excess_ratio(F.col(price), rolling_max(price, n, s, min_periods=1))
 
 
-def equity_indicators(bars: DataFrame, s: Series = DAILY) -> DataFrame:
-    """Daily equity bundle before any row is dropped, with the row number of each bar."""
+def equity_frames(df: DataFrame, s: Series = DAILY) -> DataFrame:
+    """The columns of the equity bundle that look back a fixed number of rows (200 at most)."""
     price = "adj_close"
-    df = ewm(bars, {"ema_20": (price, 20)}, s)
     df = df.withColumns({
-        "row_nr": F.row_number().over(s.rows),
         "daily_return": lag_return(price, s),
         "mom_20d": lag_return(price, s, 20),
         "mom_60d": lag_return(price, s, 60),
@@ -83,23 +83,27 @@ def equity_indicators(bars: DataFrame, s: Series = DAILY) -> DataFrame:
     }).drop("_gain", "_loss")
 
 
-def equity_features(bars: DataFrame, s: Series = DAILY) -> DataFrame:
+def equity_indicators(bars: DataFrame, s: Series = DAILY, block_rows: int | None = None) -> DataFrame:
+    """Daily equity bundle before any row is dropped, with the row number of each bar.
+
+    ``block_rows`` switches to blocks for series too long for one window group; pass a stored table then.
+    """
+    means = {"ema_20": ("adj_close", 20)}
+    if block_rows is None:
+        return equity_frames(ewm(bars, means, s).withColumn("row_nr", F.row_number().over(s.rows)), s)
+    return in_blocks(number_rows(ewm_by_year(bars, means, s), s), s, EQUITY_REACH, equity_frames, block_rows)
+
+
+def equity_features(bars: DataFrame, s: Series = DAILY, block_rows: int | None = None) -> DataFrame:
     """Daily equity bundle after the warm-up rows, complete rows only."""
-    df = equity_indicators(bars, s)
+    df = equity_indicators(bars, s, block_rows)
     ready = df.filter(F.col("row_nr") > WARM_UP_ROWS).dropna("any", subset=list(EQUITY_FEATURES))
     return ready.drop("row_nr")
 
 
-def crypto_features(bars: DataFrame, variant: str = "monthly", s: Series = DAILY) -> DataFrame:
-    """Daily crypto bundle.
-
-    ``monthly`` annualises the volatilities and scores today's volume against 21 days, ``weekly`` keeps
-    raw volatilities and scores the 21-day volatility against 252 days.
-    """
-    if variant not in ("monthly", "weekly"):
-        raise ValueError(f"variant must be monthly or weekly, got {variant!r}")
+def crypto_frames(df: DataFrame, variant: str, s: Series = DAILY) -> DataFrame:
+    """The columns of the crypto bundle that look back a fixed number of rows (273 at most)."""
     price = "adj_close"
-    df = macd(bars, price, s=s).drop("macd_hist")
     smas = (10, 21, 50, 200) if variant == "monthly" else (10, 50, 200)
     df = df.withColumns({
         **{f"ret_{n}d": lag_return(price, s, n) for n in (1, 5, 21, 63)},
@@ -111,13 +115,27 @@ def crypto_features(bars: DataFrame, variant: str = "monthly", s: Series = DAILY
         **{f"vol_{n}d": rolling_std("ret_1d", n, s) * scale for n in (21, 63)},
         **{f"px_over_sma_{n}": excess_ratio(F.col(price), F.col(f"sma_{n}")) for n in (10, 50, 200)},
         "rsi_14": rsi_from("_gain", "_loss", 14, s),
-    })
+    }).drop("_gain", "_loss")
     score = zscore("volume", 21, s) if variant == "monthly" else zscore("vol_21d", 252, s)
-    df = df.withColumn("vol_zscore_21d", score)
-    keep = [*bars.columns, *CRYPTO_FEATURES]
-    if variant == "monthly":
-        keep += [f"sma_{n}" for n in smas]
-    return df.select(*keep)
+    return df.withColumn("vol_zscore_21d", score)
+
+
+def crypto_features(bars: DataFrame, variant: str = "monthly", s: Series = DAILY,
+                    block_rows: int | None = None) -> DataFrame:
+    """Daily crypto bundle.
+
+    ``monthly`` annualises the volatilities and scores today's volume against 21 days, ``weekly`` keeps
+    raw volatilities and scores the 21-day volatility against 252 days. ``block_rows`` as for equities.
+    """
+    if variant not in ("monthly", "weekly"):
+        raise ValueError(f"variant must be monthly or weekly, got {variant!r}")
+    if block_rows is None:
+        df = crypto_frames(macd(bars, s=s), variant, s)
+    else:
+        numbered = number_rows(macd(bars, s=s, scan=ewm_by_year), s)
+        df = in_blocks(numbered, s, CRYPTO_REACH, lambda part, series: crypto_frames(part, variant, series), block_rows)
+    averages = [c for c in df.columns if c.startswith("sma_")] if variant == "monthly" else []
+    return df.select(*bars.columns, *CRYPTO_FEATURES, *averages)
 
 
 def monthly_return_features(returns: DataFrame, ret: str = "ret", s: Series | None = None) -> DataFrame:

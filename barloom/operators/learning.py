@@ -11,7 +11,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -181,48 +183,65 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
     return scored.withColumns({"y_pred": F.col("prediction").cast("int"), "p_active": p})
 
 
-def walk_forward(data: DataFrame, features: Sequence[str], label: str, model: Model, splits: Sequence[Split],
-                 keys: Sequence[str] = ("asset",), period: str = "period_end") -> DataFrame:
-    """Out-of-sample predictions of every split: keys, period, fold, y_true, y_pred, p_active.
+def _concurrently(data: DataFrame, jobs: Sequence[Callable], parallelism: int) -> list:
+    """Results of independent driver-side fits in their order, a few of them submitted to the cluster at once."""
+    wrap = inheritable_thread_target(data.sparkSession)
+    pool = ThreadPool(max(1, min(parallelism, len(jobs))))
+    try:
+        return pool.map(lambda job: job(), [wrap(job) for job in jobs], chunksize=1)
+    finally:
+        pool.close()
+
+
+def compare_models(data: DataFrame, features: Sequence[str], label: str, models: Sequence[Model],
+                   splits: Sequence[Split], keys: Sequence[str] = ("asset",), period: str = "period_end",
+                   parallelism: int = 8) -> DataFrame:
+    """Out-of-sample predictions of every model and split.
 
-    ``data`` is scanned several times per split; settle it first. The training and test rows of a split
-    are date-range filters on it, so a stored table prunes them at the scan.
+    Columns: keys, period, model, fold, y_true, y_pred, p_active. ``data`` is scanned several times per
+    fit; settle it first. The training and test rows of a split are date-range filters on it, which reach
+    the scan of a stored table.
     """
-    parts = []
-    for s in splits:
+
+    def job(model: Model, s: Split):
         train = data.filter(F.col(period).between(F.lit(s.train_from), F.lit(s.train_to)))
         test = data.filter(F.col(period).between(F.lit(s.test_from), F.lit(s.test_to)))
         scored = fit_predict(train, test, features, label, model)
-        if scored is not None:
-            parts.append(scored.select(*keys, period, F.lit(s.fold).alias("fold"),
-                                       F.col(label).alias("y_true"), "y_pred", "p_active"))
+        if scored is None:
+            return None
+        return scored.select(*keys, period, F.lit(model.name).alias("model"), F.lit(s.fold).alias("fold"),
+                             F.col(label).alias("y_true"), "y_pred", "p_active")
+
+    jobs = [lambda m=m, s=s: job(m, s) for m in models for s in splits]
+    parts = [part for part in _concurrently(data, jobs, parallelism) if part is not None]
     if not parts:
         raise ValueError("no split has training rows")
     return reduce(DataFrame.unionByName, parts)
 
 
-def compare_models(data: DataFrame, features: Sequence[str], label: str, models: Sequence[Model],
-                   splits: Sequence[Split]) -> DataFrame:
-    """Predictions of several models over the same splits, tagged by model name."""
-    parts = [walk_forward(data, features, label, m, splits).withColumn("model", F.lit(m.name)) for m in models]
-    return reduce(DataFrame.unionByName, parts)
+def walk_forward(data: DataFrame, features: Sequence[str], label: str, model: Model, splits: Sequence[Split],
+                 **options) -> DataFrame:
+    """``compare_models`` for a single model."""
+    return compare_models(data, features, label, [model], splits, **options).drop("model")
 
 
 # --- regimes --------------------------------------------------------------------------------------------
 
-def cluster_regimes(data: DataFrame, features: Sequence[str], k: int = 3, starts: int = 10) -> DataFrame:
+def cluster_regimes(data: DataFrame, features: Sequence[str], k: int = 3, starts: int = 10,
+                    parallelism: int = 5) -> DataFrame:
     """K-means regimes on standardised features: best of several seeded starts, clusters numbered by the
     mean of the first feature so that the numbering does not depend on the start."""
     _, scale, _ = _prepare(data.withColumn("_none", F.lit(0)), features, "_none", "standard")
     scaled = data.withColumns({f"_x_{c}": (F.col(c) - F.lit(m)) / F.lit(d) for c, (m, d) in scale.items()})
     points = VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="features").transform(scaled)
-    best = None
-    for i in range(starts):
-        fitted = KMeans(k=k, seed=SEED + i, initMode="k-means||", maxIter=100).fit(points.select("features"))
-        cost = fitted.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, fitted)
-    centers = best[1].clusterCenters()
+
+    def start(i: int):
+        fitted = KMeans(k=k, seed=SEED + i, maxIter=100).fit(points.select("features"))
+        return fitted.summary.trainingCost, i, fitted
+
+    fits = _concurrently(data, [lambda i=i: start(i) for i in range(starts)], parallelism)
+    best = min(fits, key=lambda f: f[:2])[2]
+    centers = best.clusterCenters()
     order = sorted(range(len(centers)), key=lambda j: centers[j][0])
     renumber = F.create_map(*[F.lit(v) for j, old in enumerate(order) for v in (old, j)])
-    return best[1].transform(points).withColumn("regime", renumber[F.col("prediction")]).select(*data.columns, "regime")
+    return best.transform(points).withColumn("regime", renumber[F.col("prediction")]).select(*data.columns, "regime")

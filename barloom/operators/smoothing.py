@@ -20,6 +20,31 @@ def alpha(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
+def _year_sums(df: DataFrame, outputs: Mapping[str, tuple[str, float]], s: Series) -> DataFrame:
+    """Position inside the year and, per output, the year's own part of the mean up to each row."""
+    (day,) = s.order
+    year = Window.partitionBy(*s.keys, "_year").orderBy(day)
+    upto = year.rowsBetween(Window.unboundedPreceding, 0)
+    staged = df.withColumn("_n", F.row_number().over(year).cast("double"))
+    local = {}
+    for out, (c, span) in outputs.items():
+        a = alpha(span)
+        keep = F.lit(1.0 - a)
+        weighted = F.sum(F.lit(a) * F.col(c) * F.pow(keep, -F.col("_n"))).over(upto)
+        local[f"_s_{out}"] = F.pow(keep, F.col("_n")) * weighted
+    return staged.withColumns(local)
+
+
+def _carried(closings: str, opening: Column, out: str, span: float) -> Column:
+    """Mean at the end of the listed years, started from the first value of the series."""
+    keep = F.lit(1.0 - alpha(span))
+    return F.aggregate(closings, opening.cast("double"), lambda acc, e: e[out] + F.pow(keep, e["n"]) * acc)
+
+
+def _combined(out: str, span: float, carry: Column) -> Column:
+    return F.col(f"_s_{out}") + F.pow(F.lit(1.0 - alpha(span)), F.col("_n")) * carry
+
+
 def ewm(df: DataFrame, outputs: Mapping[str, tuple[str, float]], s: Series = Series()) -> DataFrame:
     """Add ``{name: (column, span)}`` means of columns without missing values.
 
@@ -28,39 +53,44 @@ def ewm(df: DataFrame, outputs: Mapping[str, tuple[str, float]], s: Series = Ser
     """
     (day,) = s.order
     keyed = df.withColumn("_year", F.year(day))
-    # one physical sort (keys, year, day) serves all of these windows
+    # one physical sort (keys, year, day) serves these windows and the ones inside a year
     whole = Window.partitionBy(*s.keys).orderBy("_year", day)
-    year = Window.partitionBy(*s.keys, "_year").orderBy(day)
-    opening = whole.rowsBetween(Window.unboundedPreceding, 0)
     earlier = whole.rowsBetween(Window.unboundedPreceding, -1)
-
+    following = F.lead("_year").over(whole)
     sources = sorted({c for c, _ in outputs.values()})
-    staged = keyed.withColumns({
-        "_closes": F.lead("_year").over(whole).isNull() | (F.lead("_year").over(whole) != F.col("_year")),
-        **{f"_x0_{c}": F.first(c).over(opening) for c in sources},
-    }).withColumn("_n", F.row_number().over(year).cast("double"))
-
-    upto = year.rowsBetween(Window.unboundedPreceding, 0)
-    local = {}
-    for out, (c, span) in outputs.items():
-        a = alpha(span)
-        keep = F.lit(1.0 - a)
-        weighted = F.sum(F.lit(a) * F.col(c) * F.pow(keep, -F.col("_n"))).over(upto)
-        local[f"_s_{out}"] = F.pow(keep, F.col("_n")) * weighted
-    staged = staged.withColumns(local)
-
+    keyed = keyed.withColumns({
+        "_closes": following.isNull() | (following != F.col("_year")),
+        **{f"_x0_{c}": F.first(c).over(whole.rowsBetween(Window.unboundedPreceding, 0)) for c in sources},
+    })
+    staged = _year_sums(keyed, outputs, s)
     closing = F.struct(F.col("_n").alias("n"), *[F.col(f"_s_{o}").alias(o) for o in outputs])
-    staged = staged.withColumn(
-        "_closings", F.collect_list(F.when(F.col("_closes"), closing)).over(earlier))
+    staged = staged.withColumn("_closings", F.collect_list(F.when(F.col("_closes"), closing)).over(earlier))
+    done = staged.withColumns({
+        o: _combined(o, span, _carried("_closings", F.col(f"_x0_{c}"), o, span)) for o, (c, span) in outputs.items()})
+    return done.select(*df.columns, *outputs)
+
 
-    def combined(out: str, c: str, span: float) -> Column:
-        keep = F.lit(1.0 - alpha(span))
-        carry = F.aggregate(
-            "_closings", F.col(f"_x0_{c}").cast("double"),
-            lambda acc, e: e[out] + F.pow(keep, e["n"]) * acc)
-        return F.col(f"_s_{out}") + F.pow(keep, F.col("_n")) * carry
+def ewm_by_year(df: DataFrame, outputs: Mapping[str, tuple[str, float]], s: Series = Series()) -> DataFrame:
+    """The same means without a window over a whole series.
 
-    done = staged.withColumns({o: combined(o, c, span) for o, (c, span) in outputs.items()})
+    Only the closing values of each year are brought together per key; the rows stay partitioned by
+    (key, year) and receive their carry by a join. The input is read twice, so pass a stored table.
+    """
+    (day,) = s.order
+    keyed = df.withColumn("_year", F.year(day))
+    staged = _year_sums(keyed, outputs, s)
+    sources = sorted({c for c, _ in outputs.values()})
+    closings = staged.groupBy(*s.keys, "_year").agg(
+        F.max("_n").alias("n"), *[F.max_by(f"_s_{o}", "_n").alias(o) for o in outputs],
+        *[F.min_by(c, "_n").alias(f"_first_{c}") for c in sources])
+    years = Series(s.keys, "_year")
+    carries = closings.withColumns({
+        "_closings": F.collect_list(F.struct("n", *outputs)).over(years.before),
+        **{f"_x0_{c}": F.first(f"_first_{c}").over(years.so_far) for c in sources},
+    }).select(*s.keys, "_year", *[
+        _carried("_closings", F.col(f"_x0_{c}"), o, span).alias(f"_carry_{o}") for o, (c, span) in outputs.items()])
+    joined = staged.join(carries, [*s.keys, "_year"])
+    done = joined.withColumns({o: _combined(o, span, F.col(f"_carry_{o}")) for o, (_, span) in outputs.items()})
     return done.select(*df.columns, *outputs)
 
 
@@ -75,10 +105,10 @@ def cascade(first: str, second: str, first_span: float, second_span: float) -> C
 
 
 def macd(df: DataFrame, price: str = "adj_close", fast: int = 12, slow: int = 26, signal: int = 9,
-         extra: Mapping[str, tuple[str, float]] | None = None, s: Series = Series()) -> DataFrame:
+         extra: Mapping[str, tuple[str, float]] | None = None, s: Series = Series(), scan=ewm) -> DataFrame:
     """MACD line, its signal line and their difference from one scan of the price."""
     means = {"_fast": (price, fast), "_slow": (price, slow), "_sig": (price, signal), **(extra or {})}
-    lines = ewm(df, means, s)
+    lines = scan(df, means, s)
     lines = lines.withColumns({
         "macd": F.col("_fast") - F.col("_slow"),
         "macd_signal": cascade("_fast", "_sig", fast, signal) - cascade("_slow", "_sig", slow, signal),

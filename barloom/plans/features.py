@@ -18,7 +18,7 @@ from barloom.operators.smoothing import macd
 from barloom.plans import sql_parts as q
 from barloom.plans.market import TICKERS
 from barloom.plans.registry import Shape, query
-from barloom.sources.bars import brand_bars, macro_quotes, segment_bars
+from barloom.sources.bars import brand_bars, macro_quotes, segment_bars, settled_bars
 
 
 @query(Shape("asset d", r6="std10 std60 sum5 mean20 z21 max60"), "eq0", f"""
@@ -80,6 +80,12 @@ def equity_features_daily(spark, sf_dir):
     return equity_features(segment_bars(spark, sf_dir))
 
 
+@query(EQUITY_SHAPE, "eq_ready", "eq_ready")
+def equity_features_blocks(spark, sf_dir):
+    """The daily equity bundle computed in overlapping blocks, for series too long for one window group."""
+    return equity_features(settled_bars(spark, sf_dir), block_rows=512)
+
+
 BRAND_SHAPE = Shape("asset d", r6="daily_return rolling_volatility_20d price_over_sma50 price_over_sma200 mom_60d "
                                   "rsi_14 intraday_range_10d_ma drawdown_60d")
 
@@ -116,6 +122,12 @@ def crypto_features_weekly(spark, sf_dir):
     return crypto_features(segment_bars(spark, sf_dir), "weekly")
 
 
+@query(CRYPTO_SHAPE, "cf_w", "cf_w")
+def crypto_features_blocks(spark, sf_dir):
+    """The weekly variant of the crypto bundle computed in overlapping blocks."""
+    return crypto_features(settled_bars(spark, sf_dir), "weekly", block_rows=512)
+
+
 @query(Shape("asset d", r6="month_pos_frac"), "eq0", """
 SELECT asset, d, avg(CASE WHEN daily_return > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
   OVER (PARTITION BY asset, last_day(d)) AS month_pos_frac FROM eq0""")
