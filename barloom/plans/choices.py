@@ -4,31 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.calendar import month_end
 from barloom.functions.frames import PERIODIC, lag
-from barloom.functions.scalars import (
-    BH, CODES_BH_MR_MOM, MOM, MR, SNAKE_LABELS, STRATEGIES, infer_choice, ratio, recode,
-)
-from barloom.operators.indicators import (
-    CRYPTO_FEATURES, crypto_features, equity_features, monthly_return_features,
-)
+from barloom.functions.scalars import BH, CODES_BH_MR_MOM, MOM, MR, SNAKE_LABELS, STRATEGIES, infer_choice, recode
+from barloom.operators.indicators import monthly_return_features
 from barloom.operators.metrics import allocation, equity_curves, performance, shares
-from barloom.operators.resample import last_valid, period_returns
+from barloom.operators.resample import period_returns
 from barloom.operators.strategies import (
-    RULES, broadcast_label, follow, gated_follow, label_forward, label_next_period, label_same_period, lag_features,
-    monthly_rules, target_active_wins, target_not_default, weekly_rules, with_oracle,
+    RULES, follow, gated_follow, label_next_period, label_same_period, monthly_rules, target_active_wins,
+    target_not_default, with_oracle,
 )
 from barloom.plans import sql_parts as q
+from barloom.plans.pipelines import (
+    NAMES, WITH_ML, WITH_ORACLE, Backtest, binary_dataset, crypto_month_dataset, crypto_month_features,
+    crypto_week_dataset, labelled_daily, month_dataset, rules_of, week_rules_of,
+)
 from barloom.plans.registry import Shape, query
 from barloom.session import scratch_path, settle
 from barloom.sources import files
 from barloom.sources.bars import between_days, brand_bars, segment_bars, settled_bars
 from barloom.sources.checks import complete_rows, numeric_features
 
-NAMES = {"bh": BH, "mom": MOM, "mr": MR}
-WITH_ORACLE = {**NAMES, "oracle": "Oracle"}
-WITH_ML = {"bh": BH, "mom": MOM, "mr": MR, "ml": "ML Adaptive", "oracle": "Oracle"}
-
 
 def month_rules(spark, sf_dir):
     return rules_of(segment_bars(spark, sf_dir))
@@ -38,48 +33,13 @@ def week_rules(spark, sf_dir):
     return week_rules_of(segment_bars(spark, sf_dir))
 
 
-def rules_of(bars):
-    return monthly_rules(period_returns(bars))
-
-
-def week_rules_of(bars):
-    return weekly_rules(period_returns(bars, "week"))
-
-
 def last_choice(rules):
     """Deterministic predictor: last period's winner."""
     return label_same_period(rules).withColumn("choice", lag("best_strategy", PERIODIC))
 
 
 def monthly_dataset(spark, sf_dir):
-    return monthly_dataset_of(segment_bars(spark, sf_dir))
-
-
-def monthly_dataset_of(bars):
-    """Monthly return features with the next month's winner, complete rows only."""
-    data = label_next_period(monthly_return_features(rules_of(bars)))
-    return data.dropna("any", subset=["ret_1m", "ret_3m", "ret_6m", "vol_3m", "vol_6m", "best_strategy"])
-
-
-def crypto_month_features(bars):
-    """Last valid crypto features per month, complete months only."""
-    months = last_valid(crypto_features(bars, "monthly"), "month", list(CRYPTO_FEATURES))
-    return months.dropna("any", subset=list(CRYPTO_FEATURES))
-
-
-def crypto_weeks(bars):
-    """Last valid crypto features and price per week, complete weeks only."""
-    columns = ["adj_close", *CRYPTO_FEATURES]
-    weeks = last_valid(crypto_features(bars, "weekly"), "week", columns)
-    return weeks.dropna("any", subset=columns)
-
-
-def crypto_weekly_dataset(bars):
-    """Complete weekly features with the winner of the next four weeks."""
-    weeks = crypto_weeks(bars)
-    returns = weeks.withColumn("ret", ratio("adj_close", lag("adj_close", PERIODIC)) - F.lit(1.0))
-    labelled = label_forward(weekly_rules(returns, first="zero"))
-    return labelled.filter(F.col("best_strategy").isNotNull())
+    return month_dataset(segment_bars(spark, sf_dir))
 
 
 @query(Shape("asset period_end", r6="ret bh mom mr"), "rules_m", "rules_m")
@@ -127,7 +87,7 @@ SELECT *, CASE best_strategy WHEN 'Buy & Hold' THEN 0 WHEN 'Momentum' THEN 1 WHE
 FROM label_fwd4 WHERE best_strategy IS NOT NULL""")
 def label_next_4w(spark, sf_dir):
     """Winner of the next four weeks on the weeks with complete features."""
-    return crypto_weekly_dataset(segment_bars(spark, sf_dir))
+    return crypto_week_dataset(segment_bars(spark, sf_dir))
 
 
 @query(Shape("asset d best_strategy", r6="rsi_14"), "eq_ready", f"""
@@ -145,12 +105,6 @@ def label_broadcast_daily(spark, sf_dir):
     return labelled_daily(segment_bars(spark, sf_dir))
 
 
-def labelled_daily(bars):
-    daily = settle(equity_features(bars))
-    rules = monthly_rules(period_returns(daily), drop_first=False)
-    return broadcast_label(daily, label_next_period(rules, SNAKE_LABELS), month_end("d"))
-
-
 @query(Shape("asset d", r6="daily_return"), "eq_ready",
        "SELECT * FROM eq_ready WHERE d BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'")
 def stored_labelled_range(spark, sf_dir):
@@ -187,12 +141,6 @@ def lagged_features(spark, sf_dir):
     return binary_dataset(segment_bars(spark, sf_dir))
 
 
-def binary_dataset(bars):
-    data = monthly_return_features(rules_of(bars)).withColumn("go_active", target_active_wins())
-    features = ["ret_1m", "ret_3m", "ret_6m", "vol_3m", "vol_6m"]
-    return complete_rows(lag_features(data, features), features, "go_active")
-
-
 @query(Shape("asset period_end choice", r6="bh mom mr ml oracle"), "ml_lag", "ml_lag")
 def followed_returns(spark, sf_dir):
     """Return of following last month's winner, holding when there is none."""
@@ -240,12 +188,7 @@ def outer_concat(spark, sf_dir):
 SELECT f.*, l.best_strategy FROM cm_ready f JOIN label_same l ON l.asset = f.asset AND l.period_end = f.period_end""")
 def labelled_monthly(spark, sf_dir):
     """Month-end crypto features joined with the winner of the same month on their common months."""
-    return crypto_monthly_dataset(settled_bars(spark, sf_dir))
-
-
-def crypto_monthly_dataset(bars):
-    labels = label_same_period(rules_of(bars)).select("asset", "period_end", "best_strategy")
-    return crypto_month_features(bars).join(labels, ["asset", "period_end"])
+    return crypto_month_dataset(settled_bars(spark, sf_dir))
 
 
 @query(Shape("asset period_end best_strategy", r6="ret_1d vol_21d px_over_sma_50 rsi_14 vol_zscore_21d", r3="macd macd_signal"),
@@ -254,7 +197,7 @@ SELECT f.*, l.best_strategy FROM cw_ready f JOIN label_fwd4 l ON l.asset = f.ass
 WHERE l.best_strategy IS NOT NULL""")
 def labelled_weekly(spark, sf_dir):
     """Complete weekly crypto features with the winner of the next four weeks."""
-    return crypto_weekly_dataset(segment_bars(spark, sf_dir))
+    return crypto_week_dataset(segment_bars(spark, sf_dir))
 
 
 @query(Shape("asset", n="common only_months only_weeks"), "cm_ready label_same", """
@@ -287,7 +230,7 @@ def numeric_feature_matrix(spark, sf_dir):
 
 PERF = Shape("asset strategy", n="periods",
              sig="total_return annualized_return annualized_vol sharpe", r6="max_drawdown")
-_COLS = {"bh": BH, "mom": MOM, "mr": MR, "oracle": "Oracle"}
+_COLS = WITH_ORACLE
 
 
 @query(PERF, "rules_m", "WITH o AS (SELECT *, greatest(bh, mom, mr) AS oracle FROM rules_m) " + q.perf("o", _COLS, 12))
@@ -296,11 +239,48 @@ def flagship_strategy_performance(spark, sf_dir):
     return performance(with_oracle(month_rules(spark, sf_dir)), WITH_ORACLE)
 
 
-@query(PERF, "ml_lag", q.perf("ml_lag", {**NAMES, "ml": "ML Adaptive", "oracle": "Oracle"}, 12))
+@query(PERF, "ml_lag", q.perf("ml_lag", WITH_ML, 12))
 def perf_monthly(spark, sf_dir):
     """Monthly performance table including the adaptive choice."""
+    return lagged_backtest(spark, sf_dir).performance()
+
+
+def lagged_backtest(spark, sf_dir):
+    """Backtest that follows the last winner."""
     returns = with_oracle(follow(last_choice(month_rules(spark, sf_dir))))
-    return performance(returns, WITH_ML)
+    return Backtest(returns, WITH_ML, 12)
+
+
+@query(Shape("asset period_end", r6="bh mom mr ml oracle"), "ml_lag", "ml_lag")
+def return_matrix(spark, sf_dir):
+    """Returns of every strategy side by side per month."""
+    return lagged_backtest(spark, sf_dir).return_matrix()
+
+
+@query(Shape("asset period_end", sig="bh mom mr ml oracle"), "ml_lag", "SELECT asset, period_end, " + ", ".join(
+    f"product(1 + {c}) {q.over('all', 0, 'period_end')} AS {c}" for c in WITH_ML) + " FROM ml_lag")
+def equity_matrix(spark, sf_dir):
+    """Equity of every strategy side by side per month."""
+    return lagged_backtest(spark, sf_dir).equity_matrix()
+
+
+@query(PERF, "ml_lag", q.perf("ml_lag", WITH_ML, 12))
+def stored_performance(spark, sf_dir):
+    """Performance table saved with the return and equity matrices and read back."""
+    path = scratch_path(spark, "backtest")
+    lagged_backtest(spark, sf_dir).save(path)
+    return spark.read.parquet(f"{path}/performance")
+
+
+@query(Shape("asset strategy", n="place", sig="annualized_return"), "ml_lag", f"""
+WITH p AS ({q.perf("ml_lag", WITH_ML, 12)})
+SELECT asset, strategy, annualized_return, CASE strategy WHEN 'Buy & Hold' THEN 1 WHEN 'Momentum' THEN 2
+  WHEN 'Mean Reversion' THEN 3 WHEN 'ML Adaptive' THEN 4 ELSE 5 END AS place FROM p""")
+def annualized_return_bars(spark, sf_dir):
+    """Annualised return per strategy in summary order, ready for a bar chart."""
+    table = lagged_backtest(spark, sf_dir).performance()
+    place = recode("strategy", {name: i for i, name in enumerate(WITH_ML.values(), 1)})
+    return table.withColumn("place", place).orderBy("asset", "place")
 
 
 @query(PERF, "rules_w", "WITH o AS (SELECT *, greatest(bh, mom, mr) AS oracle FROM rules_w) " + q.perf("o", _COLS, 52))

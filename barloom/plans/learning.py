@@ -8,122 +8,94 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import BH, CODES_BH_MOM_MR, MOM, MR, recode
 from barloom.operators.indicators import CRYPTO_FEATURES
 from barloom.operators.learning import (
-    boosting, calendar_splits, cluster_regimes, compare_models, expanding_splits, forest, kfold_splits, logistic,
-    period_list, rolling_splits, walk_forward,
+    boosting, cluster_regimes, compare_models, forest, kfold_splits, logistic, period_list, rolling_splits,
 )
-from barloom.operators.metrics import accuracy, performance, shares
-from barloom.operators.strategies import follow, gated_follow, with_oracle
-from barloom.plans.choices import (
-    WITH_ML, binary_dataset, crypto_monthly_dataset, crypto_weekly_dataset, monthly_dataset, monthly_dataset_of,
-    rules_of, week_rules_of,
+from barloom.operators.metrics import accuracy, shares
+from barloom.plans.pipelines import (
+    MONTH_FEATURES, binary_predictions, binary_switch, coded, crypto_month_dataset, crypto_month_predictions,
+    crypto_weekly, equity_monthly, month_dataset, month_predictions,
 )
 from barloom.plans.registry import Shape, query
 from barloom.session import settle
 from barloom.sources.bars import segment_bars, settled_bars
 
-FEATURES = ["ret_1m", "ret_3m", "ret_6m", "vol_3m", "vol_6m"]
-NAMES = {0: BH, 1: MOM, 2: MR}
 PREDICTIONS = Shape("asset period_end", n="fold y_true y_pred")
 PERF = Shape("asset strategy", n="periods", sig="total_return annualized_return annualized_vol sharpe", r6="max_drawdown")
 
 
-def coded(df):
-    return df.withColumn("y", recode("best_strategy", CODES_BH_MOM_MR))
-
-
-def binary_predictions(bars):
-    data = settle(binary_dataset(bars))
-    splits = expanding_splits(period_list(data), 60, refit_every=6)
-    return walk_forward(data, FEATURES, "go_active", logistic(), splits)
-
-
 @query(Shape("asset period_end", n="fold y_true y_pred go_active", sig="p_active"))
 def walkforward_lr_binary(spark, sf_dir):
     """Probability of leaving holding, from an expanding logistic regression, with its decision."""
-    pred = binary_predictions(segment_bars(spark, sf_dir))
+    pred = binary_predictions(segment_bars(spark, sf_dir), refit_every=6)
     return pred.withColumn("go_active", (F.col("p_active") >= 0.55).cast("int"))
 
 
 @query(PERF)
 def perf_binary_switch(spark, sf_dir):
     """Performance of the probability-gated switch beside the static rules, over its test months."""
-    bars = settled_bars(spark, sf_dir)
-    pred = binary_predictions(bars).select("asset", "period_end", "p_active")
-    rules = rules_of(bars).join(pred, ["asset", "period_end"])
-    return performance(with_oracle(gated_follow(rules)), WITH_ML)
-
-
-def boosted_months(bars):
-    data = settle(coded(monthly_dataset_of(bars)))
-    splits = expanding_splits(period_list(data), 60, refit_every=12)
-    return walk_forward(data, FEATURES, "y", boosting(10, 0.05, 3, scaler="standard"), splits)
+    return binary_switch(settled_bars(spark, sf_dir), refit_every=6).performance()
 
 
 @query(PREDICTIONS)
 def walkforward_gbt(spark, sf_dir):
     """Boosted trees that pick next month's rule, expanding window of sixty months and more."""
-    return boosted_months(segment_bars(spark, sf_dir))
+    return month_predictions(segment_bars(spark, sf_dir), boosting(10, 0.05, 3, scaler="standard"), refit_every=12)
+
+
+@query(PREDICTIONS)
+def walkforward_lr_point_in_time(spark, sf_dir):
+    """The same choice from lagged features and labels that are known before the tested month."""
+    return month_predictions(segment_bars(spark, sf_dir), logistic(), refit_every=6, alignment="point_in_time")
 
 
 @query(PERF)
 def perf_adaptive(spark, sf_dir):
     """Performance of following the boosted choice, zero before the first prediction."""
-    bars = settled_bars(spark, sf_dir)
-    pred = boosted_months(bars).select("asset", "period_end", recode("y_pred", NAMES).alias("choice"))
-    rules = with_oracle(rules_of(bars)).join(pred, ["asset", "period_end"], "left")
-    return performance(follow(rules).withColumn("ml", F.when(F.col("choice").isNull(), 0.0).otherwise(F.col("ml"))), WITH_ML)
+    model = boosting(10, 0.05, 3, scaler="standard")
+    return equity_monthly(settled_bars(spark, sf_dir), model, refit_every=12).performance()
 
 
 @query(PREDICTIONS)
 def walkforward_gbt_calendar(spark, sf_dir):
     """Boosted trees on the five calendar years before each refit month."""
-    data = settle(coded(crypto_monthly_dataset(settled_bars(spark, sf_dir))))
-    splits = calendar_splits(period_list(data), refit_every=12)
-    return walk_forward(data, CRYPTO_FEATURES, "y", boosting(8, 0.05, 2, 0.8, scaler="standard"), splits)
+    model = boosting(8, 0.05, 2, 0.8, scaler="standard")
+    return crypto_month_predictions(settled_bars(spark, sf_dir), model, refit_every=12)
 
 
 @query(PERF)
 def perf_adaptive_weekly(spark, sf_dir):
-    """Weekly adaptive performance: boosted trees on 104 weeks and more, any other label is reversal."""
-    bars = settled_bars(spark, sf_dir)
-    data = settle(coded(crypto_weekly_dataset(bars)).select(
-        "asset", "period_end", "y", *CRYPTO_FEATURES))
-    splits = expanding_splits(period_list(data), 104, refit_every=52)
-    pred = walk_forward(data, CRYPTO_FEATURES, "y", boosting(8, 0.05, 2, 0.7), splits)
-    choice = pred.select("asset", "period_end", recode("y_pred", NAMES).alias("choice"))
-    rules = week_rules_of(bars).join(choice, ["asset", "period_end"])
-    return performance(with_oracle(follow(rules, otherwise="mr")), WITH_ML, 52)
+    """Weekly adaptive performance: boosted trees on 104 weeks and more."""
+    return crypto_weekly(settled_bars(spark, sf_dir), boosting(8, 0.05, 2, 0.7), refit_every=52).performance()
+
+
+def mean_scores(predictions):
+    """Mean of the per-fold accuracies of each model."""
+    return accuracy(predictions, ["model", "fold"]).groupBy("model").agg(
+        F.count(F.lit(1)).alias("folds"), F.avg("accuracy").alias("accuracy"),
+        F.avg("balanced_accuracy").alias("balanced_accuracy"))
 
 
 @query(Shape("model", n="folds", sig="accuracy balanced_accuracy"))
 def cv_model_comparison(spark, sf_dir):
     """Mean fold accuracies of three model families over the expanding five-fold split."""
-    data = settle(coded(monthly_dataset(spark, sf_dir)))
+    data = settle(coded(month_dataset(segment_bars(spark, sf_dir))))
     models = [logistic(), forest(20, 5, 5), boosting(5, 0.05, 3)]
-    pred = compare_models(data, FEATURES, "y", models, kfold_splits(period_list(data)))
-    per_fold = accuracy(pred, ["model", "fold"])
-    return per_fold.groupBy("model").agg(
-        F.count(F.lit(1)).alias("folds"), F.avg("accuracy").alias("accuracy"),
-        F.avg("balanced_accuracy").alias("balanced_accuracy"))
+    return mean_scores(compare_models(data, MONTH_FEATURES, "y", models, kfold_splits(period_list(data))))
 
 
 @query(Shape("model", n="folds", sig="accuracy balanced_accuracy"))
 def cv_rolling_comparison(spark, sf_dir):
     """Mean accuracies of conservative models trained on sliding windows with robust scaling."""
-    data = settle(coded(crypto_monthly_dataset(settled_bars(spark, sf_dir))))
+    data = settle(coded(crypto_month_dataset(settled_bars(spark, sf_dir))))
     models = [logistic(scaler="robust"), forest(15, 3, 4), boosting(5, 0.1, 1, 0.8)]
     splits = rolling_splits(period_list(data), 36, refit_every=12)
-    per_fold = accuracy(compare_models(data, CRYPTO_FEATURES, "y", models, splits), ["model", "fold"])
-    return per_fold.groupBy("model").agg(
-        F.count(F.lit(1)).alias("folds"), F.avg("accuracy").alias("accuracy"),
-        F.avg("balanced_accuracy").alias("balanced_accuracy"))
+    return mean_scores(compare_models(data, CRYPTO_FEATURES, "y", models, splits))
 
 
 def regimes(spark, sf_dir):
-    return cluster_regimes(settle(monthly_dataset(spark, sf_dir)), FEATURES)
+    return cluster_regimes(settle(month_dataset(segment_bars(spark, sf_dir))), MONTH_FEATURES)
 
 
 @query(Shape("asset period_end best_strategy", n="regime"))

@@ -95,7 +95,7 @@ def rules(ret_source: str, kind: str) -> str:
     if kind == "month":
         up = f"{prev} > 0"
     else:
-        trail = lag(f"s4", 1, "period_end")
+        trail = lag("s4", 1, "period_end")
         up = f"{trail} > 0"
     inner = f"(SELECT *, {roll('sum', 'ret', 4, 'period_end')} AS s4 FROM {ret_source})"
     return (f"SELECT asset, period_end, ret, {prev} AS prev_ret, ret AS bh, "
@@ -119,7 +119,6 @@ FROM (SELECT *, max(eq) {over('all', 0, order)} AS peak FROM (
             f"FROM ({union})")
 
 
-EQ = dict(order="d")
 PARTS: dict[str, tuple[str, str]] = {}
 
 

@@ -15,7 +15,8 @@ from barloom.operators.metrics import (
 )
 from barloom.operators.strategies import label_same_period, with_oracle
 from barloom.plans import sql_parts as q
-from barloom.plans.choices import last_choice, month_rules, monthly_dataset, monthly_dataset_of, rules_of
+from barloom.plans.choices import last_choice, month_rules, monthly_dataset
+from barloom.plans.pipelines import month_dataset, rules_of
 from barloom.plans.registry import Shape, query
 from barloom.sources.bars import segment_bars, settled_bars
 from barloom.sources.checks import known_label, unknown_labels
@@ -200,7 +201,7 @@ SELECT model, count(*) AS folds, avg(acc) AS accuracy, avg(bal) AS balanced_accu
 def baseline_comparison(spark, sf_dir):
     """Mean fold accuracy of two fixed predictors over the five-fold split of every asset."""
     bars = settled_bars(spark, sf_dir)
-    folds = with_kfold(monthly_dataset_of(bars)).filter(F.col("fold").isNotNull()).select("asset", "period_end", "fold")
+    folds = with_kfold(month_dataset(bars)).filter(F.col("fold").isNotNull()).select("asset", "period_end", "fold")
     rows = last_choice(rules_of(bars)).select("asset", "period_end", F.col("best_strategy").alias("y_true"), "choice")
     guesses = folds.join(rows, ["asset", "period_end"]).select(
         "asset", "fold", "y_true", F.inline(F.array(

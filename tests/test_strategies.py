@@ -16,7 +16,8 @@ from barloom.operators.strategies import (
     RULES, available_from, broadcast_label, follow, gated_follow, label_forward, label_next_period, label_same_period,
     monthly_rules, target_active_wins, target_not_default, weekly_rules, with_oracle,
 )
-from barloom.plans.choices import crypto_weekly_dataset, month_rules
+from barloom.plans.choices import month_rules
+from barloom.plans.pipelines import crypto_week_dataset
 from barloom.sources.bars import segment_bars
 from tests.conftest import collect
 
@@ -152,7 +153,7 @@ def test_invariants_on_segments(spark, sf_dir):
     for now, after in zip(rows, rows[1:]):
         if now["asset"] == after["asset"] and now["ret"] != 0:
             assert (now["best_strategy"] == BH) == (after["ret"] >= 0)
-    weekly = crypto_weekly_dataset(segment_bars(spark, sf_dir))
+    weekly = crypto_week_dataset(segment_bars(spark, sf_dir))
     assert weekly.filter(~F.col("best_strategy").isin(*STRATEGIES)).isEmpty()
 
 
