@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import PERIODIC, lag
-from barloom.functions.scalars import BH, CODES_BH_MR_MOM, MOM, MR, SNAKE_LABELS, STRATEGIES, infer_choice, recode
+from barloom.functions.scalars import CODES_BH_MR_MOM, MOM, MR, SNAKE_LABELS, STRATEGIES, infer_choice, recode
 from barloom.operators.indicators import monthly_return_features
 from barloom.operators.metrics import allocation, equity_curves, performance, shares
 from barloom.operators.resample import period_returns
@@ -15,7 +15,7 @@ from barloom.operators.strategies import (
 )
 from barloom.plans import sql_parts as q
 from barloom.plans.pipelines import (
-    NAMES, WITH_ML, WITH_ORACLE, Backtest, binary_dataset, crypto_month_dataset, crypto_month_features,
+    WITH_ML, WITH_ORACLE, Backtest, binary_dataset, crypto_month_dataset, crypto_month_features,
     crypto_week_dataset, labelled_daily, month_dataset, rules_of, week_rules_of,
 )
 from barloom.plans.registry import Shape, query

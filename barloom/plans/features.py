@@ -144,7 +144,7 @@ _MACRO = f"""SELECT asset, d, v AS vix_level, {q.chg('v', 5)} AS vix_5d_change,
   t / 10.0::DOUBLE - {q.lag('t / 10.0::DOUBLE', 20)} AS rate_10y_20d_change FROM ({_ALIGNED})"""
 
 
-@query(Shape("asset d", r6="vix_level vix_5d_change vix_20d_vol rate_10y rate_10y_20d_change", r3="vix_20d_ma"),
+@query(Shape("asset d", r6="vix_level vix_5d_change vix_20d_ma vix_20d_vol rate_10y rate_10y_20d_change"),
        "bars macro", _MACRO)
 def macro_align(spark, sf_dir):
     """Macro columns by exact date, carried along each asset's own dates."""
