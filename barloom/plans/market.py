@@ -95,6 +95,13 @@ def stored_bars_range(spark, sf_dir):
     return between_days(files.read_labelled(spark, path), "1996-01-01", "1998-12-31")
 
 
+@query(Shape("asset d", r6="open high low close volume"), "bars", """
+SELECT * FROM bars WHERE d BETWEEN DATE '1996-02-01' AND DATE '1999-10-31' AND asset IN ('BUILDING', 'MACHINERY')""")
+def bars_selected(spark, sf_dir):
+    """Bars of chosen assets and dates, both choices pushed to the raw scans."""
+    return segment_bars(spark, sf_dir, "1996-02-01", "1999-10-31", ["BUILDING", "MACHINERY"])
+
+
 @query(Shape("file_name", n="found"), "bars", """
 SELECT 'asset=' || asset AS file_name, count(*) AS found FROM bars GROUP BY 1""")
 def csv_discovery(spark, sf_dir):

@@ -7,6 +7,8 @@ on an asset's series is bounded by the calendar (at most 366 rows per year).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +33,28 @@ def daily_bars(trades: DataFrame, asset: str, time: str, price: str, trade_id: s
     return bars.withColumn("adj_close", F.col("close")).select(*BAR_COLUMNS)
 
 
-def segment_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as trades, one asset per market segment of the ordering customer."""
+def traded_between(trades: DataFrame, time: str, start: str | None, end: str | None) -> DataFrame:
+    """Trades of a closed date range, compared on the raw time column so that the scan can skip row groups."""
+    kind = trades.schema[time].dataType
+    if start is not None:
+        trades = trades.filter(F.col(time) >= F.lit(start).cast(kind))
+    if end is not None:
+        after = F.date_add(F.lit(end).cast("date"), 1)
+        trades = trades.filter(F.col(time) < after.cast(kind))
+    return trades
+
+
+def segment_bars(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None,
+                 segments: Sequence[str] | None = None) -> DataFrame:
+    """Orders as trades, one asset per market segment of the ordering customer.
+
+    The date range and the choice of segments are filters on the two scans.
+    """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    orders = traded_between(orders, "o_orderdate", start, end)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    if segments is not None:
+        customer = customer.filter(F.col("c_mktsegment").isin(*segments))
     trades = orders.join(customer, orders.o_custkey == customer.c_custkey)
     return daily_bars(trades, "c_mktsegment", "o_orderdate", "o_totalprice", "o_orderkey")
 
