@@ -34,31 +34,22 @@ def performance(returns: DataFrame, strategies: Mapping[str, str], periods_per_y
     """
     columns = list(strategies)
     curves = equity_wide(returns, columns, s)
-    curves = curves.withColumns({
-        f"dd_{c}": ratio(f"eq_{c}", running_max(f"eq_{c}", s)) - F.lit(1.0) for c in columns
-    })
-    ppy = F.lit(float(periods_per_year))
-    aggs = []
-    for c in columns:
-        aggs += [
-            F.count(c).alias(f"n_{c}"),
-            F.product(F.lit(1.0) + F.col(c)).alias(f"growth_{c}"),
-            (F.stddev_samp(c) * F.sqrt(ppy)).alias(f"vol_{c}"),
-            F.min(f"dd_{c}").alias(f"dd_{c}"),
-        ]
-    per_key = curves.groupBy(*s.keys).agg(*aggs)
-    rows = []
-    for c, name in strategies.items():
-        final, vol = F.col(f"growth_{c}"), F.col(f"vol_{c}")
-        # a series that lost more than everything has no geometric mean
-        annual = F.when(final >= 0, F.pow(final, ppy / F.col(f"n_{c}")) - F.lit(1.0))
-        rows.append(F.struct(
-            F.lit(name).alias("strategy"), F.col(f"n_{c}").alias("periods"),
-            (final - F.lit(1.0)).alias("total_return"),
-            annual.alias("annualized_return"), vol.alias("annualized_vol"),
-            F.when(vol > 0, annual / vol).alias("sharpe"), F.col(f"dd_{c}").alias("max_drawdown"),
-        ))
-    return per_key.select(*s.keys, F.inline(F.array(*rows)))
+    curves = curves.withColumns({f"top_{c}": running_max(f"eq_{c}", s) for c in columns})
+    ppy = float(periods_per_year)
+    per_key = curves.groupBy(*s.keys).agg(
+        *[F.product(F.lit(1.0) + F.col(c)).alias(f"growth_{c}") for c in columns],
+        *[F.expr(text) for c in columns for text in (
+            f"count({c}) AS n_{c}",
+            f"stddev_samp({c}) * sqrt({ppy}D) AS vol_{c}",
+            f"min(try_divide(eq_{c}, top_{c}) - 1.0D) AS dd_{c}",
+        )])
+    # a series that lost more than everything has no geometric mean
+    annual = {c: f"CASE WHEN growth_{c} >= 0 THEN power(growth_{c}, {ppy}D / n_{c}) - 1.0D END" for c in columns}
+    rows = ", ".join(
+        f"struct('{name}' AS strategy, n_{c} AS periods, growth_{c} - 1.0D AS total_return, {annual[c]} AS annualized_return, "
+        f"vol_{c} AS annualized_vol, CASE WHEN vol_{c} > 0 THEN {annual[c]} / vol_{c} END AS sharpe, dd_{c} AS max_drawdown)"
+        for c, name in strategies.items())
+    return per_key.selectExpr(*s.keys, f"inline(array({rows}))")
 
 
 def shares(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:

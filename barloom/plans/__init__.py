@@ -1 +1 @@
-"""Composed pipelines and the query catalog."""
+"""Backtests, registered queries and their comparison SQL."""

@@ -134,7 +134,7 @@ def _choices(predictions: DataFrame) -> DataFrame:
 
 def month_predictions(bars: DataFrame, model: Model, min_train: int = 60, refit_every: int = 1,
                       alignment: str = "as_published") -> DataFrame:
-    data = settle(coded(month_dataset(bars, alignment)).select("asset", "period_end", "y", *MONTH_FEATURES))
+    data = settle(coded(month_dataset(bars, alignment)).select("asset", "period_end", "y", *MONTH_FEATURES), "period_end")
     splits = expanding_splits(period_list(data), min_train, refit_every)
     return walk_forward(data, MONTH_FEATURES, "y", model, splits)
 
@@ -152,7 +152,7 @@ def equity_monthly(bars: DataFrame, model: Model | None = None, min_train: int =
 
 def crypto_month_predictions(bars: DataFrame, model: Model | None = None, years: int = 5, refit_every: int = 1,
                              alignment: str = "as_published") -> DataFrame:
-    data = settle(coded(crypto_month_dataset(bars, alignment)).select("asset", "period_end", "y", *CRYPTO_FEATURES))
+    data = settle(coded(crypto_month_dataset(bars, alignment)).select("asset", "period_end", "y", *CRYPTO_FEATURES), "period_end")
     splits = calendar_splits(period_list(data), years, refit_every=refit_every)
     return walk_forward(data, CRYPTO_FEATURES, "y", model or boosting(150, 0.05, 2, 0.8, "standard"), splits)
 
@@ -167,7 +167,7 @@ def crypto_monthly(bars: DataFrame, model: Model | None = None, refit_every: int
 def crypto_weekly(bars: DataFrame, model: Model | None = None, min_train: int = 104, refit_every: int = 1,
                   alignment: str = "as_published", horizon: int = 4) -> Backtest:
     """Weekly rules and the boosted choice on predicted weeks; any choice but the first two is reversal."""
-    data = settle(coded(crypto_week_dataset(bars, alignment)).select("asset", "period_end", "y", *CRYPTO_FEATURES))
+    data = settle(coded(crypto_week_dataset(bars, alignment)).select("asset", "period_end", "y", *CRYPTO_FEATURES), "period_end")
     splits = expanding_splits(period_list(data), min_train, refit_every, available_from(alignment, horizon))
     pred = walk_forward(data, CRYPTO_FEATURES, "y", model or boosting(200, 0.05, 2, 0.7), splits)
     rules = week_rules_of(bars).join(_choices(pred), ["asset", "period_end"])
@@ -176,7 +176,7 @@ def crypto_weekly(bars: DataFrame, model: Model | None = None, min_train: int =
 
 def binary_predictions(bars: DataFrame, model: Model | None = None, min_train: int = 60,
                        refit_every: int = 1) -> DataFrame:
-    data = settle(binary_dataset(bars).select("asset", "period_end", "go_active", *MONTH_FEATURES))
+    data = settle(binary_dataset(bars).select("asset", "period_end", "go_active", *MONTH_FEATURES), "period_end")
     splits = expanding_splits(period_list(data), min_train, refit_every)
     return walk_forward(data, MONTH_FEATURES, "go_active", model or logistic(), splits)
 

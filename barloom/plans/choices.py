@@ -14,7 +14,7 @@ from barloom.operators.strategies import (
     target_not_default, with_oracle,
 )
 from barloom.plans import sql_parts as q
-from barloom.plans.pipelines import (
+from barloom.plans.backtests import (
     WITH_ML, WITH_ORACLE, Backtest, binary_dataset, crypto_month_dataset, crypto_month_features,
     crypto_week_dataset, labelled_daily, month_dataset, rules_of, week_rules_of,
 )

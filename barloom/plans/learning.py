@@ -13,7 +13,7 @@ from barloom.operators.learning import (
     boosting, cluster_regimes, compare_models, forest, kfold_splits, logistic, period_list, rolling_splits,
 )
 from barloom.operators.metrics import accuracy, shares
-from barloom.plans.pipelines import (
+from barloom.plans.backtests import (
     MONTH_FEATURES, binary_predictions, binary_switch, coded, crypto_month_dataset, crypto_month_predictions,
     crypto_weekly, equity_monthly, month_dataset, month_predictions,
 )
@@ -80,7 +80,7 @@ def mean_scores(predictions):
 @query(Shape("model", n="folds", sig="accuracy balanced_accuracy"))
 def cv_model_comparison(spark, sf_dir):
     """Mean fold accuracies of three model families over the expanding five-fold split."""
-    data = settle(coded(month_dataset(segment_bars(spark, sf_dir))))
+    data = settle(coded(month_dataset(segment_bars(spark, sf_dir))), "period_end")
     models = [logistic(), forest(20, 5, 5), boosting(5, 0.05, 3)]
     return mean_scores(compare_models(data, MONTH_FEATURES, "y", models, kfold_splits(period_list(data))))
 
@@ -88,7 +88,7 @@ def cv_model_comparison(spark, sf_dir):
 @query(Shape("model", n="folds", sig="accuracy balanced_accuracy"))
 def cv_rolling_comparison(spark, sf_dir):
     """Mean accuracies of conservative models trained on sliding windows with robust scaling."""
-    data = settle(coded(crypto_month_dataset(settled_bars(spark, sf_dir))))
+    data = settle(coded(crypto_month_dataset(settled_bars(spark, sf_dir))), "period_end")
     models = [logistic(scaler="robust"), forest(15, 3, 4), boosting(5, 0.1, 1, 0.8)]
     splits = rolling_splits(period_list(data), 36, refit_every=12)
     return mean_scores(compare_models(data, CRYPTO_FEATURES, "y", models, splits))

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from barloom.plans import sql_parts
 
@@ -26,16 +25,13 @@ class Shape:
     sig: str = ""
 
     def apply(self, df: DataFrame) -> DataFrame:
-        def significant(c: str):
-            text = F.format_string("%.8e", F.col(c).cast("double"))
-            return F.when(F.col(c).isNotNull(), text).cast("double") + F.lit(0.0)
-
-        return df.select(
+        return df.selectExpr(
             *self.keys.split(),
-            *[F.col(c).cast("bigint").alias(c) for c in self.n.split()],
-            *[(F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) for c in self.r6.split()],
-            *[(F.round(F.col(c).cast("double"), 3) + F.lit(0.0)).alias(c) for c in self.r3.split()],
-            *[significant(c).alias(c) for c in self.sig.split()],
+            *[f"CAST({c} AS BIGINT) AS {c}" for c in self.n.split()],
+            *[f"round(CAST({c} AS DOUBLE), 6) + 0.0D AS {c}" for c in self.r6.split()],
+            *[f"round(CAST({c} AS DOUBLE), 3) + 0.0D AS {c}" for c in self.r3.split()],
+            *[f"CASE WHEN {c} IS NOT NULL THEN CAST(format_string('%.8e', CAST({c} AS DOUBLE)) AS DOUBLE) + 0.0D END AS {c}"
+              for c in self.sig.split()],
         )
 
     def sql(self, source: str) -> str:

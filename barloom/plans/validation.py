@@ -16,7 +16,7 @@ from barloom.operators.metrics import (
 from barloom.operators.strategies import label_same_period, with_oracle
 from barloom.plans import sql_parts as q
 from barloom.plans.choices import last_choice, month_rules, monthly_dataset
-from barloom.plans.pipelines import month_dataset, rules_of
+from barloom.plans.backtests import month_dataset, rules_of
 from barloom.plans.registry import Shape, query
 from barloom.sources.bars import segment_bars, settled_bars
 from barloom.sources.checks import known_label, unknown_labels

@@ -17,7 +17,7 @@ from barloom.operators.strategies import (
     monthly_rules, target_active_wins, target_not_default, weekly_rules, with_oracle,
 )
 from barloom.plans.choices import month_rules
-from barloom.plans.pipelines import crypto_week_dataset
+from barloom.plans.backtests import crypto_week_dataset
 from barloom.sources.bars import segment_bars
 from tests.conftest import collect
 
