@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from barloom.llm import quality, toxicity
 from barloom.llm.byte_bpe import encode_decode
 from barloom.llm.catalog import registered
-from barloom.llm.common import table
+from barloom.llm.common import crc_mod, table
 from barloom.llm.sharding import lookup_table, place
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -28,9 +29,30 @@ def op3_sharding(spark, sf_dir):
     return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+@registered()
+def op5_quality(spark, sf_dir):
+    """Every document's quality; rows with remainder 1 are kept out of training."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    return _predicted(quality.score(docs, model), crc_mod("doc_id", 3) == 1, 0.5)
+
+
 @registered()
 def op8_byte_bpe(spark, sf_dir):
     docs = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                          public_tokenizers.PATTERN)
     return docs.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@registered()
+def op10_toxicity(spark, sf_dir):
+    """Every document's toxicity; rows with remainder 2 are kept out of training."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
+    return _predicted(toxicity.score(docs, model), crc_mod("doc_id", 4) == 2, 0.3)
+
+
+def _predicted(scores, held_out, threshold):
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= threshold).cast("int").alias("predicted"))
