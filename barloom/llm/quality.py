@@ -11,6 +11,8 @@ from barloom.llm.labelled import SAMPLE_ROWS, fitted, labelled_sample, scored, s
 #: Bins of the hashing trick; the model is this many 32-bit weights and an intercept.
 BINS = 1 << 18
 ORDERS = (1, 2)
+#: Bins that repeats share with whatever hashes there.
+REPEATS = 100
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.5
 
 
@@ -19,7 +21,10 @@ def make_features():
 
     def features(text: bytes) -> np.ndarray:
         h = hashes.of(terms(text))
-        return np.concatenate([rolled(h, n) % np.uint64(BINS) for n in ORDERS]).astype(np.int32)
+        grams = [rolled(h, n) % np.uint64(BINS) for n in ORDERS]
+        # a term that comes again at once, or after one other, is an n-gram of its own whatever the term is
+        again = [np.full((h[d:] == h[:-d]).sum(), REPEATS + d, np.uint64) for d in (1, 2)]
+        return np.concatenate(grams + again).astype(np.int32)
 
     return features
 

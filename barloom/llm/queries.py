@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from barloom.llm import quality, toxicity
+from barloom.llm import secrets as secret_scan
 from barloom.llm.byte_bpe import encode_decode
 from barloom.llm.catalog import registered
 from barloom.llm.common import crc_mod, table
@@ -29,6 +30,15 @@ def op3_sharding(spark, sf_dir):
     return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+@registered()
+def op4_secrets(spark, sf_dir):
+    """Known kinds of secrets and strings of high entropy in every document."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [secret_scan.of_kind(F.col("base"), k).alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.listed(F.col("spans")).alias("spans"))
+
+
 @registered()
 def op5_quality(spark, sf_dir):
     """Every document's quality; rows with remainder 1 are kept out of training."""
