@@ -16,8 +16,10 @@ from barloom.llm.common import by_piece, id_text
 
 #: A rank file is broadcast; a larger one is refused.
 MAX_RANK_BYTES = 64 << 20
-#: Distinct chunks of text whose ids a worker remembers, and the longest that is remembered.
+#: Distinct chunks and pre-tokens whose ids a worker remembers between pieces of text, and the longest of them.
 MEMORY, LONGEST = 400_000, 48
+#: From so many pre-tokens on they are merged together.
+MANY = 2_000
 
 SPACE_RUN = re.compile(r"\s ")
 CHUNK = re.compile(r"(?<=\S)(?= )")
@@ -45,28 +47,38 @@ class RankQueue:
             heapq.heappush(bucket, position)
             return
         self.buckets[rank] = [position]
+        self.mark(rank)
+
+    def pop(self) -> tuple[int, int]:
+        """Lowest rank, then lowest position."""
+        rank = self.lowest()
+        bucket = self.buckets[rank]
+        position = heapq.heappop(bucket)
+        if not bucket:
+            del self.buckets[rank]
+            self.clear(rank)
+        return rank, position
+
+    def mark(self, rank: int) -> None:
         word, group = rank >> 6, rank >> 12
         self.words[word] = self.words.get(word, 0) | 1 << (rank & 63)
         self.groups[group] = self.groups.get(group, 0) | 1 << (word & 63)
         self.top |= 1 << group
 
-    def pop(self) -> tuple[int, int]:
-        """Lowest rank, then lowest position."""
+    def lowest(self) -> int:
         group = (self.top & -self.top).bit_length() - 1
         bits = self.groups[group]
         word = (group << 6) + (bits & -bits).bit_length() - 1
         low = self.words[word]
-        rank = (word << 6) + (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = low & (low - 1)
-            if not self.words[word]:
-                self.groups[group] = bits & (bits - 1)
-                if not self.groups[group]:
-                    self.top &= self.top - 1
-        return rank, position
+        return (word << 6) + (low & -low).bit_length() - 1
+
+    def clear(self, rank: int) -> None:
+        word, group = rank >> 6, rank >> 12
+        self.words[word] &= ~(1 << (rank & 63))
+        if not self.words[word]:
+            self.groups[group] &= ~(1 << (word & 63))
+            if not self.groups[group]:
+                self.top &= ~(1 << group)
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -114,6 +126,117 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+class Merger:
+    """The same merges for many pre-tokens at once, laid end to end with a barrier between them.
+
+    One rank queue serves all of them. A bucket's positions are merged together with array operations; where
+    two of them overlap, the leftmost goes first. A merge can, with odd vocabularies, bring up a pair of lower
+    rank than its own, which would have to come before the rest of the bucket: such a pre-token is done
+    again by itself.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        pairs = [(left << 32 | right, rank) for token, rank in ranks.items() for cut in range(1, len(token))
+                 if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None]
+        pairs.sort()
+        self.pairs = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self.ranked = np.array([r for _, r in pairs] + [-1], np.int64)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where there is none or where one side is a barrier (-1)."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        found = self.ranked[at]
+        found[(self.pairs[at] != key) | (left < 0) | (right < 0)] = -1
+        return found
+
+    def run(self, pre_tokens: list[bytes]) -> list[bytes]:
+        """Ids of each, as little-endian unsigned 32-bit integers."""
+        sizes = np.fromiter(map(len, pre_tokens), np.int64, len(pre_tokens))
+        starts = np.concatenate([[0], np.cumsum(sizes + 1)])
+        n = int(starts[-1])
+        token = np.full(n + 1, -1, np.int64)
+        inside = np.ones(n, bool)
+        inside[starts[1:] - 1] = False
+        token[:n][inside] = self.byte[np.frombuffer(b"".join(pre_tokens), np.uint8)]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[n], before[0] = n, n  # the last place is a barrier for both ends
+        waits = np.full(n + 1, -1, np.int64)
+        waits[:n] = self.pair_ranks(token[:-1], token[1:])
+        queue = _Buckets()
+        queue.push(waits, np.flatnonzero(waits >= 0))
+        odd = []
+        while queue.top:
+            rank, at = queue.pop()
+            at = at[waits[at] == rank]  # the others are stale
+            if len(at) > 1:
+                at = np.unique(at)
+                touching = after[at[:-1]] == at[1:]
+                if touching.any():
+                    place = np.arange(len(at))
+                    heads = np.concatenate([[True], ~touching])
+                    at = at[(place - np.maximum.accumulate(np.where(heads, place, 0))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            end = after[gone]
+            token[at] = rank
+            token[gone] = -2
+            waits[gone] = -1
+            after[at] = end
+            before[end] = at
+            left = before[at]
+            waits[at] = right_rank = self.pair_ranks(token[at], token[end])
+            waits[left] = left_rank = self.pair_ranks(token[left], token[at])
+            changed = np.concatenate([at[right_rank >= 0], left[left_rank >= 0]])
+            if len(changed):
+                low = waits[changed] < rank
+                if low.any():
+                    odd.append(changed[low])
+                queue.push(waits, changed)
+        kept = token[:n]
+        ends = np.cumsum(kept >= 0)[starts[1:] - 1].tolist()
+        ids = kept[kept >= 0].astype("<u4").tobytes()
+        out, begin = [], 0
+        for end in ends:
+            out.append(ids[4 * begin:4 * end])
+            begin = end
+        for i in set((np.searchsorted(starts, np.concatenate(odd), side="right") - 1).tolist()) if odd else ():
+            out[i] = np.array(merge(pre_tokens[i], self.ranks), "<u4").tobytes()
+        return out
+
+
+class _Buckets(RankQueue):
+    """The rank queue with arrays of positions in its buckets."""
+
+    __slots__ = ()
+
+    def push(self, waits: np.ndarray, at: np.ndarray) -> None:
+        rank = waits[at]
+        if len(at) > 1:
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            parts = zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], rank[np.concatenate([[0], cuts])].tolist(), strict=True)
+        else:
+            parts = [(0, 1, int(rank[0]))]
+        for start, stop, r in parts:
+            bucket = self.buckets.get(r)
+            if bucket is not None:
+                bucket.append(at[start:stop])
+                continue
+            self.buckets[r] = [at[start:stop]]
+            self.mark(r)
+
+    def pop(self) -> tuple[int, np.ndarray]:
+        rank = self.lowest()
+        bucket = self.buckets.pop(rank)
+        self.clear(rank)
+        return rank, bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
+
+
 class Codec:
     """Encoder and decoder of one rank file and one split pattern."""
 
@@ -121,42 +244,55 @@ class Codec:
         self.ranks = parse_ranks(data)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
-        self.spaced: dict[str, bytes] = _Remembered(self, " ")
-        self.plain: dict[str, bytes] = _Remembered(self, "")
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
-
-        No match of the pattern runs from a character that is no white space into a following blank, so the
-        text may be cut there, and each chunk be looked up before it is split and merged.
-        """
-        if SPACE_RUN.search(text) is None:
-            head, *tail = text.split(" ")
-            return self.plain[head] + b"".join(map(self.spaced.__getitem__, tail))
-        return b"".join(map(self.plain.__getitem__, CHUNK.split(text)))
-
-    def chunk(self, text: str) -> bytes:
-        ids: list[int] = []
-        for match in self.find(text):
-            ids += merge(match.encode(), self.ranks)
-        return np.array(ids, "<u4").tobytes()
+        self.merger = Merger(self.ranks)
+        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        for memory in (self.chunks, self.known):
+            if len(memory) > MEMORY:
+                memory.clear()
+        parts = list(map(cut, texts))
+        missing = list(set().union(*parts).difference(self.chunks)) if parts else []
+        split = list(map(self.find, missing))
+        self.known.update(self.merge_all(list(set().union(*split).difference(self.known))))
+        for c, found in zip(missing, split, strict=True):
+            self.chunks[c] = b"".join(map(self.known.__getitem__, found))
+        ids = [b"".join(map(self.chunks.__getitem__, p)) for p in parts]
+        for memory, new in ((self.chunks, missing), (self.known, {t for found in split for t in found})):
+            for key in new:
+                if len(key) > LONGEST:
+                    memory.pop(key, None)
+        return ids
+
+    def merge_all(self, pre_tokens: list[str]) -> dict[str, bytes]:
+        done, rest, raw = {}, [], []
+        for t in pre_tokens:
+            data = t.encode()
+            rank = self.ranks.get(data)
+            if rank is not None:
+                done[t] = rank.to_bytes(4, "little")
+            else:
+                rest.append(t)
+                raw.append(data)
+        if len(rest) >= MANY:
+            done.update(zip(rest, self.merger.run(raw), strict=True))
+        else:
+            done.update((t, np.array(merge(d, self.ranks), "<u4").tobytes()) for t, d in zip(rest, raw, strict=True))
+        return done
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Remembered(dict):
-    def __init__(self, codec: Codec, lead: str) -> None:
-        super().__init__()
-        self.codec, self.lead = codec, lead
-
-    def __missing__(self, text: str) -> bytes:
-        ids = self.codec.chunk(self.lead + text)
-        if len(text) <= LONGEST:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[text] = ids
-        return ids
+def cut(text: str) -> list[str]:
+    """Chunks that can be split by themselves: no match of the pattern runs from a character that is no white
+    space into a following blank."""
+    if SPACE_RUN.search(text) is None:
+        head, *tail = text.replace(" ", "\0 ").split("\0") if "\0" not in text else CHUNK.split(text)
+        return [head, *tail] if head else tail
+    return CHUNK.split(text)
 
 
 _codecs: dict[tuple[int, str], Codec] = {}
@@ -186,7 +322,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
         codec = _codec(shared.value, pattern)
 
         def work(piece: pa.RecordBatch) -> dict:
-            ids = [codec.encode(x) if x else b"" for x in piece.column("text").to_pylist()]
+            ids = codec.encode([x or "" for x in piece.column("text").to_pylist()])
             return {"doc_id": piece.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids],
                     "ids": pa.array(ids, pa.binary()), "decoded": pa.array(map(codec.decode, ids), pa.binary())}
 
