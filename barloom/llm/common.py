@@ -98,7 +98,7 @@ def rolled(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out, done, power, step, base = None, 0, h, 1, ODD
+    out, done, power, step, base = None, 0, h, 1, np.array([ODD])
     while True:
         if width & step:
             out = power[:n] if out is None else out * base + power[done:done + n]

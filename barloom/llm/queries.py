@@ -10,6 +10,7 @@ from barloom.llm import secrets as secret_scan
 from barloom.llm.byte_bpe import encode_decode
 from barloom.llm.catalog import registered
 from barloom.llm.common import crc_mod, table
+from barloom.llm.near_dup import near_duplicates
 from barloom.llm.sharding import lookup_table, place
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -47,6 +48,13 @@ def op5_quality(spark, sf_dir):
     return _predicted(quality.score(docs, model), crc_mod("doc_id", 3) == 1, 0.5)
 
 
+@registered()
+def op7_near_dup(spark, sf_dir):
+    """Groups of near copies, by four-word shingles, linked from a similarity of 0.8."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 @registered()
 def op8_byte_bpe(spark, sf_dir):
     docs = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
