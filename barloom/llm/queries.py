@@ -12,6 +12,7 @@ from barloom.llm.catalog import registered
 from barloom.llm.common import crc_mod, table
 from barloom.llm.near_dup import near_duplicates
 from barloom.llm.sharding import lookup_table, place
+from barloom.llm.substrings import remove_repeats
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -25,6 +26,16 @@ def _sharding_sql() -> str:
     )
 
 
+@registered()
+def op2_substring_dedup(spark, sf_dir):
+    """Documents without passages of 20 words that start earlier."""
+    return _digested(remove_repeats(table(spark, sf_dir, "documents"), width=20))
+
+
+def _digested(rows):
+    return rows.withColumn("kept_sha256", F.sha2(F.col("kept"), 256)).drop("kept")
+
+
 @registered(sql=_sharding_sql())
 def op3_sharding(spark, sf_dir):
     """Documents over 64 shards by their doc_id."""
