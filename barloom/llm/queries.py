@@ -10,6 +10,7 @@ from barloom.llm import secrets as secret_scan
 from barloom.llm.byte_bpe import encode_decode
 from barloom.llm.catalog import registered
 from barloom.llm.common import crc_mod, table
+from barloom.llm.contamination import contained_items
 from barloom.llm.near_dup import near_duplicates
 from barloom.llm.sharding import lookup_table, place
 from barloom.llm.substrings import remove_repeats
@@ -59,6 +60,12 @@ def op5_quality(spark, sf_dir):
     return _predicted(quality.score(docs, model), crc_mod("doc_id", 3) == 1, 0.5)
 
 
+@registered()
+def op6_decontamination(spark, sf_dir):
+    """Benchmark items of which four fifths of the five-word shingles are in a document."""
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @registered()
 def op7_near_dup(spark, sf_dir):
     """Groups of near copies, by four-word shingles, linked from a similarity of 0.8."""
