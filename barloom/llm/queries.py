@@ -11,6 +11,7 @@ from barloom.llm.byte_bpe import encode_decode
 from barloom.llm.catalog import registered
 from barloom.llm.common import crc_mod, table
 from barloom.llm.contamination import contained_items
+from barloom.llm.hnsw import nearest_neighbours
 from barloom.llm.near_dup import near_duplicates
 from barloom.llm.sharding import lookup_table, place
 from barloom.llm.substrings import remove_repeats
@@ -81,6 +82,12 @@ def op8_byte_bpe(spark, sf_dir):
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@registered()
+def op9_hnsw(spark, sf_dir):
+    """The five nearest other vectors of every fiftieth one."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 @registered()
 def op10_toxicity(spark, sf_dir):
     """Every document's toxicity; rows with remainder 2 are kept out of training."""
