@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from barloom.llm import quality, toxicity
+from barloom.llm import quality, suffixes, toxicity
 from barloom.llm import secrets as secret_scan
 from barloom.llm.byte_bpe import encode_decode
 from barloom.llm.catalog import registered
@@ -28,6 +28,12 @@ def _sharding_sql() -> str:
     )
 
 
+@registered()
+def op1_suffix_dedup(spark, sf_dir):
+    """Documents without byte strings of 400 that start anywhere else."""
+    return _digested(suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400))
+
+
 @registered()
 def op2_substring_dedup(spark, sf_dir):
     """Documents without passages of 20 words that start earlier."""
