@@ -22,8 +22,10 @@ from barloom.session import settle
 
 #: Bytes of the piece that makes an anchor, and bits that hold a position while anchors are looked for.
 PIECE, PLACE_BITS = 64, 24
+#: Bytes that are hashed at a time.
+CHUNK = 1 << 20
 #: Suffixes are sorted in runs of about so many bytes, and a merge takes ranges of about so many.
-RUN_BYTES, RANGE_BYTES = 48 << 20, 24 << 20
+RUN_BYTES, RANGE_BYTES = 16 << 20, 8 << 20
 #: Anchors with one piece beyond which they are not gathered in one task but compared by their windows' digests.
 HOT = 200_000
 
@@ -31,7 +33,7 @@ HOT = 200_000
 def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Anchors of texts laid end to end: position, first and last window start they stand for, piece hash."""
     wide = length - PIECE + 1
-    step = (1 << PLACE_BITS) - 2 * length
+    step = min(CHUNK, (1 << PLACE_BITS) - 2 * length)
     out: list[tuple] = []
     for begin in range(0, max(len(data) - length + 1, 0), step):
         part = data[begin:begin + step + length - 1]
