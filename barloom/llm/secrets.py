@@ -112,9 +112,10 @@ def peak_entropy(candidate: Column, rule: CharacterClass) -> Column:
         into = F.instr(F.lit(rule.members), F.substring(candidate, i, F.lit(1)))
         gone = F.when(i > w, F.instr(F.lit(rule.members), F.substring(candidate, i - w, F.lit(1)))).otherwise(0)
         same = into == gone
-        a, b = F.element_at(state["n"], into), F.when(gone > 0, F.element_at(state["n"], F.greatest(gone, F.lit(1))))
-        total = F.when(same, state["sum"]).otherwise(
-            state["sum"] + value(a + 1) - value(a) + F.coalesce(value(b - 1) - value(b), F.lit(0.0)))
+        # no index here is ever null: element_at counts as never null, whatever its index
+        a, b = F.element_at(state["n"], into), F.greatest(F.element_at(state["n"], F.greatest(gone, F.lit(1))), F.lit(1))
+        less = F.when(gone > 0, value(b - 1) - value(b)).otherwise(0.0)
+        total = F.when(same, state["sum"]).otherwise(state["sum"] + value(a + 1) - value(a) + less)
         counts = F.transform(state["n"], lambda n, k: n + F.when(k + 1 == into, 1).otherwise(0)
                              - F.when(k + 1 == gone, 1).otherwise(0))
         least = F.when(i >= w, F.least(state["least"], total)).otherwise(state["least"])
