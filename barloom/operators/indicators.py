@@ -62,14 +62,18 @@ def rolling_drawdown(price: str, n: int, s: Series) -> Column:
     return excess_ratio(F.col(price), rolling_max(price, n, s, min_periods=1))
 
 
+#: Name of the price carried over missing ones, from which changes over 1, 5, 21 and 63 rows are taken.
+HELD = "_held"
+
+
 def equity_frames(df: DataFrame, s: Series = DAILY) -> DataFrame:
     """The columns of the equity bundle that look back a fixed number of rows (200 at most)."""
     price = "adj_close"
     df = df.withColumns({
-        "daily_return": lag_return(price, s),
+        "daily_return": lag_return(HELD, s),
         "mom_20d": lag_return(price, s, 20),
         "mom_60d": lag_return(price, s, 60),
-        "weekly_return_5d": lag_return(price, s, 5),
+        "weekly_return_5d": lag_return(HELD, s, 5),
         "intraday_range": ratio(F.col("high") - F.col("low"), "close"),
         "drawdown_60d": rolling_drawdown(price, 60, s),
         **{f"sma_{n}": rolling_mean(price, n, s) for n in (20, 50, 200)},
@@ -80,7 +84,7 @@ def equity_frames(df: DataFrame, s: Series = DAILY) -> DataFrame:
         **{f"price_over_sma{n}": excess_ratio(F.col(price), F.col(f"sma_{n}")) for n in (20, 50, 200)},
         "intraday_range_10d_ma": rolling_mean("intraday_range", 10, s),
         "rsi_14": rsi_from("_gain", "_loss", 14, s),
-    }).drop("_gain", "_loss")
+    }).drop("_gain", "_loss", HELD)
 
 
 def equity_indicators(bars: DataFrame, s: Series = DAILY, block_rows: int | None = None) -> DataFrame:
@@ -88,10 +92,10 @@ def equity_indicators(bars: DataFrame, s: Series = DAILY, block_rows: int | None
 
     ``block_rows`` switches to blocks for series too long for one window group; pass a stored table then.
     """
-    means = {"ema_20": ("adj_close", 20)}
+    means, held = {"ema_20": ("adj_close", 20)}, {HELD: "adj_close"}
     if block_rows is None:
-        return equity_frames(ewm(bars, means, s).withColumn("row_nr", F.row_number().over(s.rows)), s)
-    return in_blocks(number_rows(ewm_by_year(bars, means, s), s), s, EQUITY_REACH, equity_frames, block_rows)
+        return equity_frames(ewm(bars, means, s, held).withColumn("row_nr", F.row_number().over(s.rows)), s)
+    return in_blocks(number_rows(ewm_by_year(bars, means, s, held), s), s, EQUITY_REACH, equity_frames, block_rows)
 
 
 def equity_features(bars: DataFrame, s: Series = DAILY, block_rows: int | None = None) -> DataFrame:
@@ -106,7 +110,7 @@ def crypto_frames(df: DataFrame, variant: str, s: Series = DAILY) -> DataFrame:
     price = "adj_close"
     smas = (10, 21, 50, 200) if variant == "monthly" else (10, 50, 200)
     df = df.withColumns({
-        **{f"ret_{n}d": lag_return(price, s, n) for n in (1, 5, 21, 63)},
+        **{f"ret_{n}d": lag_return(HELD, s, n) for n in (1, 5, 21, 63)},
         **{f"sma_{n}": rolling_mean(price, n, s) for n in smas},
         **gains_losses(price, s, "null"),
     })
@@ -115,7 +119,7 @@ def crypto_frames(df: DataFrame, variant: str, s: Series = DAILY) -> DataFrame:
         **{f"vol_{n}d": rolling_std("ret_1d", n, s) * scale for n in (21, 63)},
         **{f"px_over_sma_{n}": excess_ratio(F.col(price), F.col(f"sma_{n}")) for n in (10, 50, 200)},
         "rsi_14": rsi_from("_gain", "_loss", 14, s),
-    }).drop("_gain", "_loss")
+    }).drop("_gain", "_loss", HELD)
     score = zscore("volume", 21, s) if variant == "monthly" else zscore("vol_21d", 252, s)
     return df.withColumn("vol_zscore_21d", score)
 
@@ -130,9 +134,9 @@ def crypto_features(bars: DataFrame, variant: str = "monthly", s: Series = DAILY
     if variant not in ("monthly", "weekly"):
         raise ValueError(f"variant must be monthly or weekly, got {variant!r}")
     if block_rows is None:
-        df = crypto_frames(macd(bars, s=s), variant, s)
+        df = crypto_frames(macd(bars, s=s, pad={HELD: "adj_close"}), variant, s)
     else:
-        numbered = number_rows(macd(bars, s=s, scan=ewm_by_year), s)
+        numbered = number_rows(macd(bars, s=s, scan=ewm_by_year, pad={HELD: "adj_close"}), s)
         df = in_blocks(numbered, s, CRYPTO_REACH, lambda part, series: crypto_frames(part, variant, series), block_rows)
     averages = [c for c in df.columns if c.startswith("sma_")] if variant == "monthly" else []
     return df.select(*bars.columns, *CRYPTO_FEATURES, *averages)
@@ -162,13 +166,17 @@ def widen_quotes(quotes: DataFrame, tickers: dict[str, str], field: str = "adj_c
     """One field of a tidy multi-ticker table as one column per ticker, carried forward by date.
 
     ``tickers`` maps the quoted name to the output column. The pivot is a conditional aggregation on
-    (keys, day); after it a market has one row per day, so the carry sees at most 366 rows per year.
+    (keys, day). The carry runs over the tidy rows, one series per ticker, so no task holds a whole market.
+    A day on which only some tickers have a row gets the other ones' last values: every day of the table is
+    put before each ticker's carry.
     """
-    wide = quotes.filter(F.col("field") == field).groupBy(*keys, "d").agg(
+    kept = quotes.filter((F.col("field") == field) & F.col("ticker").isin(*tickers))
+    tidy = kept.groupBy(*keys, "d", "ticker").agg(F.max("value").alias("value"))
+    every = tidy.select(*keys, "d").distinct().withColumn("ticker", F.explode(F.array(*[F.lit(t) for t in tickers])))
+    filled = every.join(tidy, [*keys, "d", "ticker"], "left")
+    carried = filled.withColumn("value", ffill("value", Series((*keys, "ticker"), "d")))
+    return carried.groupBy(*keys, "d").agg(
         *[F.max(F.when(F.col("ticker") == t, F.col("value"))).alias(name) for t, name in tickers.items()])
-    market = Series((*keys, "_market"), "d")
-    carried = wide.withColumn("_market", F.lit(0)).withColumns({c: ffill(c, market) for c in tickers.values()})
-    return carried.drop("_market")
 
 
 def align_macro(df: DataFrame, macro: DataFrame, columns: Sequence[str], s: Series = DAILY) -> DataFrame:

@@ -15,13 +15,13 @@ STATS = ("total_return", "annualized_return", "annualized_vol", "sharpe", "max_d
 
 def equity_wide(returns: DataFrame, columns: Sequence[str], s: Series = PERIODIC) -> DataFrame:
     """Equity of every strategy column, starting from one unit."""
-    return returns.withColumns({f"eq_{c}": growth(c, s) for c in columns})
+    return returns.withColumns({f"eq_{c}": growth(_named(c), s) for c in columns})
 
 
 def equity_curves(returns: DataFrame, strategies: Mapping[str, str], s: Series = PERIODIC) -> DataFrame:
     """Chart-ready rows (keys, period, strategy, equity) for a {column: name} mapping."""
     wide = equity_wide(returns, list(strategies), s)
-    named = wide.select(*s.keys, *s.order, *[F.col(f"eq_{c}").alias(n) for c, n in strategies.items()])
+    named = wide.select(*s.keys, *s.order, *[_named(f"eq_{c}").alias(n) for c, n in strategies.items()])
     return named.unpivot([*s.keys, *s.order], list(strategies.values()), "strategy", "equity")
 
 
@@ -34,22 +34,30 @@ def performance(returns: DataFrame, strategies: Mapping[str, str], periods_per_y
     """
     columns = list(strategies)
     curves = equity_wide(returns, columns, s)
-    curves = curves.withColumns({f"top_{c}": running_max(f"eq_{c}", s) for c in columns})
-    ppy = float(periods_per_year)
-    per_key = curves.groupBy(*s.keys).agg(
-        *[F.product(F.lit(1.0) + F.col(c)).alias(f"growth_{c}") for c in columns],
-        *[F.expr(text) for c in columns for text in (
-            f"count({c}) AS n_{c}",
-            f"stddev_samp({c}) * sqrt({ppy}D) AS vol_{c}",
-            f"min(try_divide(eq_{c}, top_{c}) - 1.0D) AS dd_{c}",
-        )])
-    # a series that lost more than everything has no geometric mean
-    annual = {c: f"CASE WHEN growth_{c} >= 0 THEN power(growth_{c}, {ppy}D / n_{c}) - 1.0D END" for c in columns}
-    rows = ", ".join(
-        f"struct('{name}' AS strategy, n_{c} AS periods, growth_{c} - 1.0D AS total_return, {annual[c]} AS annualized_return, "
-        f"vol_{c} AS annualized_vol, CASE WHEN vol_{c} > 0 THEN {annual[c]} / vol_{c} END AS sharpe, dd_{c} AS max_drawdown)"
-        for c, name in strategies.items())
-    return per_key.selectExpr(*s.keys, f"inline(array({rows}))")
+    curves = curves.withColumns({f"top_{c}": running_max(_named(f"eq_{c}"), s) for c in columns})
+    root = F.sqrt(F.lit(float(periods_per_year)))
+    stats = [stat for c in columns for stat in (
+        F.product(F.lit(1.0) + _named(c)).alias(f"growth_{c}"),
+        F.count(_named(c)).alias(f"n_{c}"),
+        (F.stddev_samp(_named(c)) * root).alias(f"vol_{c}"),
+        F.min(ratio(_named(f"eq_{c}"), _named(f"top_{c}")) - F.lit(1.0)).alias(f"dd_{c}"),
+    )]
+    per_key = curves.groupBy(*s.keys).agg(*stats)
+
+    def row(c: str, name: str) -> Column:
+        total, n, vol = _named(f"growth_{c}"), _named(f"n_{c}"), _named(f"vol_{c}")
+        # a series that lost more than everything has no geometric mean
+        annual = F.when(total >= 0, F.pow(total, F.lit(float(periods_per_year)) / n) - F.lit(1.0))
+        return F.struct(F.lit(name).alias("strategy"), n.alias("periods"), (total - F.lit(1.0)).alias("total_return"),
+                        annual.alias("annualized_return"), vol.alias("annualized_vol"),
+                        F.when(vol > 0, annual / vol).alias("sharpe"), _named(f"dd_{c}").alias("max_drawdown"))
+
+    return per_key.select(*s.keys, F.inline(F.array(*[row(c, name) for c, name in strategies.items()])))
+
+
+def _named(c: str) -> Column:
+    """A column by its exact name, blanks, dots and backquotes included."""
+    return F.col(f"`{c.replace('`', '``')}`")
 
 
 def shares(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:

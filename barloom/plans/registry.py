@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.plans import sql_parts
 
@@ -25,13 +26,14 @@ class Shape:
     sig: str = ""
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.selectExpr(
+        number = lambda c: F.col(c).cast("double")
+        exact = lambda c: F.format_string("%.8e", number(c)).cast("double")
+        return df.select(
             *self.keys.split(),
-            *[f"CAST({c} AS BIGINT) AS {c}" for c in self.n.split()],
-            *[f"round(CAST({c} AS DOUBLE), 6) + 0.0D AS {c}" for c in self.r6.split()],
-            *[f"round(CAST({c} AS DOUBLE), 3) + 0.0D AS {c}" for c in self.r3.split()],
-            *[f"CASE WHEN {c} IS NOT NULL THEN CAST(format_string('%.8e', CAST({c} AS DOUBLE)) AS DOUBLE) + 0.0D END AS {c}"
-              for c in self.sig.split()],
+            *[F.col(c).cast("bigint").alias(c) for c in self.n.split()],
+            *[(F.round(number(c), 6) + F.lit(0.0)).alias(c) for c in self.r6.split()],
+            *[(F.round(number(c), 3) + F.lit(0.0)).alias(c) for c in self.r3.split()],
+            *[F.when(F.col(c).isNotNull(), exact(c) + F.lit(0.0)).alias(c) for c in self.sig.split()],
         )
 
     def sql(self, source: str) -> str:
