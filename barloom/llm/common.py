@@ -117,6 +117,50 @@ def shingles(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
     return rolled(h, min(width, len(words)))
 
 
+# Bytes that part words: blank and tab to carriage return.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
+_INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
+_powers = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as the longest text so far needed."""
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 17)
+        for i, base in enumerate((ODD, _INVERSE)):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _powers[i] = np.cumprod(table, dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hash of every word of a text, in order, without making the words.
+
+    A word's hash is a polynomial of its bytes: the difference of two running sums over the text, brought to
+    the word's own start. Only array operations touch the bytes.
+    """
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~_BLANK[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    powers, inverse = _power_tables(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers, out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * MIX)
+
+
+def text_shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of all shingles of ``width`` words of a text; fewer words are one shingle, no word is none."""
+    h = word_hashes(text)
+    return rolled(h, min(width, len(h))) if len(h) else h
+
+
 def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

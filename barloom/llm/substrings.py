@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WordHashes, as_long, by_piece, id_text, mixed, pieces, raw, rolled
+from barloom.llm.common import as_long, by_piece, id_text, mixed, pieces, raw, rolled, word_hashes
 
 #: The sketch: rows of saturating counters 0, 1, "2 or more". Its size is fixed, whatever the input: what is
 #: broadcast is one bit per counter, 16 MB. More windows than counters make it let more through, never less.
@@ -49,10 +49,9 @@ def partial_sketches(docs: DataFrame, width: int) -> DataFrame:
 
     def build(batches):
         counts = [np.zeros(CELLS, np.uint8) for _ in range(ROWS)]
-        hashes = WordHashes()
         for piece in pieces(batches):
-            lows = [np.unique(windows(hashes.of(words), width)[1]) for x in raw(piece.column("text"))
-                    if len(words := x.split()) >= width]
+            lows = [np.unique(windows(h, width)[1]) for x in raw(piece.column("text"))
+                    if len(h := word_hashes(x)) >= width]
             if not lows:
                 continue
             for count, at in zip(counts, cells(np.concatenate(lows)), strict=True):
@@ -128,14 +127,12 @@ def remove_repeats(docs: DataFrame, width: int = 20, key: str = "doc_id", text:
 
     def candidates(batches):
         bits = [np.frombuffer(b, np.uint8) for b in shared.value]
-        hashes = WordHashes()
         for piece in pieces(batches):
             places, found, checks = [], [], []
             for place, x in zip(piece.column("place").to_pylist(), raw(piece.column("text")), strict=True):
-                words = x.split()
-                if len(words) < width:
+                h = word_hashes(x)
+                if len(h) < width:
                     continue
-                h = hashes.of(words)
                 whole, low = windows(h, width)
                 new, at = np.unique(whole, return_index=True)
                 at = at[repeated(bits, low[at])]
@@ -148,19 +145,17 @@ def remove_repeats(docs: DataFrame, width: int = 20, key: str = "doc_id", text:
                      pa.array(np.concatenate(places))], names=["window", "more", "place"])
 
     rows = ranked.select("place", "text").mapInArrow(candidates, "window long, more int, place long")
-    first = rows.groupBy("window", "more").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("first < final")
-    later = rows.join(first.drop("final"), ["window", "more"]).where("place > first")
+    first = rows.groupBy("window", "more").agg(F.min("place").alias("first"))
+    later = rows.join(first, ["window", "more"]).where("place > first")
     gone = later.groupBy("place").agg(F.collect_set("window").alias("gone"))
 
     def make():
-        hashes = WordHashes()
-
         def one(x: bytes, gone) -> tuple[int, int, bytes]:
             words = x.split()
             n = len(words)
             if n < width:
                 return n, 0, b" ".join(words)
-            whole = as_long(rolled(hashes.of(words), width))
+            whole = as_long(rolled(word_hashes(x), width))
             _, first = np.unique(whole, return_index=True)
             bad = np.ones(len(whole), bool)
             bad[first] = False
