@@ -89,6 +89,11 @@ def number(c: str | Column) -> Column:
     return as_col(c).try_cast("double")
 
 
+# Forms of dates in price files besides ISO ones; where day and month could be swapped, the month is first.
+DATE_FORMS = ("M/d/yyyy", "yyyy/M/d", "M-d-yyyy", "d.M.yyyy", "yyyyMMdd", "d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy")
+
+
 def day(c: str | Column) -> Column:
-    """Text to DATE, missing when it does not parse."""
-    return as_col(c).try_cast("date")
+    """Text to DATE in ISO form or one of the listed forms, missing when none fits."""
+    c = F.trim(as_col(c))
+    return F.coalesce(c.try_cast("date"), *[F.try_to_date(c, form) for form in DATE_FORMS])

@@ -11,7 +11,7 @@ from barloom.operators.indicators import widen_quotes
 from barloom.operators.resample import last_row, period_returns, resample_last
 from barloom.plans import sql_parts as q
 from barloom.plans.registry import Shape, query
-from barloom.session import scratch_path, settle
+from barloom.session import scratch_path
 from barloom.sources import files
 from barloom.sources.bars import (
     between_days, brand_bars, day_bounds, macro_quotes, segment_bars, table,
@@ -40,12 +40,12 @@ def macro_wide(spark, sf_dir):
 
 
 @query(Shape("d", r6="VIX TNX"), "macro bars",
-       "SELECT * FROM macro WHERE d BETWEEN (SELECT min(d) FROM bars) AND (SELECT max(d) FROM bars)")
+       "SELECT * FROM macro WHERE d BETWEEN (SELECT min(d) FROM bars) AND (SELECT max(d) FROM bars)")  # every day has both
 def macro_in_range(spark, sf_dir):
     """Macro rows inside the date range of the bars, the range pushed to the scan as literals."""
     orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d"))
     lo, hi = day_bounds(orders)
-    return between_days(widen_quotes(macro_quotes(spark, sf_dir), TICKERS), lo, hi)
+    return widen_quotes(macro_quotes(spark, sf_dir, str(lo), str(hi)), TICKERS)
 
 
 def stored_text_bars(spark, sf_dir):
@@ -87,6 +87,38 @@ def csv_ohlcv(spark, sf_dir):
     return files.read_ohlcv(spark, path)
 
 
+@query(Shape("asset d", r6="adj_close"), "bars", "bars")
+def csv_mixed_headers(spark, sf_dir):
+    """Files of two different headers in one folder, each read by its own, some with dates in another form."""
+    bars = segment_bars(spark, sf_dir).select("asset", "d", "close", "volume")
+    path = scratch_path(spark, "mixed")
+    one = bars.filter("asset < 'F'").select("asset", F.col("d").alias("Date"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
+    two = bars.filter("asset >= 'F'").select("asset", F.date_format("d", "MM/dd/yyyy").alias("Date"), F.col("volume").alias("Volume"),
+                                             F.col("close").alias("Close"))
+    for part in (one, two):
+        files.write_table(part, path, fmt="csv", mode="append", header="true")
+    return files.read_prices(spark, path)
+
+
+@query(Shape("asset d", r6="open high low close adj_close volume"), "bars", "bars")
+def csv_repeated_dates(spark, sf_dir):
+    """Files in which days come twice: the row of larger volume is the day's bar."""
+    bars = segment_bars(spark, sf_dir)
+    twice = bars.unionByName(bars.filter("day(d) % 2 = 0").withColumns({"volume": F.col("volume") - 1, "close": F.col("close") + 1}))
+    named = twice.select("asset", F.col("d").alias("Date"), *[F.col(n).alias(c) for c, n in files.PRICE_COLUMNS.items()])
+    path = files.write_table(named, scratch_path(spark, "twice"), fmt="csv", header="true")
+    return files.read_ohlcv(spark, path)
+
+
+@query(Shape("d", r6="adj_close"), "bars", "SELECT d, close AS adj_close FROM bars WHERE asset = 'MACHINERY'")
+def csv_found_file(spark, sf_dir):
+    """The price file of a folder, found by name, then read by its header."""
+    bars = segment_bars(spark, sf_dir, segments=["MACHINERY"])
+    folder = scratch_path(spark, "folder")
+    bars.select(F.col("d").alias("Date"), F.col("close").alias("Close")).coalesce(1).write.csv(folder, header=True)
+    return files.read_prices(spark, files.find_price_file(spark, folder, ["SPY_prices.csv", "prices.csv"]), keys=())
+
+
 @query(Shape("asset d", r6="close"), "bars",
        "SELECT * FROM bars WHERE d BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'")
 def stored_bars_range(spark, sf_dir):
@@ -163,14 +195,11 @@ _KEPT = {"any": "close IS NOT NULL AND busy IS NOT NULL", "all": "close IS NOT N
            for rule, cond in _KEPT.items()))
 def missing_data_rules(spark, sf_dir):
     """Rows that survive dropping on any, on all and on one of the columns of gappy month ends."""
-    months = settle(resample_last(segment_bars(spark, sf_dir), "month", ["close", "volume"]))
-    months = months.withColumn("busy", F.when(F.col("volume") > 1, F.col("volume")))
-    kept = {"any": months.dropna("any", subset=["close", "busy"]),
-            "all": months.dropna("all", subset=["close", "busy"]),
-            "subset": months.dropna("any", subset=["close"])}
-    parts = [df.groupBy("asset").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("rule", F.lit(rule))
-             for rule, df in kept.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    months = resample_last(segment_bars(spark, sf_dir), "month", ["close", "volume"])
+    close, busy = F.col("close").isNotNull(), F.col("volume") > 1
+    kept = {"any": close & busy, "all": close | busy, "subset": close}
+    counts = months.groupBy("asset").agg(*[F.count_if(rule).alias(name) for name, rule in kept.items()])
+    return counts.unpivot("asset", list(kept), "rule", "n_rows").filter("n_rows > 0")
 
 
 @query(Shape("asset period_end", r6="adj_close held ret"), "month_held month_ret0", """

@@ -90,12 +90,14 @@ def settled_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(segment_bars(spark, sf_dir))
 
 
-def macro_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def macro_quotes(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Tidy macro quotes (ticker, d, field, value) from the discount and tax rates of order lines.
 
-    Rates are whole percents, so the day means are taken over integers and do not depend on row order.
+    Rates are whole percents, so the day means are taken over integers and do not depend on row order. The
+    date range is a filter on the scan; values before it are not carried into it.
     """
     lines = table(spark, sf_dir, "lineitem").select("l_shipdate", "l_discount", "l_tax")
+    lines = traded_between(lines, "l_shipdate", start, end)
     percent = {c: F.round(F.col(c) * 100).cast("bigint") for c in ("l_discount", "l_tax")}
     daily = lines.groupBy(F.to_date("l_shipdate").alias("d")).agg(
         F.sum(percent["l_discount"]).alias("disc"),
@@ -111,15 +113,16 @@ def macro_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def one_per_day(bars: DataFrame) -> DataFrame:
-    """One bar per asset and day: of repeated dates the one with the largest volume, then close, is kept.
+def one_per_day(bars: DataFrame, keys: Sequence[str] = ("asset",)) -> DataFrame:
+    """One bar per key and day: of repeated dates the one with the largest volume, then close, is kept.
 
-    Series windows count on it, both for row positions and for the bound on a series' length.
+    Series windows count on it, both for row positions and for the bound on a series' length. Rows are dealt
+    by key and sorted by day, as the series windows that follow need them, so they add no exchange.
     """
-    day = Window.partitionBy("asset", "d").orderBy(
-        F.desc_nulls_last("volume"), F.desc_nulls_last("close"), F.desc_nulls_last("open"),
-        F.desc_nulls_last("high"), F.desc_nulls_last("low"))
-    return bars.withColumn("_rank", F.row_number().over(day)).filter(F.col("_rank") == 1).drop("_rank")
+    ranked = [F.desc_nulls_last(c) for c in ("volume", "close", "adj_close", "open", "high", "low") if c in bars.columns]
+    day = Window.partitionBy(*keys, "d").orderBy(*ranked)
+    dealt = bars.repartition(*[F.col(k) for k in keys]) if keys else bars
+    return dealt.withColumn("_rank", F.row_number().over(day)).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def between_days(bars: DataFrame, start: str | Column | None = None, end: str | Column | None = None) -> DataFrame:

@@ -65,8 +65,11 @@ def test_price_file_discovery(spark):
     path = scratch_path(spark, "folder")
     one = spark.createDataFrame([("a",)], "value string").coalesce(1)
     one.write.format("csv").save(f"{path}/sub")
+    with pytest.raises(FileNotFoundError):  # what lies deeper is not looked at
+        files.find_price_file(spark, path, ["none.csv"])
+    one.write.format("csv").mode("append").save(path)
     found = files.find_price_file(spark, path, ["none.csv"])
-    assert found.endswith(".csv")
+    assert found.endswith(".csv") and found.rsplit("/", 1)[0].endswith(path)
     name = found.rsplit("/", 1)[1]
     assert files.find_price_file(spark, path, ["other.csv", name]) == found
     empty = scratch_path(spark, "empty")
@@ -123,3 +126,25 @@ def test_one_per_day(spark):
     df = spark.createDataFrame([("A", d, 1., 1., 1., 1., 1., 5.), ("A", d, 2., 2., 2., 2., 2., 9.), ("B", d, 3., 3., 3., 3., 3., None)],
                                "asset string, d date, open double, high double, low double, close double, adj_close double, volume double")
     assert [(r["asset"], r["close"]) for r in collect(one_per_day(df), ("asset",))] == [("A", 2.), ("B", 3.)]
+
+
+def test_labelled_csv(spark):
+    path = lines_of(spark, ["d,best_strategy,ret", "2024-01-02,Momentum,0.5", ",Momentum,1", "01/03/2024,,bad"])
+    rows = collect(files.read_labelled(spark, path, fmt="csv"), ("d",))
+    assert [tuple(r.values())[:3] for r in rows] == [(dt.date(2024, 1, 2), "Momentum", 0.5), (dt.date(2024, 1, 3), None, None)]
+
+
+def test_headers_per_file_dates_and_empty_tables(spark):
+    path = scratch_path(spark, "two")
+    for lines in (["Date,Close,Volume", "2024-01-02,99,7", "2024-01-03,98,6"], ["Date,Volume,Close", "01/04/2024,7,97", "Jan 5, 2024,7,1"]):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
+    rows = collect(files.read_prices(spark, path, keys=()), ("d",))
+    assert [(r["d"].day, r["adj_close"]) for r in rows] == [(2, 99.0), (3, 98.0), (4, 97.0)]
+    with pytest.raises(ValueError, match="no rows"):
+        files.read_prices(spark, lines_of(spark, ["Date,Close", "never,1"]), keys=())
+
+
+def test_repeated_dates_through_a_reader(spark):
+    path = lines_of(spark, ["2024-01-02,1,1,1,1,1,5", "2024-01-02,2,2,2,2,2,9", "2024-01-03,3,3,3,3,3,1"])
+    rows = collect(files.read_positional(spark, path, keys=()), ("d",))
+    assert [(r["d"].day, r["close"], r["volume"]) for r in rows] == [(2, 2.0, 9.0), (3, 3.0, 1.0)]

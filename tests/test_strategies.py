@@ -169,3 +169,9 @@ def test_one_return_per_dense_month(spark, sf_dir):
     for r in allocation(follow(monthly_rules(months).withColumn("choice", F.lit(BH)))).collect():
         total[r["asset"]] += r["percent"]
     assert all(v == pytest.approx(100) for v in total.values())
+
+
+def test_names_with_blanks_and_quotes(spark):
+    df = spark.createDataFrame([("A", 1, 0.1, -0.1), ("A", 2, 0.1, 0.2)], "asset string, period_end int, `Buy & Hold` double, `it's a.b` double")
+    rows = collect(performance(df, {"Buy & Hold": "Buy & Hold", "it's a.b": "O'Neil"}), ("strategy",))
+    assert [(r["strategy"], round(r["total_return"], 9)) for r in rows] == [("Buy & Hold", 0.21), ("O'Neil", 0.08)]

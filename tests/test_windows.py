@@ -15,7 +15,7 @@ from barloom.functions.frames import PERIODIC, Series, ffill, forward_growth, la
 from barloom.functions.scalars import first_argmax, infer_choice, row_max
 from barloom.operators.indicators import align_macro, crypto_features, equity_features, rolling_drawdown, rsi, widen_quotes
 from barloom.operators.resample import last_row, period_returns, resample_last
-from barloom.operators.smoothing import ewm, macd
+from barloom.operators.smoothing import ewm, ewm_by_year, macd
 from tests.conftest import collect
 
 S = Series()
@@ -204,3 +204,47 @@ def test_forward_growth_needs_all_rows(spark):
     df = spark.createDataFrame([("A", i, r) for i, r in enumerate([.1, -.5, -1.5, .2])], "asset string, period_end int, r double")
     near(column(df, forward_growth("r", 2, PERIODIC), "period_end"), [.5 * -.5 - 1, -.5 * 1.2 - 1, None, None])
     near(column(df, ffill("r", PERIODIC), "period_end"), [.1, -.5, -1.5, .2])
+
+
+def gappy():
+    """Missing values first, inside a year, for a year's last and first days, and for a whole year."""
+    days = pd.bdate_range("2019-12-02", "2023-02-10")
+    rng = np.random.default_rng(4)
+    x = pd.Series(100 + rng.normal(size=len(days)).cumsum(), index=days)
+    x.iloc[:3] = np.nan
+    x[rng.random(len(days)) < .15] = np.nan
+    x.loc["2020-12-20":"2021-01-08"] = np.nan
+    x.loc["2022-01-01":"2022-12-31"] = np.nan
+    return x
+
+
+@pytest.mark.parametrize("scan", [ewm, ewm_by_year])
+def test_means_over_missing_values_equal_pandas(spark, scan):
+    x = gappy()
+    df = spark.createDataFrame([("A", d.date(), None if np.isnan(v) else float(v)) for d, v in x.items()], "asset string, d date, adj_close double")
+    rows = collect(scan(df, {"e3": ("adj_close", 3), "e20": ("adj_close", 20)}, pad={"held": "adj_close"}), ("d",))
+    for name, want in {"e3": x.ewm(span=3, adjust=False).mean(), "e20": x.ewm(span=20, adjust=False).mean(), "held": x.ffill()}.items():
+        near([r[name] for r in rows], [None if np.isnan(v) else v for v in want])
+    line = x.ewm(span=12, adjust=False).mean() - x.ewm(span=26, adjust=False).mean()
+    rows = collect(macd(df, scan=scan), ("d",))
+    near([r["macd_signal"] for r in rows], [None if np.isnan(v) else v for v in line.ewm(span=9, adjust=False).mean()])
+
+
+def test_small_gap_and_equal_spans(spark):
+    df = spark.createDataFrame([("A", d, c) for d, c in zip(DAYS, [100., 102., None, 104., 103.])], "asset string, d date, adj_close double")
+    near([r["x"] for r in collect(ewm(df, {"x": ("adj_close", 3)}), ("d",))], [100, 101, 101, 103, 103])
+    x = pd.Series([100., 102., np.nan, 104., 103.])
+    line = x.ewm(span=9, adjust=False).mean() - x.ewm(span=26, adjust=False).mean()
+    rows = collect(macd(df, fast=9, slow=26, signal=9), ("d",))
+    near([r["macd_signal"] for r in rows], list(line.ewm(span=9, adjust=False).mean()))
+
+
+def test_changes_carry_the_price_over_gaps(spark):
+    closes = [100., 102., None, 104., 103.] * 60
+    days = [d.date() for d in pd.bdate_range("2020-01-01", periods=300)]
+    rows = [("A", d, c, c, c, c, c, 1.0) for d, c in zip(days, closes)]
+    bars = spark.createDataFrame(rows, "asset string, d date, open double, high double, low double, close double, adj_close double, volume double")
+    held = pd.Series(closes, dtype=float).ffill()
+    got = collect(crypto_features(bars, "weekly"), ("d",))
+    for name, n in (("ret_1d", 1), ("ret_5d", 5), ("ret_21d", 21)):
+        near([r[name] for r in got], [None if np.isnan(v) else v for v in held / held.shift(n) - 1])
