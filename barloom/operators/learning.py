@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import date
-from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -21,6 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import scratch_path
+
 SEED = 42
 
 
@@ -136,32 +137,65 @@ def kfold_splits(periods: Sequence[date], k: int = 5) -> list[Split]:
 
 # --- fitting --------------------------------------------------------------------------------------------
 
-def _prepare(train: DataFrame, features: Sequence[str], label: str, scaler: str | None):
-    """Centre and scale of every feature, and the class counts, in one pass over the training rows."""
-    stats = [F.count(F.lit(1)).alias("n")]
-    for c in features:
-        if scaler == "standard":
-            stats += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"d_{c}")]
-        elif scaler == "robust":
-            stats.append(F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(f"q_{c}"))
-    row = train.agg(*stats).first()
-    scale = {}
-    for c in features:
-        if scaler == "standard":
-            scale[c] = (row[f"m_{c}"], row[f"d_{c}"] or 1.0)
-        elif scaler == "robust":
-            low, mid, high = row[f"q_{c}"]
-            scale[c] = (mid, (high - low) or 1.0)
-    counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
-    return row["n"], scale, counts
-
-
-def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, model: Model) -> DataFrame | None:
-    """Predictions for the test rows, or None when the training window is empty."""
-    n, scale, counts = _prepare(train, features, label, model.scaler)
+@dataclass(frozen=True)
+class PeriodStats:
+    """Rows, class, and per feature mean and mean square deviation of one period and class."""
+
+    period: date
+    label: object
+    n: int
+    means: tuple[float, ...]
+    squares: tuple[float, ...]
+
+
+def period_stats(data: DataFrame, features: Sequence[str], label: str, period: str = "period_end") -> list[PeriodStats]:
+    """What every window's scaling and class weights follow from: one aggregation, one row per period and class."""
+    sides = [x for c in features for x in (F.avg(c), F.var_pop(c))]
+    rows = data.groupBy(period, label).agg(F.count(F.lit(1)), *sides).collect()
+    rows.sort(key=lambda r: (r[0], r[1] is None, r[1]))
+    return [PeriodStats(r[0], r[1], r[2], tuple(r[3::2]), tuple(r[4::2])) for r in rows]
+
+
+def window_stats(stats: Sequence[PeriodStats], split: Split) -> tuple[int, list[tuple[float, float]], dict]:
+    """Rows, (mean, deviation) of every feature and rows per class of a training window."""
+    inside = [s for s in stats if split.train_from <= s.period <= split.train_to]
+    n, counts = sum(s.n for s in inside), {}
+    for s in inside:
+        counts[s.label] = counts.get(s.label, 0) + s.n
+    moments = []
+    for j in range(len(inside[0].means) if inside else 0):
+        mean = sum(s.n * s.means[j] for s in inside) / n
+        square = sum(s.n * (s.squares[j] + (s.means[j] - mean) ** 2) for s in inside) / n
+        moments.append((mean, square ** 0.5))
+    return n, moments, counts
+
+
+def _quartiles(train: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Median and interquartile range of every feature of the training rows."""
+    row = train.agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(c) for c in features]).first()
+    return {c: (row[c][1], (row[c][2] - row[c][0]) or 1.0) for c in features if row[c] is not None}
+
+
+def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, model: Model,
+                known: tuple[int, list[tuple[float, float]], dict] | None = None) -> DataFrame | None:
+    """Predictions for the test rows, or None when the training window is empty.
+
+    ``known`` has the window's statistics if they are at hand. ``p_active`` is the probability of class 1
+    where the classes are 0 and 1, and missing otherwise.
+    """
+    if known is None:
+        everything = Split(0, date.min, date.max, date.min, date.max)
+        known = window_stats(period_stats(train.withColumn("_all", F.lit(date(2000, 1, 1))), features, label, "_all"), everything)
+    n, moments, counts = known
     if n == 0:
         return None
+    scale = {}
+    if model.scaler == "standard":
+        scale = {c: (m, d or 1.0) for c, (m, d) in zip(features, moments, strict=True)}
+    elif model.scaler == "robust":
+        scale = _quartiles(train, features)
     weights = {v: n / (len(counts) * c) for v, c in counts.items()}
+    binary = set(counts) <= {0, 1}
 
     def scaled(df: DataFrame) -> DataFrame:
         if scale:
@@ -175,11 +209,11 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
         ready = ready.withColumn("weight", F.coalesce(*by_class))
     if len(counts) == 1:
         # one class only: every model of it is constant
-        only = float(next(iter(counts)))
-        return test.withColumns({"y_pred": F.lit(only).cast("int"), "p_active": F.lit(only)})
+        only = int(next(iter(counts)))
+        return test.withColumns({"y_pred": F.lit(only), "p_active": F.lit(float(only) if binary else None).cast("double")})
     fitted = model.build(n).fit(ready.select("features", "label", *(["weight"] if model.weighted else [])))
     scored = fitted.transform(scaled(test))
-    p = vector_to_array("probability")[1] if model.probability else F.lit(None).cast("double")
+    p = vector_to_array("probability")[1] if model.probability and binary else F.lit(None).cast("double")
     return scored.withColumns({"y_pred": F.col("prediction").cast("int"), "p_active": p})
 
 
@@ -198,25 +232,31 @@ def compare_models(data: DataFrame, features: Sequence[str], label: str, models:
                    parallelism: int = 8) -> DataFrame:
     """Out-of-sample predictions of every model and split.
 
-    Columns: keys, period, model, fold, y_true, y_pred, p_active. ``data`` is scanned several times per
-    fit; settle it first. The training and test rows of a split are date-range filters on it, which reach
-    the scan of a stored table.
+    Columns: keys, period, model, fold, y_true, y_pred, p_active. ``data`` is scanned by every fit; settle it
+    first. The training and test rows of a split are date-range filters on it, which reach the scan of a
+    stored table. Scaling statistics and class counts of all windows come from one aggregation. Each split's
+    predictions are written to one table of the shared folder as they are made, and the result is one scan of it.
     """
+    stats = period_stats(data, features, label, period)
+    path = scratch_path(data.sparkSession, "predictions")
 
-    def job(model: Model, s: Split):
+    def job(part: int, model: Model, s: Split):
         train = data.filter(F.col(period).between(F.lit(s.train_from), F.lit(s.train_to)))
         test = data.filter(F.col(period).between(F.lit(s.test_from), F.lit(s.test_to)))
-        scored = fit_predict(train, test, features, label, model)
+        scored = fit_predict(train, test, features, label, model, window_stats(stats, s))
         if scored is None:
             return None
-        return scored.select(*keys, period, F.lit(model.name).alias("model"), F.lit(s.fold).alias("fold"),
+        kept = scored.select(*keys, period, F.lit(model.name).alias("model"), F.lit(s.fold).alias("fold"),
                              F.col(label).alias("y_true"), "y_pred", "p_active")
+        # a folder for each split: writers of one folder at the same time would clear each other's files
+        kept.write.parquet(f"{path}/part{part:05d}")
+        return kept.schema
 
-    jobs = [lambda m=m, s=s: job(m, s) for m in models for s in splits]
-    parts = [part for part in _concurrently(data, jobs, parallelism) if part is not None]
-    if not parts:
+    jobs = [lambda i=i, m=m, s=s: job(i, m, s) for i, (m, s) in enumerate((m, s) for m in models for s in splits)]
+    schemas = [schema for schema in _concurrently(data, jobs, parallelism) if schema is not None]
+    if not schemas:
         raise ValueError("no split has training rows")
-    return reduce(DataFrame.unionByName, parts)
+    return data.sparkSession.read.schema(schemas[0]).option("recursiveFileLookup", "true").parquet(path)
 
 
 def walk_forward(data: DataFrame, features: Sequence[str], label: str, model: Model, splits: Sequence[Split],
@@ -231,7 +271,8 @@ def cluster_regimes(data: DataFrame, features: Sequence[str], k: int = 3, starts
                     parallelism: int = 5) -> DataFrame:
     """K-means regimes on standardised features: best of several seeded starts, clusters numbered by the
     mean of the first feature so that the numbering does not depend on the start."""
-    _, scale, _ = _prepare(data.withColumn("_none", F.lit(0)), features, "_none", "standard")
+    stats = data.agg(*[x for c in features for x in (F.avg(c), F.stddev_pop(c))]).first()
+    scale = {c: (stats[2 * i], stats[2 * i + 1] or 1.0) for i, c in enumerate(features)}
     scaled = data.withColumns({f"_x_{c}": (F.col(c) - F.lit(m)) / F.lit(d) for c, (m, d) in scale.items()})
     points = VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="features").transform(scaled)
 

@@ -19,9 +19,9 @@ from barloom.plans.backtests import (
     crypto_week_dataset, labelled_daily, month_dataset, rules_of, week_rules_of,
 )
 from barloom.plans.registry import Shape, query
-from barloom.session import scratch_path, settle
+from barloom.session import scratch_path
 from barloom.sources import files
-from barloom.sources.bars import between_days, brand_bars, segment_bars, settled_bars
+from barloom.sources.bars import between_days, brand_bars, segment_bars
 from barloom.sources.checks import complete_rows, numeric_features
 
 
@@ -165,11 +165,8 @@ SELECT r.asset, r.period_end, r.bh, r.mom, r.mr, coalesce(l.ml, 0.0) AS ml
 FROM rules_m r LEFT JOIN late l ON l.asset = r.asset AND l.period_end = r.period_end""")
 def aligned_ml_returns(spark, sf_dir):
     """Adaptive returns of the later months aligned to all months, zero before they start."""
-    rules = settle(month_rules(spark, sf_dir))
-    late = follow(last_choice(rules)).withColumn("rn", F.row_number().over(PERIODIC.rows)).filter(F.col("rn") > 36)
-    ml = late.select("asset", "period_end", "ml")
-    joined = rules.join(ml, ["asset", "period_end"], "left")
-    return joined.withColumn("ml", F.coalesce("ml", F.lit(0.0)))
+    rules = follow(last_choice(month_rules(spark, sf_dir))).withColumn("rn", F.row_number().over(PERIODIC.rows))
+    return rules.withColumn("ml", F.when(F.col("rn") > 36, F.coalesce("ml", F.lit(0.0))).otherwise(F.lit(0.0)))
 
 
 @query(Shape("asset period_end", r6="bh week_bh"), "rules_m rules_w", """
@@ -177,21 +174,23 @@ SELECT coalesce(m.asset, w.asset) AS asset, coalesce(m.period_end, w.period_end)
 FROM rules_m m FULL JOIN rules_w w ON w.asset = m.asset AND w.period_end = m.period_end""")
 def outer_concat(spark, sf_dir):
     """Monthly and weekly holding returns side by side on the union of their dates."""
-    bars = settled_bars(spark, sf_dir)
+    bars = segment_bars(spark, sf_dir)
     months = rules_of(bars).select("asset", "period_end", "bh")
     weeks = week_rules_of(bars).select("asset", "period_end", F.col("bh").alias("week_bh"))
     return months.join(weeks, ["asset", "period_end"], "full_outer")
 
 
-@query(Shape("asset period_end best_strategy", r6="ret_1d vol_21d px_over_sma_50 rsi_14 vol_zscore_21d", r3="macd macd_signal"),
+@query(Shape("asset period_end best_strategy", r6="ret_1d ret_5d ret_21d ret_63d vol_21d vol_63d px_over_sma_10 px_over_sma_50 px_over_sma_200 rsi_14 vol_zscore_21d",
+             r3="macd macd_signal"),
        "cm_ready label_same", """
 SELECT f.*, l.best_strategy FROM cm_ready f JOIN label_same l ON l.asset = f.asset AND l.period_end = f.period_end""")
 def labelled_monthly(spark, sf_dir):
     """Month-end crypto features joined with the winner of the same month on their common months."""
-    return crypto_month_dataset(settled_bars(spark, sf_dir))
+    return crypto_month_dataset(segment_bars(spark, sf_dir))
 
 
-@query(Shape("asset period_end best_strategy", r6="ret_1d vol_21d px_over_sma_50 rsi_14 vol_zscore_21d", r3="macd macd_signal"),
+@query(Shape("asset period_end best_strategy", r6="ret_1d ret_5d ret_21d ret_63d vol_21d vol_63d px_over_sma_10 px_over_sma_50 px_over_sma_200 rsi_14 vol_zscore_21d",
+             r3="macd macd_signal"),
        "cw_ready label_fwd4", """
 SELECT f.*, l.best_strategy FROM cw_ready f JOIN label_fwd4 l ON l.asset = f.asset AND l.period_end = f.period_end
 WHERE l.best_strategy IS NOT NULL""")
@@ -206,7 +205,7 @@ SELECT coalesce(f.asset, l.asset) AS asset, count(f.asset) FILTER (WHERE l.asset
 FROM cm_ready f FULL JOIN label_same l ON l.asset = f.asset AND l.period_end = f.period_end GROUP BY 1""")
 def key_sets(spark, sf_dir):
     """Sizes of the intersection and the differences of two sets of (asset, month) keys."""
-    bars = settled_bars(spark, sf_dir)
+    bars = segment_bars(spark, sf_dir)
     a = crypto_month_features(bars).select("asset", "period_end").withColumn("in_a", F.lit(1))
     b = rules_of(bars).select("asset", "period_end").withColumn("in_b", F.lit(1))
     both = a.join(b, ["asset", "period_end"], "full_outer")

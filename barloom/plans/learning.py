@@ -1,7 +1,8 @@
 """Queries that train models walk-forward on the pooled panel.
 
-The registered queries refit every six or twelve periods with few boosting rounds; the model factories
-keep the full settings as their defaults.
+Logistic queries run with the published settings. Boosting and forests here refit less often and with fewer
+rounds and trees than the published ones, which the model factories keep as defaults (the README says why).
+What is exact about a walk-forward run, its windows, scaling and class weights, is checked against SQL.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from barloom.operators.indicators import CRYPTO_FEATURES
 from barloom.operators.learning import (
-    boosting, cluster_regimes, compare_models, forest, kfold_splits, logistic, period_list, rolling_splits,
+    boosting, cluster_regimes, compare_models, expanding_splits, forest, kfold_splits, logistic, period_list, period_stats,
+    rolling_splits, window_stats,
 )
 from barloom.operators.metrics import accuracy, shares
 from barloom.plans.backtests import (
@@ -28,14 +30,14 @@ PERF = Shape("asset strategy", n="periods", sig="total_return annualized_return
 @query(Shape("asset period_end", n="fold y_true y_pred go_active", sig="p_active"))
 def walkforward_lr_binary(spark, sf_dir):
     """Probability of leaving holding, from an expanding logistic regression, with its decision."""
-    pred = binary_predictions(segment_bars(spark, sf_dir), refit_every=6)
+    pred = binary_predictions(segment_bars(spark, sf_dir))
     return pred.withColumn("go_active", (F.col("p_active") >= 0.55).cast("int"))
 
 
 @query(PERF)
 def perf_binary_switch(spark, sf_dir):
     """Performance of the probability-gated switch beside the static rules, over its test months."""
-    return binary_switch(settled_bars(spark, sf_dir), refit_every=6).performance()
+    return binary_switch(settled_bars(spark, sf_dir)).performance()
 
 
 @query(PREDICTIONS)
@@ -47,7 +49,7 @@ def walkforward_gbt(spark, sf_dir):
 @query(PREDICTIONS)
 def walkforward_lr_point_in_time(spark, sf_dir):
     """The same choice from lagged features and labels that are known before the tested month."""
-    return month_predictions(segment_bars(spark, sf_dir), logistic(), refit_every=6, alignment="point_in_time")
+    return month_predictions(segment_bars(spark, sf_dir), logistic(), alignment="point_in_time")
 
 
 @query(PERF)
@@ -108,3 +110,46 @@ def regimes_kmeans(spark, sf_dir):
 def regimes_label_mix(spark, sf_dir):
     """Label distribution inside each k-means regime."""
     return shares(regimes(spark, sf_dir), "best_strategy", ["regime"])
+
+
+# --- what is exact about a run --------------------------------------------------------------------------
+
+_CODED = """
+WITH data AS (SELECT *, CASE best_strategy WHEN 'Buy & Hold' THEN 0 WHEN 'Momentum' THEN 1 ELSE 2 END AS y FROM ml_data),
+p AS (SELECT period_end, row_number() OVER (ORDER BY period_end) AS pos FROM (SELECT DISTINCT period_end FROM data)),
+f AS (SELECT t.pos - 60 AS fold, d.* FROM p t JOIN p e ON e.pos < t.pos JOIN data d ON d.period_end = e.period_end WHERE t.pos > 60)
+"""
+
+
+def month_windows(spark, sf_dir):
+    """Statistics of every window of the monthly run that refits each period: what its fits are given."""
+    data = coded(month_dataset(segment_bars(spark, sf_dir)))
+    stats = period_stats(data, MONTH_FEATURES, "y")
+    splits = expanding_splits(sorted({s.period for s in stats}), 60)
+    return [(s, window_stats(stats, s)) for s in splits]
+
+
+@query(Shape("feature train_from train_to", n="fold n_train", sig="mean deviation"), "ml_data", _CODED + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, fold, min(period_end) AS train_from, max(period_end) AS train_to, count(*) AS n_train, "
+    f"avg({c}) AS mean, stddev_pop({c}) AS deviation FROM f GROUP BY fold" for c in MONTH_FEATURES))
+def walkforward_scaling(spark, sf_dir):
+    """Bounds, rows, centre and scale of every training window of the monthly run."""
+    rows = [(c, s.train_from, s.train_to, s.fold, n, *moments[j])
+            for s, (n, moments, _) in month_windows(spark, sf_dir) for j, c in enumerate(MONTH_FEATURES)]
+    return spark.createDataFrame(rows, "feature string, train_from date, train_to date, fold int, n_train long, mean double, deviation double")
+
+
+@query(Shape("", n="fold y n", sig="weight"), "ml_data", _CODED + """
+SELECT fold, y, count(*) AS n, sum(count(*)) OVER (PARTITION BY fold) / (count(*) OVER (PARTITION BY fold) * count(*)::DOUBLE) AS weight
+FROM f GROUP BY fold, y""")
+def walkforward_weights(spark, sf_dir):
+    """Balanced class weights of every training window of the monthly run."""
+    rows = [(s.fold, y, c, n / (len(counts) * c)) for s, (n, _, counts) in month_windows(spark, sf_dir) for y, c in counts.items()]
+    return spark.createDataFrame(rows, "fold int, y int, n long, weight double")
+
+
+@query(Shape("asset period_end", n="fold y_true"), "ml_data", _CODED + """
+SELECT d.asset, d.period_end, p.pos - 60 AS fold, d.y AS y_true FROM data d JOIN p ON p.period_end = d.period_end WHERE p.pos > 60""")
+def walkforward_tested_rows(spark, sf_dir):
+    """Every row that a logistic run over all periods predicts, with its fold and its true class."""
+    return month_predictions(segment_bars(spark, sf_dir), logistic())
