@@ -10,18 +10,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ODD, WordHashes, as_long, by_piece, id_text, mixed, raw, shingles
+from barloom.llm.common import ODD, as_long, by_piece, id_text, mixed, raw, text_shingles
 from barloom.llm.graph import components
 from barloom.session import settle
 
-#: A sketch has 2**7 registers in 32 bands of 4. At a similarity of 0.8 a pair is missed with 4.6e-8.
-BUCKET_BITS, BANDS = 7, 32
+#: A sketch has 2**8 registers, and every other one is in one of 32 bands of 4. At a similarity of 0.8 a pair
+#: is missed with 4.6e-8.
+BUCKET_BITS, BANDS = 8, 32
 REGISTERS = 1 << BUCKET_BITS
 #: Bits that a register keeps after the leading one.
 MANTISSA = 10
 #: An estimate may lie this far below the threshold before a pair is dropped without a look at its texts:
-#: over 4.5 standard deviations of 128 registers at 0.8.
-SLACK = 0.16
+#: over 4.5 standard deviations of 256 registers at 0.8.
+SLACK = 0.115
 #: Members of a bucket that are compared in one task.
 BLOCK = 512
 
@@ -43,7 +44,7 @@ def registers(fingerprints: np.ndarray) -> np.ndarray:
 
 def band_keys(regs: np.ndarray) -> list[int | None]:
     """One key per band of registers; a band of empty registers has none."""
-    packed = regs.astype(np.uint64).reshape(BANDS, -1)
+    packed = regs[::2].astype(np.uint64).reshape(BANDS, -1)
     joined = np.zeros(BANDS, np.uint64)
     for i in range(packed.shape[1]):
         joined = joined << np.uint64(16) | packed[:, i]
@@ -64,10 +65,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, and for texts with words: set_key (digest of the whole set), bands, regs."""
 
     def make():
-        hashes = WordHashes()
-
         def one(text: bytes):
-            found = np.unique(shingles(text.lower().split(), width, hashes))
+            found = np.unique(text_shingles(text.lower(), width))
             if not len(found):
                 return 0, None, None, None
             regs = registers(found)
@@ -130,6 +129,22 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets of more than two (others have no pair that was not tried), with their component."""
+    placed = members.where("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    return placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+
+
+def _hub_pairs(members: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b) of every member of a bucket with the member of most confirmed links, unless already connected."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep"))
+    placed = _placed(members, found).join(ends.groupBy("rep").agg(F.count("*").alias("degree")), "rep", "left")
+    hubs = placed.where("degree > 1").groupBy("key").agg(
+        F.max_by(F.struct(F.col("rep").alias("hub"), F.col("component").alias("of")), "degree").alias("best")).select("key", "best.*")
+    apart = placed.join(hubs, "key").where("component <> of")
+    return apart.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+
+
 def _across(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a > b) of a bucket's members in different components whose estimate is high enough.
 
@@ -170,8 +185,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     component; rows that share an id are judged each by its text. Other columns are left out.
 
     Search: a bucket of a band links each member to its smallest member if their texts confirm it. That is
-    one link per member, whatever the bucket's size. Where members of one bucket then still lie in different
-    components, these are compared with each other, in blocks, so that no link of the bucket is lost.
+    one link per member, whatever the bucket's size. Members that are then in another component than the one
+    of most links in their bucket, often the text that the others were made from, are tried with that one.
+    Where members of one bucket after this still lie in different components, these are compared with each
+    other, in blocks, so that no link of the bucket is lost.
     """
     docs, threshold = id_text(docs, key, text), percent / 100
     rows = settle(sketches(docs, width))
@@ -189,16 +206,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     links = settle(_confirmed(_estimated(stars, sets, threshold), texts, width, percent))
     found = settle(components(links))
 
-    placed = members.where("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = settle(placed.withColumn("component", F.coalesce("component", "rep")).select("key", "rep", "n", "component"))
+    hubs = _hub_pairs(members, links, found).join(stars, ["a", "b"], "left_anti")
+    tried, more = stars, settle(_confirmed(_estimated(hubs, sets, threshold), texts, width, percent))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = settle(components(links))
+    placed = settle(_placed(members, found))
     mixed_keys = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                   .where("lo < hi").select("key"))
     apart = placed.join(mixed_keys, "key").join(sets.select("rep", "n_shingles", "regs"), "rep")
-    more = settle(_across(apart, threshold).join(stars, ["a", "b"], "left_anti"))
+    more = settle(_confirmed(_across(apart, threshold).join(tried, ["a", "b"], "left_anti"), texts, width, percent))
     if not more.isEmpty():
-        extra = settle(_confirmed(more, texts, width, percent))
-        if not extra.isEmpty():
-            found = settle(components(links.unionByName(extra)))
+        found = settle(components(links.unionByName(more)))
 
     of_set = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component"))
