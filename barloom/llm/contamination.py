@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ODD, WordHashes, mixed, pieces, raw, shingles
+from barloom.llm.common import ODD, mixed, pieces, raw, text_shingles
 
 #: Chance that an item that is there is not found, at most.
 MISS = 1e-6
@@ -50,14 +50,14 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]], width: int, percent: int) -> None:
         self.width, self.percent = width, percent
-        hashes = WordHashes()
         self.sets: list[tuple[int, frozenset]] = []
         self.partitions: dict[int, Partition] = {}
         for item, text in items:
-            words = (text or "").encode().lower().split()
+            data = (text or "").encode().lower()
+            words = data.split()
             if item is None or not words:
                 continue
-            fingerprints = np.unique(shingles(words, width, hashes))
+            fingerprints = np.unique(text_shingles(data, width))
             size = len(fingerprints)
             level = max(0, math.ceil(math.log(size, GROWTH) - 1e-9))
             low, high = (math.floor(GROWTH ** (level - 1)) if level else 0), math.ceil(GROWTH ** level)
@@ -68,19 +68,19 @@ class Index:
         for part in self.partitions.values():
             part.close()
 
-    def search(self, texts: list[bytes], hashes: WordHashes) -> list[tuple[int, int]]:
+    def search(self, texts: list[bytes]) -> list[tuple[int, int]]:
         """(position in ``texts``, position in ``sets``) of candidates.
 
         All texts lie end to end in one array. Blocks never cross them; one pass of array operations per
         MinHash function covers all blocks.
         """
         found: set[tuple[int, int]] = set()
-        split = [x.lower().split() for x in texts]
+        lower = [x.lower() for x in texts]
         for level in sorted(self.partitions):
             part = self.partitions[level]
             widths = [self.width, *self.lengths] if level == 0 else [self.width]
             for width in widths:
-                arrays = [shingles(w, width, hashes) for w in split]
+                arrays = [text_shingles(x, width) for x in lower]
                 found |= self._blocks(part, arrays)
         return sorted(found)
 
@@ -140,12 +140,11 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
 
     def search(batches):
         index = Index(shared.value, width, percent)
-        hashes = WordHashes()
         for piece in pieces(batches):
             texts, ids = raw(piece.column("text")), piece.column("doc_id").to_pylist()
             rows: list[tuple] = []
             sets: dict[tuple[int, int], frozenset] = {}
-            for at, candidate in index.search(texts, hashes) if index.sets else ():
+            for at, candidate in index.search(texts) if index.sets else ():
                 item, wanted = index.sets[candidate]
                 length = len(next(iter(wanted)))
                 if (at, length) not in sets:
