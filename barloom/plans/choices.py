@@ -90,7 +90,8 @@ def label_next_4w(spark, sf_dir):
     return crypto_week_dataset(segment_bars(spark, sf_dir))
 
 
-@query(Shape("asset d best_strategy", r6="rsi_14"), "eq_ready", f"""
+#: Daily equity rows with the winner of the month after, as the steps before a final SELECT from ``labelled``.
+LABELLED_DAILY = f"""
 WITH m AS (SELECT asset, last_day(d) AS period_end, arg_max(adj_close, d) AS adj_close FROM eq_ready GROUP BY 1, 2),
 span AS (SELECT asset, min(period_end) AS lo, max(period_end) AS hi FROM m GROUP BY asset),
 cal AS (SELECT asset, last_day(CAST(unnest(generate_series(CAST(date_trunc('month', lo) AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE)) AS period_end FROM span),
@@ -98,15 +99,20 @@ px AS (SELECT c.asset, c.period_end, last_value(m.adj_close IGNORE NULLS) OVER (
   FROM cal c LEFT JOIN m ON m.asset = c.asset AND m.period_end = c.period_end),
 r AS (SELECT asset, period_end, {q.chg('held', 1, 'period_end')} AS ret FROM px),
 ru AS ({q.rules('r', 'month')}),
-lab AS ({q.next3(('buy_hold', 'momentum', 'mean_reversion')).format(src='ru')})
-SELECT e.asset, e.d, e.rsi_14, lab.best_strategy FROM eq_ready e LEFT JOIN lab ON lab.asset = e.asset AND lab.period_end = last_day(e.d)""")
+lab AS ({q.next3(('buy_hold', 'momentum', 'mean_reversion')).format(src='ru')}),
+labelled AS (SELECT e.*, lab.best_strategy FROM eq_ready e LEFT JOIN lab ON lab.asset = e.asset AND lab.period_end = last_day(e.d))
+"""
+_DAILY_R6 = " ".join(c for c in q.EQUITY_COMPLETE)
+
+
+@query(Shape("asset d best_strategy", r6=_DAILY_R6), "eq_ready", LABELLED_DAILY + "SELECT * FROM labelled")
 def label_broadcast_daily(spark, sf_dir):
     """Next month's winner copied to the daily feature rows of each month."""
     return labelled_daily(segment_bars(spark, sf_dir))
 
 
-@query(Shape("asset d", r6="daily_return"), "eq_ready",
-       "SELECT * FROM eq_ready WHERE d BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'")
+@query(Shape("asset d best_strategy", r6=_DAILY_R6), "eq_ready",
+       LABELLED_DAILY + "SELECT * FROM labelled WHERE d BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'")
 def stored_labelled_range(spark, sf_dir):
     """Labelled daily table stored by asset, read back with its date range pushed to the scan."""
     path = files.write_table(labelled_daily(segment_bars(spark, sf_dir)), scratch_path(spark, "labelled"))
