@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables; model queries by their rows."""
+"""Every registered query that has SQL, against it, on the smallest tables."""
 
 from __future__ import annotations
 
