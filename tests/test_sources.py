@@ -148,3 +148,13 @@ def test_repeated_dates_through_a_reader(spark):
     path = lines_of(spark, ["2024-01-02,1,1,1,1,1,5", "2024-01-02,2,2,2,2,2,9", "2024-01-03,3,3,3,3,3,1"])
     rows = collect(files.read_positional(spark, path, keys=()), ("d",))
     assert [(r["d"].day, r["close"], r["volume"]) for r in rows] == [(2, 2.0, 9.0), (3, 3.0, 1.0)]
+
+
+def test_macro_range_reaches_the_scan_and_the_carry_is_spread(spark, sf_dir):
+    from barloom.plans.catalog import QUERIES
+
+    for name in ("macro_in_range", "macro_wide", "enriched_daily"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan, name
+        if name == "macro_in_range":
+            assert "GreaterThanOrEqual(l_shipdate" in plan and "LessThan(l_shipdate" in plan
