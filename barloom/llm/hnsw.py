@@ -152,10 +152,9 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 
     Ranks are cut before the shuffle, so a vector that a third of all rows have leaves k + 1 rows a task.
     """
-    hashed = rows.dropDuplicates(["vec_id", "v"]).withColumn("h", F.xxhash64("v"))
     same = Window.partitionBy("h", "v").orderBy("vec_id")
-    few = hashed.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1)
-    return few.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    few = rows.withColumn("h", F.xxhash64("v")).withColumn("place", F.dense_rank().over(same)).where(F.col("place") <= k + 1)
+    return few.groupBy("h", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
 
 def build_index(rows: DataFrame, k: int) -> DataFrame:

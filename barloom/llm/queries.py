@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from barloom.llm import quality, suffixes, toxicity
+from barloom.llm import oracles, quality, suffixes, toxicity
 from barloom.llm import secrets as secret_scan
 from barloom.llm.byte_bpe import encode_decode
 from barloom.llm.catalog import registered
@@ -28,13 +28,13 @@ def _sharding_sql() -> str:
     )
 
 
-@registered()
+@registered(sql=oracles.REPEATED_BYTES)
 def op1_suffix_dedup(spark, sf_dir):
     """Documents without byte strings of 400 that start anywhere else."""
     return _digested(suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400))
 
 
-@registered()
+@registered(sql=oracles.SUBSTRINGS)
 def op2_substring_dedup(spark, sf_dir):
     """Documents without passages of 20 words that start earlier."""
     return _digested(remove_repeats(table(spark, sf_dir, "documents"), width=20))
@@ -67,13 +67,13 @@ def op5_quality(spark, sf_dir):
     return _predicted(quality.score(docs, model), crc_mod("doc_id", 3) == 1, 0.5)
 
 
-@registered()
+@registered(sql=oracles.CONTAINED)
 def op6_decontamination(spark, sf_dir):
     """Benchmark items of which four fifths of the five-word shingles are in a document."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@registered()
+@registered(sql=oracles.NEAR)
 def op7_near_dup(spark, sf_dir):
     """Groups of near copies, by four-word shingles, linked from a similarity of 0.8."""
     found = near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
