@@ -10,19 +10,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ODD, as_long, by_piece, id_text, mixed, raw, text_shingles
+from barloom.llm.common import as_long, by_piece, id_text, mixed, raw, text_shingles
 from barloom.llm.graph import components
 from barloom.session import settle
 
-#: A sketch has 2**8 registers, and every other one is in one of 32 bands of 4. At a similarity of 0.8 a pair
-#: is missed with 4.6e-8.
-BUCKET_BITS, BANDS = 8, 32
+#: A sketch has 2**7 registers in 32 bands of 4. At a similarity of 0.8 a pair is missed with 4.6e-8.
+BUCKET_BITS, BANDS = 7, 32
 REGISTERS = 1 << BUCKET_BITS
-#: Bits that a register keeps after the leading one.
-MANTISSA = 10
+#: Bits that a register keeps after the leading one. A short text fills one register of many of its bands, and
+#: with few bits such bands of unrelated texts would be equal by chance.
+MANTISSA = 25
 #: An estimate may lie this far below the threshold before a pair is dropped without a look at its texts:
-#: over 4.5 standard deviations of 256 registers at 0.8.
-SLACK = 0.115
+#: over 4.5 standard deviations of 128 registers at 0.8.
+SLACK = 0.16
 #: Members of a bucket that are compared in one task.
 BLOCK = 512
 
@@ -30,7 +30,7 @@ BLOCK = 512
 def registers(fingerprints: np.ndarray) -> np.ndarray:
     """HyperMinHash of sorted distinct 64-bit fingerprints: the first bits choose a register, which keeps the
     leading-zero count of its smallest remainder and the bits after the leading one. 0 marks an empty one."""
-    out = np.zeros(REGISTERS, np.uint16)
+    out = np.zeros(REGISTERS, np.uint32)
     bucket = (fingerprints >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     first = np.ones(len(bucket), bool)
     first[1:] = bucket[1:] != bucket[:-1]
@@ -44,12 +44,12 @@ def registers(fingerprints: np.ndarray) -> np.ndarray:
 
 def band_keys(regs: np.ndarray) -> list[int | None]:
     """One key per band of registers; a band of empty registers has none."""
-    packed = regs[::2].astype(np.uint64).reshape(BANDS, -1)
-    joined = np.zeros(BANDS, np.uint64)
+    packed = regs.astype(np.uint64).reshape(BANDS, -1)
+    joined = np.arange(1, BANDS + 1, dtype=np.uint64)
     for i in range(packed.shape[1]):
-        joined = joined << np.uint64(16) | packed[:, i]
-    keys = as_long(mixed(joined + np.arange(1, BANDS + 1, dtype=np.uint64) * ODD)).tolist()
-    return [k if filled else None for k, filled in zip(keys, (joined != 0).tolist(), strict=True)]
+        joined = mixed(joined) + packed[:, i]
+    keys = as_long(mixed(joined)).tolist()
+    return [k if filled else None for k, filled in zip(keys, packed.any(axis=1).tolist(), strict=True)]
 
 
 def similarity(agree: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def _estimated(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     def near(batches):
         for batch in batches:
             n = batch.num_rows
-            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(n, REGISTERS)
+            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, REGISTERS)
                       for c in ("regs_a", "regs_b"))
             na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             est = similarity(((ra == rb) & (ra > 0)).sum(1), ((ra > 0) | (rb > 0)).sum(1), na, nb)
@@ -160,7 +160,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     def compare(group):
         group = group.sort_values("rep")
         rep, comp, n = (group[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-        regs = np.frombuffer(b"".join(group.regs), np.uint16).reshape(len(group), REGISTERS)
+        regs = np.frombuffer(b"".join(group.regs), np.uint32).reshape(len(group), REGISTERS)
         a, b = [], []
         for k in range(1, len(rep)):
             agree = ((regs[:k] == regs[k]) & (regs[k] > 0)).sum(1)
