@@ -17,7 +17,8 @@ HEADLINE = (
     "bars_segments", "bars_brands", "flagship_strategy_performance", "perf_brands", "perf_weekly",
     "equity_features_daily", "equity_features_brands", "equity_features_blocks", "crypto_features_monthly",
     "crypto_features_weekly", "ewm_macd", "enriched_daily", "label_broadcast_daily", "label_next_4w",
-    "training_window_stats", "fold_scaler", "robust_scaler", "walkforward_lr_binary",
+    "training_window_stats", "fold_scaler", "robust_scaler", "walkforward_lr_binary", "cv_monthly_binary", "regimes_month_rows",
+    "walkforward_gbt",
 )
 
 
