@@ -14,39 +14,42 @@ from barloom.llm.common import as_long, by_piece, id_text, mixed, raw, text_shin
 from barloom.llm.graph import components
 from barloom.session import settle
 
-#: A sketch has 2**7 registers in 32 bands of 4. At a similarity of 0.8 a pair is missed with 4.6e-8.
-BUCKET_BITS, BANDS = 7, 32
+#: A sketch has 2**8 registers for estimates. For the search each two of them are one, in 32 bands of 4: at a
+#: similarity of 0.8 a pair is missed with 4.6e-8.
+BUCKET_BITS, BANDS, PER_BAND = 8, 32, 4
 REGISTERS = 1 << BUCKET_BITS
-#: Bits that a register keeps after the leading one. A short text fills one register of many of its bands, and
-#: with few bits such bands of unrelated texts would be equal by chance.
-MANTISSA = 25
+#: Bits that a register keeps after the leading one.
+MANTISSA = 10
+#: Bits kept for a band's key. A short text fills one register of many of its bands, and with few bits such
+#: bands of unrelated texts would be equal by chance.
+BAND_MANTISSA = 40
 #: An estimate may lie this far below the threshold before a pair is dropped without a look at its texts:
-#: over 4.5 standard deviations of 128 registers at 0.8.
-SLACK = 0.16
+#: 4.5 standard deviations of 256 registers at 0.8.
+SLACK = 0.1125
 #: Members of a bucket that are compared in one task.
 BLOCK = 512
 
 
-def registers(fingerprints: np.ndarray) -> np.ndarray:
+def registers(fingerprints: np.ndarray, bucket_bits: int = BUCKET_BITS, mantissa: int = MANTISSA) -> np.ndarray:
     """HyperMinHash of sorted distinct 64-bit fingerprints: the first bits choose a register, which keeps the
     leading-zero count of its smallest remainder and the bits after the leading one. 0 marks an empty one."""
-    out = np.zeros(REGISTERS, np.uint32)
-    bucket = (fingerprints >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    out = np.zeros(1 << bucket_bits, np.uint64)
+    bucket = (fingerprints >> np.uint64(64 - bucket_bits)).astype(np.int64)
     first = np.ones(len(bucket), bool)
     first[1:] = bucket[1:] != bucket[:-1]
-    rest = ((fingerprints[first] << np.uint64(BUCKET_BITS)) >> np.uint64(11)).astype(np.int64)  # 53 bits
+    rest = ((fingerprints[first] << np.uint64(bucket_bits)) >> np.uint64(11)).astype(np.int64)  # 53 bits
     length = np.frexp(rest.astype(np.float64))[1]
-    shift = length - 1 - MANTISSA
-    mantissa = np.where(shift >= 0, rest >> np.maximum(shift, 0), rest << np.maximum(-shift, 0)) & ((1 << MANTISSA) - 1)
-    out[bucket[first]] = (54 - length) << MANTISSA | mantissa
+    shift = length - 1 - mantissa
+    tail = np.where(shift >= 0, rest >> np.maximum(shift, 0), rest << np.maximum(-shift, 0)) & ((1 << mantissa) - 1)
+    out[bucket[first]] = (54 - length).astype(np.int64) << mantissa | tail
     return out
 
 
-def band_keys(regs: np.ndarray) -> list[int | None]:
+def band_keys(fingerprints: np.ndarray) -> list[int | None]:
     """One key per band of registers; a band of empty registers has none."""
-    packed = regs.astype(np.uint64).reshape(BANDS, -1)
+    packed = registers(fingerprints, (BANDS * PER_BAND).bit_length() - 1, BAND_MANTISSA).reshape(BANDS, PER_BAND)
     joined = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(packed.shape[1]):
+    for i in range(PER_BAND):
         joined = mixed(joined) + packed[:, i]
     keys = as_long(mixed(joined)).tolist()
     return [k if filled else None for k, filled in zip(keys, packed.any(axis=1).tolist(), strict=True)]
@@ -69,8 +72,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             found = np.unique(text_shingles(text.lower(), width))
             if not len(found):
                 return 0, None, None, None
-            regs = registers(found)
-            return len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(regs), regs.tobytes()
+            regs = registers(found).astype(np.uint16)
+            return len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(found), regs.tobytes()
 
         def work(piece: pa.RecordBatch) -> dict:
             n, keys, bands, regs = zip(*map(one, raw(piece.column("text"))), strict=True)
@@ -91,7 +94,7 @@ def _estimated(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     def near(batches):
         for batch in batches:
             n = batch.num_rows
-            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, REGISTERS)
+            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(n, REGISTERS)
                       for c in ("regs_a", "regs_b"))
             na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             est = similarity(((ra == rb) & (ra > 0)).sum(1), ((ra > 0) | (rb > 0)).sum(1), na, nb)
@@ -135,14 +138,13 @@ def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
     return placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
 
 
-def _hub_pairs(members: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b) of every member of a bucket with the member of most confirmed links, unless already connected."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep"))
-    placed = _placed(members, found).join(ends.groupBy("rep").agg(F.count("*").alias("degree")), "rep", "left")
-    hubs = placed.where("degree > 1").groupBy("key").agg(
-        F.max_by(F.struct(F.col("rep").alias("hub"), F.col("component").alias("of")), "degree").alias("best")).select("key", "best.*")
-    apart = placed.join(hubs, "key").where("component <> of")
-    return apart.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+def _hub_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b) of every member of a bucket of more than two with the bucket's member of most confirmed links."""
+    degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    many = members.where("n > 2").select("key", "rep")
+    hubs = many.join(degrees.where("degree > 1"), "rep").groupBy("key").agg(F.max_by("rep", "degree").alias("hub"))
+    pairs = many.join(hubs, "key").where("rep <> hub")
+    return pairs.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
 
 
 def _across(members: DataFrame, threshold: float) -> DataFrame:
@@ -160,7 +162,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     def compare(group):
         group = group.sort_values("rep")
         rep, comp, n = (group[c].to_numpy() for c in ("rep", "component", "n_shingles"))
-        regs = np.frombuffer(b"".join(group.regs), np.uint32).reshape(len(group), REGISTERS)
+        regs = np.frombuffer(b"".join(group.regs), np.uint16).reshape(len(group), REGISTERS)
         a, b = [], []
         for k in range(1, len(rep)):
             agree = ((regs[:k] == regs[k]) & (regs[k] > 0)).sum(1)
@@ -185,10 +187,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     component; rows that share an id are judged each by its text. Other columns are left out.
 
     Search: a bucket of a band links each member to its smallest member if their texts confirm it. That is
-    one link per member, whatever the bucket's size. Members that are then in another component than the one
-    of most links in their bucket, often the text that the others were made from, are tried with that one.
-    Where members of one bucket after this still lie in different components, these are compared with each
-    other, in blocks, so that no link of the bucket is lost.
+    one link per member, whatever the bucket's size. Members are also tried with the one of most links in their
+    bucket, often the text that the others were made from. Where members of one bucket after this still lie in
+    different components, these are compared with each other, in blocks, so that no link of the bucket is lost.
     """
     docs, threshold = id_text(docs, key, text), percent / 100
     rows = settle(sketches(docs, width))
@@ -204,20 +205,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     ids = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = settle(docs.join(classes.select(F.col("rep").alias("doc_id")).join(ids, "doc_id", "left_semi").distinct(), "doc_id"))
     links = settle(_confirmed(_estimated(stars, sets, threshold), texts, width, percent))
-    found = settle(components(links))
-
-    hubs = _hub_pairs(members, links, found).join(stars, ["a", "b"], "left_anti")
-    tried, more = stars, settle(_confirmed(_estimated(hubs, sets, threshold), texts, width, percent))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        found = settle(components(links))
+    hubs = _hub_pairs(members, links).join(stars, ["a", "b"], "left_anti")
+    found = settle(components(links.unionByName(_confirmed(_estimated(hubs, sets, threshold), texts, width, percent))))
     placed = settle(_placed(members, found))
     mixed_keys = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                   .where("lo < hi").select("key"))
     apart = placed.join(mixed_keys, "key").join(sets.select("rep", "n_shingles", "regs"), "rep")
-    more = settle(_confirmed(_across(apart, threshold).join(tried, ["a", "b"], "left_anti"), texts, width, percent))
+    more = settle(_confirmed(_across(apart, threshold).join(stars, ["a", "b"], "left_anti"), texts, width, percent))
     if not more.isEmpty():
-        found = settle(components(links.unionByName(more)))
+        joined = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = settle(components(joined.unionByName(more)))
 
     of_set = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component"))

@@ -174,7 +174,7 @@ def test_estimates_follow_similarity():
         pick.shuffle(all_)
         a, b = (registers(np.sort(x)) for x in (all_[:n], all_[n - both:]))
         est = similarity(((a == b) & (a > 0)).sum(), ((a > 0) | (b > 0)).sum(), np.array(n), np.array(n))
-        assert abs(est - share) < 0.16
+        assert abs(est - share) < 0.1125
 
 
 def test_components(spark):
