@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -170,7 +171,8 @@ def repeated_windows(group: list[tuple[int, Suffix]], length: int) -> Iterator[t
     A window of distance d starts d bytes left of its anchor. ``group`` is in suffix order with the bytes
     shared with the predecessor, so a suffix's best neighbour bounds d from below. Suffixes with the same
     bytes all round are settled at once and one of them stands for all; the rest halve the range of distances
-    and part by the bytes that all windows of a half have in common, down to single windows.
+    and part by the bytes that all windows of a half have in common, until those of a half are settled at once
+    too, down to single windows at the most.
     """
     skip = 8
     classes: dict[tuple, list[Suffix]] = defaultdict(list)
@@ -205,8 +207,22 @@ def repeated_windows(group: list[tuple[int, Suffix]], length: int) -> Iterator[t
                     if not settled:
                         yield s, near, near
                 continue
-            half = (near + far) // 2
-            todo += [(near, half, part), (half + 1, far, part)]
+            whole: dict[bytes, list] = defaultdict(list)
+            open_rows = []
+            for row in part:
+                if row[1] <= near and row[2] >= far:
+                    whole[row[0][1][len(row[0][1]) - far:] + row[0][0][skip:skip + length - near]].append(row)
+                else:
+                    open_rows.append(row)
+            for same in whole.values():
+                if len(same) > 1:
+                    for s, _, _, settled in same:
+                        if not settled:
+                            yield s, near, far
+                open_rows.append(same[0] if len(same) == 1 else (*same[0][:3], True))
+            if len(open_rows) > 1:
+                half = (near + far) // 2
+                todo += [(near, half, open_rows), (half + 1, far, open_rows)]
 
 
 def _contexts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, Suffix]]:
@@ -261,8 +277,8 @@ def _merge_sorted(texts: DataFrame, ranges: int, length: int) -> DataFrame:
                 yield from repeated_windows(group, length)
 
         def out(blocks):
-            rows = sorted({(s[2], s[3] - far, s[3] - near + length) for s, near, far in spans(blocks)})
-            if rows:
+            found = ((s[2], s[3] - far, s[3] - near + length) for s, near, far in spans(blocks))
+            while rows := list(islice(found, 20_000)):
                 digest, start, stop = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())],
                                                  names=["digest", "start", "stop"])
