@@ -26,8 +26,8 @@ BAND_MANTISSA = 40
 #: An estimate may lie this far below the threshold before a pair is dropped without a look at its texts:
 #: 4.5 standard deviations of 256 registers at 0.8.
 SLACK = 0.1125
-#: Members of a bucket that are compared in one task.
-BLOCK = 512
+#: Members of a bucket in a block; two blocks are compared in one task.
+BLOCK = 2048
 
 
 def registers(fingerprints: np.ndarray, bucket_bits: int = BUCKET_BITS, mantissa: int = MANTISSA) -> np.ndarray:
@@ -156,22 +156,26 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     cut = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+    cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
                      "rep", "component", "n_shingles", "regs")
 
     def compare(group):
-        group = group.sort_values("rep")
-        rep, comp, n = (group[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+        rep, comp, n, own = (group[c].to_numpy() for c in ("rep", "component", "n_shingles", "own"))
         regs = np.frombuffer(b"".join(group.regs), np.uint16).reshape(len(group), REGISTERS)
-        a, b = [], []
-        for k in range(1, len(rep)):
-            agree = ((regs[:k] == regs[k]) & (regs[k] > 0)).sum(1)
-            used = ((regs[:k] > 0) | (regs[k] > 0)).sum(1)
-            good = np.flatnonzero((similarity(agree, used, n[:k], n[k]) >= threshold - SLACK) & (comp[:k] != comp[k]))
-            b.append(rep[good])
-            a.append(np.full(len(good), rep[k]))
-        none = [np.empty(0, np.int64)]
-        return type(group)({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at, k in enumerate(right):
+            others = left[:at] if i == j else left  # two blocks: each pair across them; one block: each pair once
+            others = others[comp[others] != comp[k]]
+            if not len(others):
+                continue
+            x = regs[others]
+            est = similarity(((x == regs[k]) & (regs[k] > 0)).sum(1), ((x > 0) | (regs[k] > 0)).sum(1), n[others], n[k])
+            near = rep[others[est >= threshold - SLACK]]
+            a.append(np.maximum(near, rep[k]))
+            b.append(np.minimum(near, rep[k]))
+        return type(group)({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return cut.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 

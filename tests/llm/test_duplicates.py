@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from barloom.llm import suffixes
+from barloom.llm import near_dup, suffixes
 from barloom.llm.graph import components
 from barloom.llm.near_dup import keep_one, near_duplicates, registers, similarity
 from barloom.llm.substrings import remove_repeats
@@ -149,8 +149,10 @@ def test_near_copies(docs, width, percent):
     assert Counter(map(tuple, got)) == groups(hand_made(), width, percent)
 
 
-def test_chain_of_near_copies(spark):
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 3])
+def test_chain_of_near_copies(spark, monkeypatch, block):
     """Each text is near the next one only, and buckets hold texts that are not near their smallest member."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     pick = random.Random(4)
     word = lambda: "".join(pick.choice("abcdefgh") for _ in range(7))
     text, rows = [word() for _ in range(300)], []
