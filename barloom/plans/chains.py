@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators.indicators import EQUITY_FEATURES
-from barloom.operators.learning import boosting, cluster_regimes, compare_models, expanding_splits, kfold_splits, logistic, period_list
+from barloom.operators.learning import cluster_regimes, compare_models, expanding_splits, kfold_splits, logistic, period_list
 from barloom.operators.resample import last_row, last_valid
 from barloom.operators.strategies import lag_features, target_active_wins, target_not_default
 from barloom.plans import sql_parts as q
@@ -109,6 +109,5 @@ def regimes_month_profile(spark, sf_dir):
 
 @query(PERF)
 def perf_crypto_monthly(spark, sf_dir):
-    """Monthly crypto backtest end to end; boosting with few rounds and yearly refits (see README)."""
-    model = boosting(8, 0.05, 2, 0.8, scaler="standard")
-    return crypto_monthly(settled_bars(spark, sf_dir), model, refit_every=12).performance()
+    """Monthly crypto backtest end to end."""
+    return crypto_monthly(settled_bars(spark, sf_dir)).performance()
