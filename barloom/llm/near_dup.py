@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,8 @@ MANTISSA = 10
 #: Bits kept for a band's key. A short text fills one register of many of its bands, and with few bits such
 #: bands of unrelated texts would be equal by chance.
 BAND_MANTISSA = 40
-#: An estimate may lie this far below the threshold before a pair is dropped without a look at its texts:
-#: 4.5 standard deviations of 256 registers at 0.8.
-SLACK = 0.1125
+#: Chance at most with which a pair right at the threshold is dropped for its registers, without a look at its texts.
+MISS = 1e-6
 #: Members of a bucket in a block; two blocks are compared in one task.
 BLOCK = 2048
 
@@ -64,6 +64,32 @@ def similarity(agree: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray
     return np.maximum(agree - np.minimum(chance, agree), 0) / np.maximum(used, 1)
 
 
+@cache
+def _least_agreeing(percent: int) -> np.ndarray:
+    """By registers in use: the most k of which fewer than k agree with a chance of MISS at most, at the threshold.
+
+    Which elements of the union are the smallest of their registers does not depend on which ones are shared.
+    The registers that agree are thus draws without replacement, whose far tail is under the binomial one.
+    """
+    p, row, least = percent / 100, np.ones(1), [0]
+    for _ in range(REGISTERS):
+        row = np.append(row * (1 - p), 0) + np.append(0, row * p)
+        least.append(int(np.searchsorted(np.cumsum(row), MISS, side="right")))
+    return np.array(least)
+
+
+def may_link(agree: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m elements may reach the threshold, by their registers that agree and are in use.
+
+    A set's element that is not shared spoils one register at most. With few elements this alone decides, and no
+    pair that reaches the threshold is dropped.
+    """
+    total = n + m
+    apart = total + 2 * (-percent * total // (100 + percent))  # elements not shared, at most
+    least = np.maximum(_least_agreeing(percent)[used], used - apart)
+    return similarity(agree, used, n, m) * used >= least - 0.5  # by chance less than half a register agrees
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, and for texts with words: set_key (digest of the whole set), bands, regs."""
 
@@ -86,7 +112,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return by_piece(docs, make, "doc_id long, n_shingles long, set_key binary, bands array<long>, regs binary")
 
 
-def _estimated(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose estimate is not clearly below the threshold."""
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("regs").alias(f"regs_{x}"),
                                  F.col("n_shingles").alias(f"n_{x}"))
@@ -97,8 +123,8 @@ def _estimated(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(n, REGISTERS)
                       for c in ("regs_a", "regs_b"))
             na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            est = similarity(((ra == rb) & (ra > 0)).sum(1), ((ra > 0) | (rb > 0)).sum(1), na, nb)
-            yield batch.filter(pa.array(est >= threshold - SLACK)).select(["a", "b"])
+            near_enough = may_link(((ra == rb) & (ra > 0)).sum(1), ((ra > 0) | (rb > 0)).sum(1), na, nb, percent)
+            yield batch.filter(pa.array(near_enough)).select(["a", "b"])
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long")
 
@@ -147,7 +173,7 @@ def _hub_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
+def _across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a > b) of a bucket's members in different components whose estimate is high enough.
 
     Buckets are cut into blocks of about BLOCK members; a pair of blocks is compared in one task, and only
@@ -171,8 +197,8 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
             if not len(others):
                 continue
             x = regs[others]
-            est = similarity(((x == regs[k]) & (regs[k] > 0)).sum(1), ((x > 0) | (regs[k] > 0)).sum(1), n[others], n[k])
-            near = rep[others[est >= threshold - SLACK]]
+            near = rep[others[may_link(((x == regs[k]) & (regs[k] > 0)).sum(1), ((x > 0) | (regs[k] > 0)).sum(1),
+                                       n[others], n[k], percent)]]
             a.append(np.maximum(near, rep[k]))
             b.append(np.minimum(near, rep[k]))
         return type(group)({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -195,7 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     bucket, often the text that the others were made from. Where members of one bucket after this still lie in
     different components, these are compared with each other, in blocks, so that no link of the bucket is lost.
     """
-    docs, threshold = id_text(docs, key, text), percent / 100
+    docs = id_text(docs, key, text)
     rows = settle(sketches(docs, width))
     usable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = settle(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
@@ -208,14 +234,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     stars = settle(members.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
     ids = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = settle(docs.join(classes.select(F.col("rep").alias("doc_id")).join(ids, "doc_id", "left_semi").distinct(), "doc_id"))
-    links = settle(_confirmed(_estimated(stars, sets, threshold), texts, width, percent))
+    links = settle(_confirmed(_estimated(stars, sets, percent), texts, width, percent))
     hubs = _hub_pairs(members, links).join(stars, ["a", "b"], "left_anti")
-    found = settle(components(links.unionByName(_confirmed(_estimated(hubs, sets, threshold), texts, width, percent))))
+    found = settle(components(links.unionByName(_confirmed(_estimated(hubs, sets, percent), texts, width, percent))))
     placed = settle(_placed(members, found))
     mixed_keys = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
                   .where("lo < hi").select("key"))
     apart = placed.join(mixed_keys, "key").join(sets.select("rep", "n_shingles", "regs"), "rep")
-    more = settle(_confirmed(_across(apart, threshold).join(stars, ["a", "b"], "left_anti"), texts, width, percent))
+    more = settle(_confirmed(_across(apart, percent).join(stars, ["a", "b"], "left_anti"), texts, width, percent))
     if not more.isEmpty():
         joined = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = settle(components(joined.unionByName(more)))
