@@ -83,16 +83,16 @@ def fit(found: list[np.ndarray], labels: np.ndarray) -> bytes:
             d = err * (s - va) + L2 * va
             gv[at] += d * d
             v[at] -= RATE * d / np.sqrt(gv[at])
-    head = np.array([bias, len(bins)], np.float64).tobytes()
+    head = np.array([bias, len(bins), len(labels)], np.float64).tobytes()
     return head + bins.astype(np.int64).tobytes() + w.tobytes() + v.tobytes()
 
 
 def make_score(model: bytes):
-    bias, n = np.frombuffer(model, np.float64, 2)
+    bias, n, _ = np.frombuffer(model, np.float64, 3)
     n = int(n)
-    bins = np.frombuffer(model, np.int64, n, 16)
-    w = np.frombuffer(model, np.float64, n, 16 + 8 * n)
-    v = np.frombuffer(model, np.float64, n * FACTORS, 16 + 16 * n).reshape(n, FACTORS)
+    bins = np.frombuffer(model, np.int64, n, 24)
+    w = np.frombuffer(model, np.float64, n, 24 + 8 * n)
+    v = np.frombuffer(model, np.float64, n * FACTORS, 24 + 16 * n).reshape(n, FACTORS)
     place = np.full(BINS, -1, np.int32)
     place[bins] = np.arange(n)
     features = _Lazy()
@@ -122,7 +122,12 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: bytes, threshold: float = 0.3) -> DataFrame:
-    """Rows of ``docs`` whose score is below ``threshold``; columns as they were."""
+    """Rows of ``docs`` whose score is below ``threshold``; columns as they were.
+
+    Null texts stay, and all rows stay if the model was trained on no row: nothing speaks against them.
+    """
+    if not np.frombuffer(model, np.float64, 3)[2]:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept: dict[int, object] = {}
 
@@ -132,4 +137,4 @@ def drop_toxic(docs: DataFrame, model: bytes, threshold: float = 0.3) -> DataFra
             kept[0] = make_score(shared.value)
         return texts.map(lambda x: kept[0]((x or "").encode()))
 
-    return docs.where(toxic(docs["text"].cast("string")) < threshold)
+    return docs.where(docs["text"].isNull() | (toxic(docs["text"].cast("string")) < threshold))
