@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators.indicators import EQUITY_FEATURES
-from barloom.operators.learning import cluster_regimes, compare_models, expanding_splits, kfold_splits, logistic, period_list
+from barloom.operators.learning import (
+    cluster_regimes, compare_models, daily_models, expanding_splits, kfold_splits, logistic, period_list, weekly_models,
+)
 from barloom.operators.resample import last_row, last_valid
 from barloom.operators.strategies import lag_features, target_active_wins, target_not_default
 from barloom.plans import sql_parts as q
@@ -65,22 +67,42 @@ def cv_monthly_binary(spark, sf_dir):
     return mean_scores(compare_models(data, EQUITY_FEATURES, "y", [logistic()], kfold_splits(period_list(data))))
 
 
-@query(SCORES)
-def cv_daily_logistic(spark, sf_dir):
-    """Logistic regression on the labelled daily rows, five expanding folds over the days."""
+def daily_scores(spark, sf_dir, models):
     rows = labelled_daily(segment_bars(spark, sf_dir)).dropna("any", subset=["best_strategy"])
     codes = F.create_map(*[F.lit(x) for i, n in enumerate(("buy_hold", "momentum", "mean_reversion")) for x in (n, i)])
     data = settle(rows.withColumn("y", codes[F.col("best_strategy")]), "d")
     folds = kfold_splits(period_list(data, "d"))
-    return mean_scores(compare_models(data, EQUITY_FEATURES, "y", [logistic()], folds, period="d"))
+    return mean_scores(compare_models(data, EQUITY_FEATURES, "y", models, folds, period="d"))
 
 
 @query(SCORES)
-def cv_weekly_logistic(spark, sf_dir):
-    """Logistic regression (C of a half, 500 iterations) on the weekly set, five expanding folds."""
+def cv_daily_logistic(spark, sf_dir):
+    """Logistic regression on the labelled daily rows, five expanding folds over the days."""
+    return daily_scores(spark, sf_dir, [logistic()])
+
+
+@query(SCORES)
+def cv_daily_comparison(spark, sf_dir):
+    """Logistic regression, forest and boosting on the same rows and folds."""
+    return daily_scores(spark, sf_dir, daily_models())
+
+
+def weekly_scores(spark, sf_dir, models):
     data = settle(coded(crypto_week_dataset(segment_bars(spark, sf_dir))), "period_end")
     features = q.CRYPTO
-    return mean_scores(compare_models(data, features, "y", [logistic(0.5, 500)], kfold_splits(period_list(data))))
+    return mean_scores(compare_models(data, features, "y", models, kfold_splits(period_list(data))))
+
+
+@query(SCORES)
+def cv_weekly_logistic(spark, sf_dir):
+    """Logistic regression (C of a half, 500 iterations) on the weekly set, five expanding folds."""
+    return weekly_scores(spark, sf_dir, [logistic(0.5, 500)])
+
+
+@query(SCORES)
+def cv_weekly_comparison(spark, sf_dir):
+    """Logistic regression, forest and boosting on the same set and folds."""
+    return weekly_scores(spark, sf_dir, weekly_models())
 
 
 @query(Shape("asset period_end", n="fold y_true y_pred go_active", sig="p_active"))

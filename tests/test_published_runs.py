@@ -19,6 +19,8 @@ WANT = {
     "perf_crypto_monthly": (BOOST_CALENDAR, None, 24),
     "perf_adaptive_weekly": (BOOST_WEEK, None, 104),
     "cv_model_comparison": ((200, .05, 3, 1.0), (200, 30, 5), None),
+    "cv_daily_comparison": ((200, .05, 3, 1.0), (200, 30, 5), None),
+    "cv_weekly_comparison": (BOOST_WEEK, (300, 4, 5), None),
     "cv_rolling_comparison": ((80, .1, 1, .8), (150, 3, 4), 60),
 }
 
