@@ -7,12 +7,13 @@ What is exact about a walk-forward run, its windows, scaling and class weights,
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators.indicators import CRYPTO_FEATURES
 from barloom.operators.learning import (
-    boosting, cluster_regimes, compare_models, daily_models, expanding_splits, kfold_splits, logistic, monthly_models,
-    period_list, period_stats, rolling_splits, window_stats,
+    boosting, cluster_regimes, compare_models, daily_models, kfold_splits, logistic, monthly_models, period_list,
+    rolling_splits,
 )
 from barloom.operators.metrics import accuracy, shares
 from barloom.plans.backtests import (
@@ -117,12 +118,15 @@ f AS (SELECT t.pos - 60 AS fold, d.* FROM p t JOIN p e ON e.pos < t.pos JOIN dat
 """
 
 
-def month_windows(spark, sf_dir):
-    """Statistics of every window of the monthly run that refits each period: what its fits are given."""
-    data = coded(month_dataset(segment_bars(spark, sf_dir)))
-    stats = period_stats(data, MONTH_FEATURES, "y")
-    splits = expanding_splits(sorted({s.period for s in stats}), 60)
-    return [(s, window_stats(stats, s)) for s in splits]
+def before(key):
+    """The periods before a row's own; ``key`` parts a table of one row per period."""
+    return Window.partitionBy(key).orderBy("period_end").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def month_folds(rows, key):
+    """Rows that have sixty periods before them, with the number of their fold."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy("period_end"))
+    return rows.withColumn("fold", at - 60).where("fold > 0")
 
 
 @query(Shape("feature train_from train_to", n="fold n_train", sig="mean deviation"), "ml_data", _CODED + " UNION ALL ".join(
@@ -130,9 +134,18 @@ def month_windows(spark, sf_dir):
     f"avg({c}) AS mean, stddev_pop({c}) AS deviation FROM f GROUP BY fold" for c in MONTH_FEATURES))
 def walkforward_scaling(spark, sf_dir):
     """Bounds, rows, centre and scale of every training window of the monthly run."""
-    rows = [(c, s.train_from, s.train_to, s.fold, n, *moments[j])
-            for s, (n, moments, _) in month_windows(spark, sf_dir) for j, c in enumerate(MONTH_FEATURES)]
-    return spark.createDataFrame(rows, "feature string, train_from date, train_to date, fold int, n_train long, mean double, deviation double")
+    data = coded(month_dataset(segment_bars(spark, sf_dir)))
+    sides = [x for c in MONTH_FEATURES for x in (F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}"))]
+    stack = ", ".join(f"'{c}', m_{c}, v_{c}" for c in MONTH_FEATURES)
+    by_period = data.groupBy("period_end").agg(F.count(F.lit(1)).alias("n"), *sides).selectExpr(
+        "period_end", "n", f"stack({len(MONTH_FEATURES)}, {stack}) AS (feature, m, v)")
+    w, m = before("feature"), F.col("m")
+    n = F.sum("n").over(w)
+    mean, square = F.sum(F.col("n") * m).over(w) / n, F.sum(F.col("n") * (F.col("v") + m * m)).over(w) / n
+    rows = by_period.select("feature", "period_end", F.min("period_end").over(w).alias("train_from"),
+                            F.max("period_end").over(w).alias("train_to"), n.alias("n_train"), mean.alias("mean"),
+                            F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("deviation"))
+    return month_folds(rows, "feature")
 
 
 @query(Shape("", n="fold y n", sig="weight"), "ml_data", _CODED + """
@@ -140,8 +153,12 @@ SELECT fold, y, count(*) AS n, sum(count(*)) OVER (PARTITION BY fold) / (count(*
 FROM f GROUP BY fold, y""")
 def walkforward_weights(spark, sf_dir):
     """Balanced class weights of every training window of the monthly run."""
-    rows = [(s.fold, y, c, n / (len(counts) * c)) for s, (n, _, counts) in month_windows(spark, sf_dir) for y, c in counts.items()]
-    return spark.createDataFrame(rows, "fold int, y int, n long, weight double")
+    data = coded(month_dataset(segment_bars(spark, sf_dir)))
+    counts = data.groupBy("period_end").agg(*[F.count_if(F.col("y") == y).alias(f"n_{y}") for y in range(3)])
+    rows = counts.selectExpr("period_end", "stack(3, 0, n_0, 1, n_1, 2, n_2) AS (y, c)")
+    seen = month_folds(rows.withColumn("n", F.sum("c").over(before("y"))), "y").where("n > 0")
+    fold = Window.partitionBy("fold")
+    return seen.withColumn("weight", F.sum("n").over(fold) / (F.count(F.lit(1)).over(fold) * F.col("n")))
 
 
 @query(Shape("asset period_end", n="fold y_true"), "ml_data", _CODED + """
