@@ -11,10 +11,13 @@ from barloom.llm.byte_bpe import encode_decode
 from barloom.llm.catalog import registered
 from barloom.llm.common import crc_mod, table
 from barloom.llm.contamination import contained_items
+from barloom.llm.divergence import source_divergence
 from barloom.llm.hnsw import nearest_neighbours
 from barloom.llm.near_dup import near_duplicates
 from barloom.llm.sharding import lookup_table, place
+from barloom.llm.simhash import simhash_duplicates
 from barloom.llm.substrings import remove_repeats
+from barloom.llm.whitening import whitened
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -82,6 +85,7 @@ def op7_near_dup(spark, sf_dir):
 
 @registered()
 def op8_byte_bpe(spark, sf_dir):
+    """Every document as token ids, and decoded again."""
     docs = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                          public_tokenizers.PATTERN)
     return docs.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
@@ -102,6 +106,25 @@ def op10_toxicity(spark, sf_dir):
     return _predicted(toxicity.score(docs, model), crc_mod("doc_id", 4) == 2, 0.3)
 
 
+@registered()
+def op11_simhash(spark, sf_dir):
+    """Groups of documents whose fingerprints of three-word shingles differ in two bits or fewer."""
+    found = simhash_duplicates(table(spark, sf_dir, "documents"), width=3, distance=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@registered(sql=oracles.DIVERGENCE)
+def op12_divergence(spark, sf_dir):
+    """How far the sources of each language differ, and the terms that each has more than its language."""
+    return source_divergence(table(spark, sf_dir, "documents"), min_docs=10, best=10)
+
+
+@registered()
+def op13_whitening(spark, sf_dir):
+    """Every embedding along the first four components of all distinct ones."""
+    return whitened(table(spark, sf_dir, "embeddings"), most=4)
+
+
 def _predicted(scores, held_out, threshold):
     return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
