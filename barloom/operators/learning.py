@@ -1,60 +1,83 @@
-"""Walk-forward training on a pooled panel, model comparison and regimes, with MLlib.
+"""Walk-forward training on a pooled panel, model comparison and regimes.
 
-All assets of a training window are fitted together, one distributed fit per refit date. What reaches the
-driver is bounded by the calendar and the schema: the list of periods, one row of scaling statistics and
-one count per class.
+All assets of a training window are fitted together, and all windows of a logistic or boosted run in the same jobs
+(``lockstep``); forests are MLlib's, one fit per window. What reaches the driver is bounded by the calendar and the
+schema: the list of periods, scaling statistics and class counts of each, coefficients and trees.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import date
-from multiprocessing.pool import ThreadPool
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.lockstep import (
+    Panel, Window, day_number, fit_boosting, fit_logistic, quantiles, scored,
+)
 from barloom.session import scratch_path
 
 SEED = 42
 
 
 @dataclass(frozen=True)
-class Model:
-    """A classifier with its preparation. ``build`` gets the row count of the training window."""
+class Logistic:
+    """L2 logistic regression with balanced class weights; ``c`` is the weight of the loss."""
 
-    name: str
-    build: Callable[[int], object]
-    scaler: str | None = None
-    weighted: bool = False
-    probability: bool = field(default=False)
+    c: float = 1.0
+    steps: int = 1000
+    scaler: str = "standard"
+    name: str = "Logistic Regression"
 
 
-def logistic(c: float = 1.0, max_iter: int = 1000, scaler: str = "standard") -> Model:
-    """L2 logistic regression. The penalty is per unit of weight, and balanced weights sum to the rows."""
-    return Model("Logistic Regression", lambda n: LogisticRegression(
-        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter,
-        weightCol="weight"), scaler, True, True)
+@dataclass(frozen=True)
+class Forest:
+    """Random forest with balanced class weights; no depth means the deepest tree the library grows."""
+
+    trees: int = 200
+    depth: int | None = None
+    leaf: int = 5
+    name: str = "Random Forest"
+
+    def build(self) -> RandomForestClassifier:
+        return RandomForestClassifier(numTrees=self.trees, maxDepth=30 if self.depth is None else self.depth,
+                                      minInstancesPerNode=self.leaf, seed=SEED, weightCol="weight")
+
+
+@dataclass(frozen=True)
+class Boosting:
+    """Boosted trees on the soft-max loss. Trees do not depend on the features' scale, so nothing is scaled."""
+
+    rounds: int = 200
+    rate: float = 0.05
+    depth: int = 3
+    subsample: float = 1.0
+    name: str = "Gradient Boosting"
+
+
+Model = Logistic | Forest | Boosting
 
 
-def forest(trees: int = 200, depth: int | None = None, leaf: int = 5) -> Model:
-    """Random forest; unlimited depth means the deepest tree the library grows."""
-    return Model("Random Forest", lambda n: RandomForestClassifier(
-        numTrees=trees, maxDepth=30 if depth is None else depth, minInstancesPerNode=leaf, seed=SEED,
-        weightCol="weight"), None, True)
+def logistic(c: float = 1.0, max_iter: int = 1000, scaler: str = "standard") -> Logistic:
+    return Logistic(c, max_iter, scaler)
 
 
-def boosting(rounds: int = 200, rate: float = 0.05, depth: int = 3, subsample: float = 1.0,
-             scaler: str | None = None) -> Model:
-    """Boosted trees, one against the rest."""
-    return Model("Gradient Boosting", lambda n: OneVsRest(classifier=GBTClassifier(
-        maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=subsample, seed=SEED), parallelism=3), scaler)
+def forest(trees: int = 200, depth: int | None = None, leaf: int = 5) -> Forest:
+    return Forest(trees, depth, leaf)
+
+
+def boosting(rounds: int = 200, rate: float = 0.05, depth: int = 3, subsample: float = 1.0) -> Boosting:
+    return Boosting(rounds, rate, depth, subsample)
 
 
 def daily_models() -> list[Model]:
@@ -170,61 +193,98 @@ def window_stats(stats: Sequence[PeriodStats], split: Split) -> tuple[int, list[
     return n, moments, counts
 
 
-def _quartiles(train: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Median and interquartile range of every feature of the training rows."""
-    row = train.agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(c) for c in features]).first()
-    return {c: (row[c][1], (row[c][2] - row[c][0]) or 1.0) for c in features if row[c] is not None}
+def training_windows(stats: Sequence[PeriodStats], splits: Sequence[Split]) -> tuple[list[Window], dict]:
+    """Windows that have rows, and (mean, deviation) of every feature of each."""
+    windows, moments = [], {}
+    for s in splits:
+        n, found, counts = window_stats(stats, s)
+        if n:
+            classes = tuple(sorted(int(v) for v in counts))
+            windows.append(Window(s.fold, day_number(s.train_from), day_number(s.train_to), classes, tuple(counts[v] for v in classes)))
+            moments[s.fold] = np.array([m for m, _ in found]), np.array([d or 1.0 for _, d in found])
+    return windows, moments
+
+
+def _scales(panel: Panel, scaler: str, moments: dict) -> dict:
+    """Centre and scale of every window: mean and deviation, or median and quartile range, both exact."""
+    if scaler == "standard":
+        return moments
+    return {f: (q[1], np.where(q[2] > q[0], q[2] - q[0], 1.0)) for f, q in quantiles(panel).items()}
+
+
+def _scorer(fitted: dict, windows: Sequence[Window]) -> Callable:
+    """y_pred and p_active of a fold's rows. A window of one class predicts that class."""
+    of = {w.fold: w.classes for w in windows}
+
+    def score(fold: int, x: np.ndarray):
+        classes, none = of[fold], np.full(len(x), np.nan)
+        if len(classes) == 1:
+            chosen, p = np.full(len(x), classes[0]), np.full(len(x), float(classes[0])) if classes[0] in (0, 1) else none
+        elif hasattr(fitted[fold], "probabilities"):
+            share = fitted[fold].probabilities(x)
+            chosen, p = np.array(classes)[share.argmax(1)], share[:, 1] if classes == (0, 1) else none
+        else:
+            chosen, p = fitted[fold].chosen(x), none
+        return pa.array(chosen.astype(np.int32)), pa.array(p, mask=np.isnan(p))
+
+    return score
 
 
-def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, model: Model,
-                known: tuple[int, list[tuple[float, float]], dict] | None = None) -> DataFrame | None:
-    """Predictions for the test rows, or None when the training window is empty.
+def _fitted(panel: Panel, model: Model, moments: dict) -> dict:
+    if isinstance(model, Logistic):
+        return fit_logistic(panel, model.c, _scales(panel, model.scaler, moments), model.steps)
+    return fit_boosting(panel, model.rounds, model.rate, model.depth, model.subsample, SEED)
 
-    ``known`` has the window's statistics if they are at hand. ``p_active`` is the probability of class 1
-    where the classes are 0 and 1, and missing otherwise.
+
+def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, model: Logistic | Boosting) -> DataFrame | None:
+    """The test rows with y_pred and p_active, or None when there is no training row.
+
+    ``p_active`` is the logistic probability of class 1 where the classes are 0 and 1, and missing otherwise.
     """
-    if known is None:
-        everything = Split(0, date.min, date.max, date.min, date.max)
-        known = window_stats(period_stats(train.withColumn("_all", F.lit(date(2000, 1, 1))), features, label, "_all"), everything)
-    n, moments, counts = known
-    if n == 0:
+    day = date(2000, 1, 1)
+    dated = train.withColumn("_at", F.lit(day))
+    windows, moments = training_windows(period_stats(dated, features, label, "_at"), [Split(1, day, day, day, day)])
+    if not windows:
         return None
-    scale = {}
-    if model.scaler == "standard":
-        scale = {c: (m, d or 1.0) for c, (m, d) in zip(features, moments, strict=True)}
-    elif model.scaler == "robust":
-        scale = _quartiles(train, features)
-    weights = {v: n / (len(counts) * c) for v, c in counts.items()}
-    binary = set(counts) <= {0, 1}
-
-    def scaled(df: DataFrame) -> DataFrame:
-        if scale:
-            df = df.withColumns({f"_x_{c}": (F.col(c) - F.lit(m)) / F.lit(d) for c, (m, d) in scale.items()})
-        names = [f"_x_{c}" for c in features] if scale else list(features)
-        return VectorAssembler(inputCols=names, outputCol="features").transform(df)
-
-    ready = scaled(train).withColumn("label", F.col(label).cast("double"))
-    if model.weighted:
-        by_class = [F.when(F.col(label) == v, F.lit(w)) for v, w in weights.items()]
-        ready = ready.withColumn("weight", F.coalesce(*by_class))
-    if len(counts) == 1:
-        # one class only: every model of it is constant
-        only = int(next(iter(counts)))
-        return test.withColumns({"y_pred": F.lit(only), "p_active": F.lit(float(only) if binary else None).cast("double")})
-    fitted = model.build(n).fit(ready.select("features", "label", *(["weight"] if model.weighted else [])))
-    scored = fitted.transform(scaled(test))
-    p = vector_to_array("probability")[1] if model.probability and binary else F.lit(None).cast("double")
-    return scored.withColumns({"y_pred": F.col("prediction").cast("int"), "p_active": p})
+    panel = Panel(dated, features, label, windows, windows[0].rows, list(features), "_at")
+    fitted = _fitted(panel, model, moments)
+    span = [(1, day_number(day), day_number(day))]
+    return scored(test.withColumn("_at", F.lit(day)), features, test.columns, "_at", span, _scorer(fitted, windows),
+                  "y_pred int, p_active double").drop("fold")
 
 
 def _concurrently(data: DataFrame, jobs: Sequence[Callable], parallelism: int) -> list:
     """Results of independent driver-side fits in their order, a few of them submitted to the cluster at once."""
     wrap = inheritable_thread_target(data.sparkSession)
-    pool = ThreadPool(max(1, min(parallelism, len(jobs))))
-    try:
-        return pool.map(lambda job: job(), [wrap(job) for job in jobs], chunksize=1)
-    finally:
-        pool.close()
+    with ThreadPoolExecutor(max(1, min(parallelism, len(jobs)))) as pool:
+        return list(pool.map(lambda job: job(), [wrap(job) for job in jobs]))
+
+
+def _forest_predictions(data: DataFrame, features: Sequence[str], label: str, model: Forest, splits: Sequence[Split],
+                        windows: Sequence[Window], kept: Sequence[str], period: str, parallelism: int) -> DataFrame:
+    """One MLlib fit per window. The rows of a split are date filters that reach the scan of a stored table; each
+    split's predictions are written as they are made, and the result is one scan of them."""
+    path, by_fold = scratch_path(data.sparkSession, "predictions"), {w.fold: w for w in windows}
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+
+    def job(s: Split):
+        w = by_fold[s.fold]
+        train = data.filter(F.col(period).between(F.lit(s.train_from), F.lit(s.train_to)))
+        test = data.filter(F.col(period).between(F.lit(s.test_from), F.lit(s.test_to)))
+        out = [*kept, F.lit(s.fold).alias("fold"), F.col(label).cast("int").alias("y_true")]
+        if len(w.classes) == 1:
+            done = test.select(*out, F.lit(w.classes[0]).alias("y_pred"))
+        else:
+            by_class = [F.when(F.col(label) == v, F.lit(w.rows / (len(w.classes) * n))) for v, n in zip(w.classes, w.counts, strict=True)]
+            ready = assembler.transform(train).select("features", F.col(label).cast("double").alias("label"), F.coalesce(*by_class).alias("weight"))
+            done = model.build().fit(ready).transform(assembler.transform(test)).select(*out, F.col("prediction").cast("int").alias("y_pred"))
+        done = done.withColumn("p_active", F.lit(float(w.classes[0]) if w.classes in ((0,), (1,)) else None).cast("double"))
+        # a folder for each split: writers of one folder at the same time would clear each other's files
+        done.write.parquet(f"{path}/part{s.fold:05d}")
+        return done.schema
+
+    schemas = _concurrently(data, [lambda s=s: job(s) for s in splits if s.fold in by_fold], parallelism)
+    return data.sparkSession.read.schema(schemas[0]).option("recursiveFileLookup", "true").parquet(path)
 
 
 def compare_models(data: DataFrame, features: Sequence[str], label: str, models: Sequence[Model],
@@ -232,31 +292,28 @@ def compare_models(data: DataFrame, features: Sequence[str], label: str, models:
                    parallelism: int = 8) -> DataFrame:
     """Out-of-sample predictions of every model and split.
 
-    Columns: keys, period, model, fold, y_true, y_pred, p_active. ``data`` is scanned by every fit; settle it
-    first. The training and test rows of a split are date-range filters on it, which reach the scan of a
-    stored table. Scaling statistics and class counts of all windows come from one aggregation. Each split's
-    predictions are written to one table of the shared folder as they are made, and the result is one scan of it.
+    Columns: keys, period, model, fold, y_true, y_pred, p_active. ``data`` is scanned several times; settle it first.
+    Scaling statistics and class counts of all windows come from one aggregation.
     """
     stats = period_stats(data, features, label, period)
-    path = scratch_path(data.sparkSession, "predictions")
-
-    def job(part: int, model: Model, s: Split):
-        train = data.filter(F.col(period).between(F.lit(s.train_from), F.lit(s.train_to)))
-        test = data.filter(F.col(period).between(F.lit(s.test_from), F.lit(s.test_to)))
-        scored = fit_predict(train, test, features, label, model, window_stats(stats, s))
-        if scored is None:
-            return None
-        kept = scored.select(*keys, period, F.lit(model.name).alias("model"), F.lit(s.fold).alias("fold"),
-                             F.col(label).alias("y_true"), "y_pred", "p_active")
-        # a folder for each split: writers of one folder at the same time would clear each other's files
-        kept.write.parquet(f"{path}/part{part:05d}")
-        return kept.schema
-
-    jobs = [lambda i=i, m=m, s=s: job(i, m, s) for i, (m, s) in enumerate((m, s) for m in models for s in splits)]
-    schemas = [schema for schema in _concurrently(data, jobs, parallelism) if schema is not None]
-    if not schemas:
+    windows, moments = training_windows(stats, splits)
+    if not windows:
         raise ValueError("no split has training rows")
-    return data.sparkSession.read.schema(schemas[0]).option("recursiveFileLookup", "true").parquet(path)
+    trained = {w.fold for w in windows}
+    tests = [(s.fold, day_number(s.test_from), day_number(s.test_to)) for s in splits if s.fold in trained]
+    kept, panel, found = [*keys, period], None, []
+    for model in models:
+        if isinstance(model, Forest):
+            done = _forest_predictions(data, features, label, model, splits, windows, kept, period, parallelism)
+        else:
+            panel = panel or Panel(data, features, label, windows, sum(s.n for s in stats), keys, period)
+            rows = data.withColumn("y_true", F.col(label).cast("int"))
+            done = scored(rows, features, [*kept, "y_true"], period, tests, _scorer(_fitted(panel, model, moments), windows),
+                          "y_pred int, p_active double")
+        found.append(done.select(*kept, F.lit(model.name).alias("model"), "fold", "y_true", "y_pred", "p_active"))
+    if panel:
+        panel.rdd.unpersist()
+    return reduce(DataFrame.unionByName, found)
 
 
 def walk_forward(data: DataFrame, features: Sequence[str], label: str, model: Model, splits: Sequence[Split],

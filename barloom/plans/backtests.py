@@ -142,7 +142,7 @@ def month_predictions(bars: DataFrame, model: Model, min_train: int = 60, refit_
 def equity_monthly(bars: DataFrame, model: Model | None = None, min_train: int = 60, refit_every: int = 1,
                    alignment: str = "as_published") -> Backtest:
     """Rules, hindsight and the boosted choice per month; the choice earns nothing before its first month."""
-    model = model or boosting(200, 0.05, 3, scaler="standard")
+    model = model or boosting(200, 0.05, 3)
     chosen = _choices(month_predictions(bars, model, min_train, refit_every, alignment))
     rules = with_oracle(rules_of(bars)).join(chosen, ["asset", "period_end"], "left")
     followed = follow(rules)
@@ -154,7 +154,7 @@ def crypto_month_predictions(bars: DataFrame, model: Model | None = None, years:
                              alignment: str = "as_published") -> DataFrame:
     data = settle(coded(crypto_month_dataset(bars, alignment)).select("asset", "period_end", "y", *CRYPTO_FEATURES), "period_end")
     splits = calendar_splits(period_list(data), years, refit_every=refit_every)
-    return walk_forward(data, CRYPTO_FEATURES, "y", model or boosting(150, 0.05, 2, 0.8, "standard"), splits)
+    return walk_forward(data, CRYPTO_FEATURES, "y", model or boosting(150, 0.05, 2, 0.8), splits)
 
 
 def crypto_monthly(bars: DataFrame, model: Model | None = None, refit_every: int = 1,

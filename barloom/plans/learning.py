@@ -44,7 +44,7 @@ def perf_binary_switch(spark, sf_dir):
 @query(PREDICTIONS)
 def walkforward_gbt(spark, sf_dir):
     """Boosted trees that pick next month's rule, expanding window of sixty months and more."""
-    return month_predictions(segment_bars(spark, sf_dir), boosting(200, 0.05, 3, scaler="standard"))
+    return month_predictions(segment_bars(spark, sf_dir), boosting(200, 0.05, 3))
 
 
 @query(PREDICTIONS)

@@ -126,12 +126,12 @@ def test_regimes_are_ordered_and_complete(spark):
 
 def test_published_settings():
     assert [m.name for m in daily_models()] == [m.name for m in monthly_models()] == [m.name for m in weekly_models()]
-    lr = logistic(0.5, 500).build(200)
-    assert lr.getRegParam() == pytest.approx(.01) and lr.getMaxIter() == 500 and not lr.getStandardization()
-    rf = forest().build(1)
+    lr = logistic(0.5, 500)
+    assert (lr.c, lr.steps, lr.scaler) == (0.5, 500, "standard")
+    rf = forest().build()
     assert rf.getNumTrees() == 200 and rf.getMaxDepth() == 30 and rf.getMinInstancesPerNode() == 5
-    gb = boosting().build(1).getClassifier()
-    assert (gb.getMaxIter(), gb.getStepSize(), gb.getMaxDepth(), gb.getSubsamplingRate()) == (200, .05, 3, 1.0)
+    gb = boosting()
+    assert (gb.rounds, gb.rate, gb.depth, gb.subsample) == (200, .05, 3, 1.0)
 
 
 def test_frames_before_a_row_exclude_it(months):

@@ -51,12 +51,12 @@ def handed(monkeypatch):
 def test_tree_queries_run_the_published_job(spark, handed, name):
     boost, trees, first = WANT[name]
     models, splits, periods = handed(spark, name)
-    made = {m.name: m.build(100) for m in models}
-    gb = made["Gradient Boosting"].getClassifier()
-    assert (gb.getMaxIter(), gb.getStepSize(), gb.getMaxDepth(), gb.getSubsamplingRate()) == boost
+    made = {m.name: m for m in models}
+    gb = made["Gradient Boosting"]
+    assert (gb.rounds, gb.rate, gb.depth, gb.subsample) == boost
     assert ("Random Forest" in made) == (trees is not None)
     if trees:
-        rf = made["Random Forest"]
+        rf = made["Random Forest"].build()
         assert (rf.getNumTrees(), rf.getMaxDepth(), rf.getMinInstancesPerNode()) == trees
     if first is None:
         assert len(splits) == 5
