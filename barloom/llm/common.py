@@ -136,11 +136,16 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+#: Longest word that is hashed as a polynomial. Among longer ones there are words, such as those of Thue and Morse,
+#: whose polynomials agree in many bits whatever the base.
+POLYNOMIAL_BYTES = 24
+
+
 def word_hashes(text: bytes) -> np.ndarray:
-    """Hash of every word of a text, in order, without making the words.
+    """Hash of every word of a text, in order, without making the words but for long ones.
 
-    A word's hash is a polynomial of its bytes: the difference of two running sums over the text, brought to
-    the word's own start. Only array operations touch the bytes.
+    A short word's hash is a polynomial of its bytes: the difference of two running sums over the text, brought to
+    the word's own start, so that only array operations touch the bytes. A long word has its XXH3.
     """
     data = np.frombuffer(text, np.uint8)
     inside = np.zeros(len(data) + 2, bool)
@@ -152,7 +157,10 @@ def word_hashes(text: bytes) -> np.ndarray:
     powers, inverse = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers, out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * MIX)
+    out = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * MIX)
+    for i in np.flatnonzero(ends - starts > POLYNOMIAL_BYTES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(text[starts[i]:ends[i]])
+    return out
 
 
 def text_shingles(text: bytes, width: int) -> np.ndarray:

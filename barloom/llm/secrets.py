@@ -44,7 +44,7 @@ class CharacterClass:
 @dataclass(frozen=True)
 class EntropyRules:
     """What the entropy scan looks for, and the allow-list: a candidate that matches one of these patterns as
-    a whole, or lies in a base span, is suppressed (base spans themselves stay)."""
+    a whole, is a slug (if ``slugs``), or lies in a base span, is suppressed (base spans themselves stay)."""
 
     classes: tuple[CharacterClass, ...] = (
         CharacterClass("entropy_hex", "0-9a-fA-F", "0123456789abcdefABCDEF", 24, 3.0),
@@ -54,10 +54,19 @@ class EntropyRules:
     allowed: tuple[str, ...] = field(default=(
         r"[0-9]+",  # numbers
         r"[A-Za-z]+",  # words, however long
-        r"[a-z0-9]+(?:[-_/][a-z0-9]+){2,}",  # slugs and paths of lower-case parts
         r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # identifiers in the form of UUIDs
         r"(?i).*(?:example|sample|dummy|placeholder|changeme|0123456789|abcdefgh).*",  # stand-ins
     ))
+    slugs: bool = True
+
+
+def is_slug(candidate: Column) -> Column:
+    """Whether a candidate is a path or name of three or more lower-case parts with single separators between.
+
+    Told by plain runs of characters, as a repeated group of a pattern takes a stack frame for each repetition.
+    """
+    parts = F.char_length(candidate) - F.char_length(F.translate(candidate, "-_/", ""))
+    return candidate.rlike("^[a-z0-9_/-]+$") & ~candidate.rlike("^[-_/]|[-_/]$|[-_/][-_/]") & (parts >= 2)
 
 
 def _found(text: Column, pattern: str, keep, kind: Column) -> Column:
@@ -98,38 +107,54 @@ def base_spans(text: Column) -> Column:
 def peak_entropy(candidate: Column, rule: CharacterClass) -> Column:
     """Highest Shannon entropy, in bits, of a window of ``rule.window`` characters.
 
-    The state holds the count of every character of the class and the sum of n log2 n over them. A step
-    takes one character in and, once the window is full, one out; it changes two counts and the sum by the
-    difference of their terms, so no window is counted anew.
+    The candidate is cut into characters once. The state holds the count of every character of the class, a few
+    bits each in whole numbers of 60 bits, and the sum of n log2 n over them. A step takes one character in and,
+    once the window is full, one out; it changes two counts and the sum by the difference of their terms, so no
+    window is counted anew and the work is in proportion to the length.
     """
     w = rule.window
+    bits = w.bit_length()
+    each = 60 // bits  # counts in a number
+    numbers = [f"n{j}" for j in range(-(-len(rule.members) // each))]
+    place = F.array(*[F.lit(rule.members.find(chr(c)) + 1) for c in range(128)])
     term = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(w + 2)])
     value = lambda n: F.element_at(term, n + 1)
-    start = F.struct(F.array_repeat(F.lit(0), len(rule.members)).alias("n"), F.lit(0.0).alias("sum"),
-                     F.lit(float(w * 10)).alias("least"))
-
-    def step(state, i):
-        into = F.instr(F.lit(rule.members), F.substring(candidate, i, F.lit(1)))
-        gone = F.when(i > w, F.instr(F.lit(rule.members), F.substring(candidate, i - w, F.lit(1)))).otherwise(0)
-        same = into == gone
-        # no index here is ever null: element_at counts as never null, whatever its index
-        a, b = F.element_at(state["n"], into), F.greatest(F.element_at(state["n"], F.greatest(gone, F.lit(1))), F.lit(1))
-        less = F.when(gone > 0, value(b - 1) - value(b)).otherwise(0.0)
-        total = F.when(same, state["sum"]).otherwise(state["sum"] + value(a + 1) - value(a) + less)
-        counts = F.transform(state["n"], lambda n, k: n + F.when(k + 1 == into, 1).otherwise(0)
-                             - F.when(k + 1 == gone, 1).otherwise(0))
-        least = F.when(i >= w, F.least(state["least"], total)).otherwise(state["least"])
-        return F.struct(counts.alias("n"), total.alias("sum"), least.alias("least"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(candidate)), start, step,
-                       lambda state: F.lit(math.log2(w)) - state["least"] / w)
+    start = F.struct(*[F.lit(0).cast("long").alias(n) for n in numbers], F.lit(0.0).alias("sum"), F.lit(float(w * 10)).alias("least"))
+    one = [F.lit(1 << bits * k).cast("long") for k in range(each)]
+    units = F.array(*one)
+
+    def peak(codes):
+        def step(state, i):
+            into = F.element_at(codes, i)
+            gone = F.when(i > w, F.element_at(codes, F.greatest(i - w, F.lit(1)))).otherwise(0)
+            held = F.array(*[state[n] for n in numbers])
+            # no index here is ever null or 0: element_at counts as never null, whatever its index
+            at = lambda c: (F.call_function("div", c - 1, F.lit(each)), (c - 1) % each)
+            (jn, kn), (jg, kg) = at(into), at(F.greatest(gone, F.lit(1)))
+            count = lambda j, k: F.call_function("div", F.element_at(held, j.cast("int") + 1), F.element_at(units, k + 1)) % (1 << bits)
+            a, b = count(jn, kn).cast("int"), F.greatest(count(jg, kg).cast("int"), F.lit(1))
+            same = into == gone
+            less = F.when(gone > 0, value(b - 1) - value(b)).otherwise(0.0)
+            total = F.when(same, state["sum"]).otherwise(state["sum"] + value(a + 1) - value(a) + less)
+            plus, minus = F.element_at(units, kn + 1), F.when(gone > 0, F.element_at(units, kg + 1)).otherwise(0)
+            moved = [(state[n] + F.when(jn == j, plus).otherwise(0) - F.when(jg == j, minus).otherwise(0)).alias(n)
+                     for j, n in enumerate(numbers)]
+            least = F.when(i >= w, F.least(state["least"], total)).otherwise(state["least"])
+            return F.struct(*moved, total.alias("sum"), least.alias("least"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), start, step,
+                           lambda state: F.lit(math.log2(w)) - state["least"] / w)
+
+    codes = F.transform(F.split(candidate, ""), lambda c: F.element_at(place, F.ascii(c) + 1))
+    # an array of one array: the lambda's variable holds the codes, which a step would else make anew
+    return F.element_at(F.transform(F.array(codes), peak), 1)
 
 
 def entropy_spans(text: Column, base: Column, rules: EntropyRules) -> Column:
     """Spans of candidates whose entropy is high, without those on the allow-list or inside a base span."""
     found = []
     for o, rule in enumerate(rules.classes, start=len(KINDS)):
-        allowed = lambda m: F.lit(False)
+        allowed = is_slug if rules.slugs else lambda m: F.lit(False)
         for pattern in rules.allowed:
             allowed = lambda m, p=pattern, rest=allowed: rest(m) | m.rlike(f"^(?:{p})$")
         spans = _found(text, f"[{rule.alphabet}]{{{rule.window},}}",

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm.secrets import EntropyRules, find_secrets, listed, mask_secrets, peak_entropy
+from barloom.llm.secrets import EntropyRules, find_secrets, is_slug, listed, mask_secrets, peak_entropy
 
 KINDS = (
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A),
@@ -75,3 +78,50 @@ def test_masking(spark):
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect())) == [
         (1, "a [SECRET] b", 12, "x"), (2, None, None, "x"), (3, "clean", 5, "x"), (4, "[SECRET]", 8, "x")]
+
+
+def test_slugs(spark):
+    words = ["a-b-c", "a-b", "a1/b2_c3", "-a-b-c", "a-b-c-", "a--b-c", "A-b-c", "abc", "_", "a-b-c-d-e", "a/b/c/"]
+    want = {w: bool(re.fullmatch(r"[a-z0-9]+(?:[-_/][a-z0-9]+){2,}", w)) for w in words}
+    got = spark.createDataFrame([(w,) for w in words], "c string").select("c", is_slug(F.col("c")).alias("s")).collect()
+    assert {r.c: r.s for r in got} == want
+
+
+def test_very_long_candidates(spark):
+    """A megabyte of one slug, and of one random string of high entropy, each a single candidate."""
+    pick = random.Random(2)
+    blob = "".join(pick.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+", k=1 << 20))
+    slug = "a1-" * (1 << 18) + "z"
+    docs = spark.createDataFrame([(1, slug), (2, "x " + blob)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r.s for r in find_secrets(docs).select("doc_id", listed(F.col("spans")).alias("s")).collect()}
+    assert got == {1: "", 2: f"entropy_base64:2:{2 + (1 << 20)}"}
+    assert time.monotonic() - began < 120
+
+
+def plain_entropy(text, rules, base):
+    """Spans of the entropy scan by Python's regular expressions and counters."""
+    out, taken = [], [tuple(map(int, s.split(":")[1:])) for s in base.split(",") if s]
+    for rule in rules.classes:
+        for m in re.finditer(f"[{rule.alphabet}]{{{rule.window},}}", text):
+            fine = any(re.fullmatch(p, m.group()) for p in rules.allowed) or re.fullmatch(r"[a-z0-9]+(?:[-_/][a-z0-9]+){2,}", m.group())
+            if not fine and peak(m.group(), rule.window) >= rule.bits - 1e-12 and not any(s <= m.start() and m.end() <= e for s, e in taken):
+                out.append((m.start(), rule.kind, m.end()))
+    return sorted(f"{k}:{s}:{e}" for s, k, e in out)
+
+
+def test_entropy_spans_of_documents(spark, sf_dir):
+    """All documents, and texts of random candidates, against a plain scan."""
+    pick = random.Random(8)
+    made = [" ".join("".join(pick.choices(pick.choice(["abc", "0123456789ABCDEF", "aBcD19+/_-xYz", string.ascii_letters + "0123456789"]), k=pick.randint(15, 60)))
+                     for _ in range(6)) for _ in range(60)]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(
+        spark.createDataFrame([(-i - 1, t) for i, t in enumerate(made)], "doc_id long, text string"))
+    rows = find_secrets(docs).join(docs, "doc_id").select("text", listed(F.col("spans")).alias("s")).collect()
+    some = 0
+    for r in rows:
+        known = base(r.text or "")
+        want = plain_entropy(r.text or "", EntropyRules(), known)
+        assert sorted(s for s in r.s.split(",") if s.startswith("entropy")) == want
+        some += len(want)
+    assert some > 30
