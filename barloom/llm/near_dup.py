@@ -26,8 +26,10 @@ MANTISSA = 10
 BAND_MANTISSA = 40
 #: Chance at most with which a pair right at the threshold is dropped for its registers, without a look at its texts.
 MISS = 1e-6
-#: Members of a bucket in a block; two blocks are compared in one task.
-BLOCK = 2048
+#: Members and shingles of a group in a block, about; two blocks are compared in one task.
+BLOCK, BLOCK_SHINGLES = 2048, 4 << 20
+#: Bands that a pair must share to be tried first; at the threshold nearly all pairs share more.
+FIRST_BANDS = 3
 
 
 def registers(fingerprints: np.ndarray, bucket_bits: int = BUCKET_BITS, mantissa: int = MANTISSA) -> np.ndarray:
@@ -91,119 +93,133 @@ def may_link(agree: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray,
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, and for texts with words: set_key (digest of the whole set), bands, regs."""
+    """doc_id, n_shingles, and for texts with words: set_key (digest of the whole set) and bands."""
 
     def make():
         def one(text: bytes):
             found = np.unique(text_shingles(text.lower(), width))
             if not len(found):
-                return 0, None, None, None
-            regs = registers(found).astype(np.uint16)
-            return len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(found), regs.tobytes()
+                return 0, None, None
+            return len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(found)
 
         def work(piece: pa.RecordBatch) -> dict:
-            n, keys, bands, regs = zip(*map(one, raw(piece.column("text"))), strict=True)
+            n, keys, bands = zip(*map(one, raw(piece.column("text"))), strict=True)
             return {"doc_id": piece.column("doc_id"), "n_shingles": pa.array(n, pa.int64()),
-                    "set_key": pa.array(keys, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())),
-                    "regs": pa.array(regs, pa.binary())}
+                    "set_key": pa.array(keys, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))}
 
         return work
 
-    return by_piece(docs, make, "doc_id long, n_shingles long, set_key binary, bands array<long>, regs binary")
+    return by_piece(docs, make, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose estimate is not clearly below the threshold."""
-    side = lambda x: sets.select(F.col("rep").alias(x), F.col("regs").alias(f"regs_{x}"),
-                                 F.col("n_shingles").alias(f"n_{x}"))
+class _Set:
+    """A text's shingles as sorted hashes, their registers, and as words once they are asked for."""
 
-    def near(batches):
-        for batch in batches:
-            n = batch.num_rows
-            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(n, REGISTERS)
-                      for c in ("regs_a", "regs_b"))
-            na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            near_enough = may_link(((ra == rb) & (ra > 0)).sum(1), ((ra > 0) | (rb > 0)).sum(1), na, nb, percent)
-            yield batch.filter(pa.array(near_enough)).select(["a", "b"])
+    def __init__(self, text: bytes, width: int):
+        self.text, self.width = text.lower(), width
+        self.hashes = np.unique(text_shingles(self.text, width))
+        self.registers = registers(self.hashes).astype(np.uint16)
+        self._words: set | None = None
+
+    @property
+    def words(self) -> set:
+        if self._words is None:
+            words = self.text.split()
+            self._words = set(zip(*(words[i:] for i in range(self.width)), strict=False)) if len(words) >= self.width else {tuple(words)}
+        return self._words
+
+    def may_link(self, other: _Set, percent: int) -> bool:
+        x, y = self.registers, other.registers
+        n, m = np.array([len(self.hashes)]), np.array([len(other.hashes)])
+        return bool(may_link(((x == y) & (x > 0)).sum(keepdims=True), ((x > 0) | (y > 0)).sum(keepdims=True), n, m, percent)[0])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(near, "a long, b long")
+    def linked(self, other: _Set, percent: int) -> bool:
+        """Whether the full sets are similar enough: first by their estimate, then on the words themselves."""
+        if not self.may_link(other, percent):
+            return False
+        both = len(self.words & other.words)
+        return 100 * both >= percent * (len(self.words) + len(other.words) - both)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs whose full sets of shingles (as words, not hashes) are similar enough."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs (a, b), one for each a, whose full sets of shingles are similar enough. A text of an ``a`` is
+    shuffled once, and one of a ``b`` is not copied before it meets its pairs."""
 
     def check(batches):
-        sets: OrderedDict[bytes, set] = OrderedDict()
+        sets: OrderedDict[bytes, _Set] = OrderedDict()
 
-        def of(text: bytes) -> set:
+        def of(text: bytes) -> _Set:
             key = xxhash.xxh3_128_digest(text)
             if key not in sets:
-                words = text.lower().split()
-                sets[key] = set(zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else {tuple(words)}
+                sets[key] = _Set(text, width)
                 if len(sets) > 8:
                     sets.popitem(last=False)
-            else:
-                sets.move_to_end(key)
+            sets.move_to_end(key)
             return sets[key]
 
         for batch in batches:
-            good = []
-            for x, y in zip(raw(batch.column("text_b")), raw(batch.column("text_a")), strict=True):
-                x, y = of(x), of(y)
-                both = len(x & y)
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good = [of(x).linked(of(y), percent) for x, y in zip(raw(batch.column("text_b")), raw(batch.column("text_a")), strict=True)]
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    side = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(check, "a long, b long")
 
 
-def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets of more than two (others have no pair that was not tried), with their component."""
-    placed = members.where("n > 2").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return placed.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+class _Joined:
+    """Who is already known to belong together, inside one task."""
 
+    def __init__(self, components: np.ndarray):
+        self.label = components.copy()
 
-def _hub_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, b) of every member of a bucket of more than two with the bucket's member of most confirmed links."""
-    degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-    many = members.where("n > 2").select("key", "rep")
-    hubs = many.join(degrees.where("degree > 1"), "rep").groupBy("key").agg(F.max_by("rep", "degree").alias("hub"))
-    pairs = many.join(hubs, "key").where("rep <> hub")
-    return pairs.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    def apart(self, others: np.ndarray, k: int) -> np.ndarray:
+        return others[self.label[others] != self.label[k]]
 
+    def join(self, i: int, k: int) -> None:
+        self.label[self.label == self.label[i]] = self.label[k]
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a > b) of a bucket's members in different components whose estimate is high enough.
 
-    Buckets are cut into blocks of about BLOCK members; a pair of blocks is compared in one task, and only
-    pairs that pass leave it.
+def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a > b) that join members (grp, rep, component, n_shingles, text) of a group that lie in different components.
+
+    A group is cut into blocks by rows and shingles; two blocks meet in one task with their full texts, each once.
+    Members are compared by their registers, those whose estimate is high enough on their sets, and only links that
+    join two components leave the task: a spanning forest, at most one link for a member. Small groups share a task.
     """
-    cut = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("grp").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    cut = members.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-                     "rep", "component", "n_shingles", "regs")
+    # one task's share of the groups of one block: about as many members as a block has
+    all_ = members.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).first()
+    packs = F.lit(max(1, -(-all_.n // BLOCK), -(-(all_.s or 0) // BLOCK_SHINGLES)))
+    pack = F.when(F.col("blocks") > 1, F.col("grp")).otherwise(-1 - F.pmod(F.xxhash64("grp"), packs))
+    cut = cut.select(pack.alias("pack"), "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                     "own", "rep", "component", "text")
 
     def compare(group):
-        rep, comp, n, own = (group[c].to_numpy() for c in ("rep", "component", "n_shingles", "own"))
-        regs = np.frombuffer(b"".join(group.regs), np.uint16).reshape(len(group), REGISTERS)
+        a, b = [], []
         i, j = group["i"].iloc[0], group["j"].iloc[0]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for at, k in enumerate(right):
-            others = left[:at] if i == j else left  # two blocks: each pair across them; one block: each pair once
-            others = others[comp[others] != comp[k]]
-            if not len(others):
-                continue
-            x = regs[others]
-            near = rep[others[may_link(((x == regs[k]) & (regs[k] > 0)).sum(1), ((x > 0) | (regs[k] > 0)).sum(1),
-                                       n[others], n[k], percent)]]
-            a.append(np.maximum(near, rep[k]))
-            b.append(np.minimum(near, rep[k]))
-        return type(group)({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return cut.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        for _, rows in group.groupby("grp"):
+            rep, own = rows["rep"].to_numpy(), rows["own"].to_numpy()
+            sets = [_Set(t.encode(), width) for t in rows["text"]]
+            regs, n = np.stack([x.registers for x in sets]), np.array([len(x.hashes) for x in sets])
+            joined = _Joined(rows["component"].to_numpy())
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            for at, k in enumerate(right):
+                others = joined.apart(left[:at] if i == j else left, k)
+                if not len(others):
+                    continue
+                agree = ((regs[others] == regs[k]) & (regs[k] > 0)).sum(1)
+                used = ((regs[others] > 0) | (regs[k] > 0)).sum(1)
+                near = may_link(agree, used, n[others], n[k], percent)
+                for other in others[near][np.argsort(-agree[near], kind="stable")]:
+                    if joined.label[other] != joined.label[k] and sets[k].linked(sets[other], percent):
+                        joined.join(other, k)
+                        a.append(max(rep[k], rep[other]))
+                        b.append(min(rep[k], rep[other]))
+        return type(group)({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return cut.groupBy("pack", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,33 +232,37 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     before any search, so copies are not paired. A row with a null id takes no part and keeps a null
     component; rows that share an id are judged each by its text. Other columns are left out.
 
-    Search: a bucket of a band links each member to its smallest member if their texts confirm it. That is
-    one link per member, whatever the bucket's size. Members are also tried with the one of most links in their
-    bucket, often the text that the others were made from. Where members of one bucket after this still lie in
-    different components, these are compared with each other, in blocks, so that no link of the bucket is lost.
+    Search: each text is first tried with the smallest member of the buckets that it shares with it most often, one
+    pair for a text. Where members of a bucket then still lie in different components, the texts that such buckets
+    tie together are a group, and the members of a group are compared with each other in blocks, so that no link of
+    a bucket is lost.
     """
     docs = id_text(docs, key, text)
     rows = settle(sketches(docs, width))
-    usable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = settle(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    sets = settle(usable.join(classes.withColumnRenamed("rep", "doc_id"), ["set_key", "doc_id"])
-                  .select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "regs"))
-    bands = sets.select("rep", F.explode("bands").alias("key")).where("key IS NOT NULL")
-    shared = settle(bands.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("most"), F.count("*").alias("n"))
-                    .where("b < most").drop("most"))
+    classes = settle(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    bands = classes.select("rep", F.explode("bands").alias("key")).where("key IS NOT NULL")
+    shared = (bands.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("most"), F.count("*").alias("n"))
+              .where("b < most").drop("most"))
     members = settle(bands.join(shared, "key"))
-    stars = settle(members.where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
-    ids = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = settle(docs.join(classes.select(F.col("rep").alias("doc_id")).join(ids, "doc_id", "left_semi").distinct(), "doc_id"))
-    links = settle(_confirmed(_estimated(stars, sets, percent), texts, width, percent))
-    hubs = _hub_pairs(members, links).join(stars, ["a", "b"], "left_anti")
-    found = settle(components(links.unionByName(_confirmed(_estimated(hubs, sets, percent), texts, width, percent))))
-    placed = settle(_placed(members, found))
-    mixed_keys = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                  .where("lo < hi").select("key"))
-    apart = placed.join(mixed_keys, "key").join(sets.select("rep", "n_shingles", "regs"), "rep")
-    more = settle(_confirmed(_across(apart, percent).join(stars, ["a", "b"], "left_anti"), texts, width, percent))
-    if not more.isEmpty():
+    stars = members.where("rep <> b").groupBy(F.col("rep").alias("a"), "b").agg(F.count("*").alias("c"))
+    primary = settle(stars.groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("b"))).alias("best"))
+                     .where(F.col("best.c") >= FIRST_BANDS).select("a", (-F.col("best.b")).alias("b")))
+    first = settle(_confirmed(primary, _of_ids(docs, primary), width, percent))
+    found = settle(components(first))
+    placed = (members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+              .join(primary.select(F.col("a").alias("rep"), F.col("b").alias("tried")), "rep", "left")
+              .select("key", "rep", "b", F.coalesce("component", "rep").alias("component"),
+                      ((F.col("n") == 2) & F.col("b").eqNullSafe(F.col("tried"))).alias("settled")))
+    mixed_keys = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("settled").alias("settled"))
+                  .where("lo < hi AND NOT settled").select("key"))
+    ties = settle(placed.join(mixed_keys, "key").select("rep", "b", "component").distinct())
+    if not ties.isEmpty():
+        groups = components(ties.select(F.col("rep").alias("a"), "b")).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+        apart = (ties.select("rep", "component").distinct().join(groups, "rep")
+                 .join(classes.select("rep", "n_shingles"), "rep"))
+        own = _of_ids(docs, apart.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+        more = settle(_across(settle(apart.join(own.withColumnRenamed("doc_id", "rep"), "rep")), percent, width))
         joined = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = settle(components(joined.unionByName(more)))
 
@@ -253,6 +273,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
 
 
+def _of_ids(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id and text of the rows that the pairs (a, b) name, repeated rows once."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    named = docs.join(ids, "doc_id", "left_semi").withColumn("digest", F.xxhash64("text"))
+    return named.dropDuplicates(["doc_id", "digest"]).drop("digest")
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` without those that are near duplicates of a document of smaller id."""
     gone = (near_duplicates(docs, width, percent).where("doc_id <> component_id")

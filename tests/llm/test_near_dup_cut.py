@@ -7,8 +7,10 @@ from math import comb
 import numpy as np
 import pytest
 
-from barloom.llm.common import text_shingles
-from barloom.llm.near_dup import MISS, REGISTERS, _least_agreeing, band_keys, may_link, near_duplicates, registers, similarity
+from barloom.llm import near_dup
+from barloom.llm.common import text_shingles, word_hashes
+from barloom.llm.near_dup import MISS, REGISTERS, _across, _least_agreeing, band_keys, may_link, near_duplicates, registers, similarity
+from barloom.llm.substrings import remove_repeats
 
 
 @pytest.mark.parametrize("shared,apart", [(4, 1), (8, 2), (12, 3), (40, 10)])
@@ -56,3 +58,66 @@ def test_short_near_copies_with_collisions_are_linked(spark):
             rows += [(len(rows), long), (len(rows) + 1, short)]
     found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80)
     assert {r.doc_id: r.component_id for r in found.collect()} == {i: i - i % 2 for i, _ in rows}
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word over two letters and its complement; polynomials of both agree modulo 2**64 for any odd base."""
+    ones = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[x] for x in ones), "".join("ba"[x] for x in ones)
+
+
+@pytest.mark.parametrize("n", [32, 512, 1024, 4096])
+def test_words_whose_polynomials_agree_differ(n):
+    a, b = (word_hashes(x.encode())[0] for x in thue_morse(n))
+    assert a != b
+
+
+def test_texts_of_such_words_are_not_taken_for_each_other(spark):
+    a, b = thue_morse(1024)
+    rows = [(1, " ".join([a] * 30)), (2, " ".join([b] * 30)), (3, " ".join([a, b] * 15)), (4, " ".join([b, a] * 15))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, 4, 80).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+    gone = {r.doc_id: r.n_removed for r in remove_repeats(docs, 20).collect()}
+    seen, want = set(), {}
+    for i, text in rows:
+        words, bad = text.split(), set()
+        for at in range(len(words) - 19):
+            window = tuple(words[at:at + 20])
+            if window in seen:
+                bad |= set(range(at, at + 20))
+            seen.add(window)
+        want[i] = len(bad)
+    assert gone == want
+
+
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 40])
+def test_a_group_just_under_the_threshold(spark, monkeypatch, block):
+    """Texts of one template whose pairs lie on both sides of the threshold: no link is lost, and what the blocks
+    hand on is a forest, not the pairs."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    emitted = []
+    monkeypatch.setattr(near_dup, "_across", lambda *a: emitted.append(_across(*a)) or emitted[-1])
+    pick = np.random.default_rng(12)
+    base = [f"w{x}" for x in pick.integers(0, 1 << 30, 150)]
+    texts = []
+    for i in range(240):
+        words = list(base)
+        for at in pick.choice(150, pick.integers(2, 6), replace=False):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 4, 80).collect()}
+    sets = [{tuple(t.split()[i:i + 4]) for i in range(147)} for t in texts]
+    label, near = list(range(240)), 0
+    for a in range(240):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            whole = len(sets[a] | sets[b])
+            near += 65 * whole <= 100 * both < 80 * whole
+            if 100 * both >= 80 * whole and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    assert near > 2000 and 1 < len(set(label)) < 240
+    assert got == dict(enumerate(label))
+    blocks = -(-240 // block)
+    assert 0 < emitted[0].count() <= 240 * blocks
