@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import as_long, by_piece, id_text, mixed, raw, text_shingles
@@ -93,23 +93,25 @@ def may_link(agree: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray,
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, and for texts with words: set_key (digest of the whole set) and bands."""
+    """doc_id, n_shingles, and for texts with words: set_key (digest of the whole set), bands and regs."""
 
     def make():
         def one(text: bytes):
             found = np.unique(text_shingles(text.lower(), width))
             if not len(found):
-                return 0, None, None
-            return len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(found)
+                return 0, None, None, None
+            regs = registers(found).astype(np.uint16)
+            return len(found), xxhash.xxh3_128_digest(found.tobytes()), band_keys(found), regs.tobytes()
 
         def work(piece: pa.RecordBatch) -> dict:
-            n, keys, bands = zip(*map(one, raw(piece.column("text"))), strict=True)
+            n, keys, bands, regs = zip(*map(one, raw(piece.column("text"))), strict=True)
             return {"doc_id": piece.column("doc_id"), "n_shingles": pa.array(n, pa.int64()),
-                    "set_key": pa.array(keys, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))}
+                    "set_key": pa.array(keys, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())),
+                    "regs": pa.array(regs, pa.binary())}
 
         return work
 
-    return by_piece(docs, make, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return by_piece(docs, make, "doc_id long, n_shingles long, set_key binary, bands array<long>, regs binary")
 
 
 class _Set:
@@ -178,48 +180,94 @@ class _Joined:
         self.label[self.label == self.label[i]] = self.label[k]
 
 
-def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links (a > b) that join members (grp, rep, component, n_shingles, text) of a group that lie in different components.
-
-    A group is cut into blocks by rows and shingles; two blocks meet in one task with their full texts, each once.
-    Members are compared by their registers, those whose estimate is high enough on their sets, and only links that
-    join two components leave the task: a spanning forest, at most one link for a member. Small groups share a task.
-    """
+def _dealt(members: DataFrame, *carried: str, weight: Column) -> DataFrame:
+    """Members of groups (``grp``) cut into blocks by rows and ``weight``, each row once for every two blocks that
+    have it. Groups of one block share tasks, so that a task has about as many members as a block."""
     sizes = members.groupBy("grp").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(weight) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     cut = members.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # one task's share of the groups of one block: about as many members as a block has
-    all_ = members.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).first()
-    packs = F.lit(max(1, -(-all_.n // BLOCK), -(-(all_.s or 0) // BLOCK_SHINGLES)))
-    pack = F.when(F.col("blocks") > 1, F.col("grp")).otherwise(-1 - F.pmod(F.xxhash64("grp"), packs))
-    cut = cut.select(pack.alias("pack"), "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     "own", "rep", "component", "text")
+    total = members.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w")).first()
+    packs = F.lit(max(1, -(-total.n // BLOCK), -(-(total.w or 0) // BLOCK_SHINGLES)))
+    pack = F.when(F.col("blocks") > 1, F.col("grp")).otherwise(F.pmod(F.xxhash64("grp"), packs))
+    return cut.select((F.col("blocks") > 1).alias("cut"), pack.alias("pack"), "grp", F.least("own", "other").alias("i"),
+                      F.greatest("own", "other").alias("j"), "own", "rep", "component", *carried).sortWithinPartitions("grp")
+
+
+def _pairs_of(group):
+    """For each group in a task and each member k of it: (rows of the group, positions to compare k with)."""
+    grp, own, i, j = group["grp"].to_numpy(), group["own"].to_numpy(), group["i"].iloc[0], group["j"].iloc[0]
+    order = np.argsort(grp, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(grp[order])) + 1):
+        left, right = np.flatnonzero(own[rows] == i), np.flatnonzero(own[rows] == j)
+        yield rows, [(k, left[:at] if i == j else left) for at, k in enumerate(right)]
+
+
+def _near(regs: np.ndarray, n: np.ndarray, k: int, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``others`` whose estimate does not rule a link with k out, the most alike first."""
+    agree = ((regs[others] == regs[k]) & (regs[k] > 0)).sum(1)
+    used = ((regs[others] > 0) | (regs[k] > 0)).sum(1)
+    near = may_link(agree, used, n[others], n[k], percent)
+    return others[near][np.argsort(-agree[near], kind="stable")]
+
+
+def _estimated(members: DataFrame, percent: int) -> DataFrame:
+    """What may still be linked, by registers, in each bucket (``grp``) of members in different components: (rep, rep)
+    of each member that has a partner, and component pairs that tie all such components of the bucket together."""
 
     def compare(group):
-        a, b = [], []
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        for _, rows in group.groupby("grp"):
-            rep, own = rows["rep"].to_numpy(), rows["own"].to_numpy()
-            sets = [_Set(t.encode(), width) for t in rows["text"]]
-            regs, n = np.stack([x.registers for x in sets]), np.array([len(x.hashes) for x in sets])
-            joined = _Joined(rows["component"].to_numpy())
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            for at, k in enumerate(right):
-                others = joined.apart(left[:at] if i == j else left, k)
+        rep, comp, n = (group[c].to_numpy() for c in ("rep", "component", "n_shingles"))
+        regs = np.frombuffer(b"".join(group["regs"]), np.uint16).reshape(len(group), REGISTERS)
+        found, a, b = set(), [], []
+        for rows, pairs in _pairs_of(group):
+            own_regs, own_n, own_comp = regs[rows], n[rows], comp[rows]
+            joined = _Joined(own_comp)
+            for k, others in pairs:
+                others = others[own_comp[others] != own_comp[k]]
                 if not len(others):
                     continue
-                agree = ((regs[others] == regs[k]) & (regs[k] > 0)).sum(1)
-                used = ((regs[others] > 0) | (regs[k] > 0)).sum(1)
-                near = may_link(agree, used, n[others], n[k], percent)
-                for other in others[near][np.argsort(-agree[near], kind="stable")]:
+                near = _near(own_regs, own_n, k, others, percent)
+                if len(near):
+                    found.update(rep[rows[near]].tolist(), [int(rep[rows[k]])])
+                for other in joined.apart(near, k):
+                    if joined.label[other] != joined.label[k]:
+                        joined.join(other, k)
+                        a.append(own_comp[k])
+                        b.append(own_comp[other])
+        members_ = np.array(sorted(found), np.int64)
+        return type(group)({"a": np.concatenate([members_, np.array(a, np.int64)]), "b": np.concatenate([members_, np.array(b, np.int64)]),
+                            "member": np.arange(len(members_) + len(a)) < len(members_)})
+
+    return (_dealt(members, "n_shingles", "regs", weight=F.lit(1)).groupBy("cut", "pack", "i", "j")
+            .applyInPandas(compare, "a long, b long, member boolean"))
+
+
+def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a > b) that join members (grp, rep, component, n_shingles, text) of a group that lie in different components.
+
+    Two blocks of a group meet in one task with their full texts. Members are compared by their registers, those whose
+    estimate is high enough on their sets, and only links that join two components leave the task: a spanning forest,
+    at most one link for a member.
+    """
+
+    def compare(group):
+        rep, comp, a, b = group["rep"].to_numpy(), group["component"].to_numpy(), [], []
+        for rows, pairs in _pairs_of(group):
+            sets = [_Set(group["text"].iloc[r].encode(), width) for r in rows]
+            regs, n = np.stack([x.registers for x in sets]), np.array([len(x.hashes) for x in sets])
+            joined = _Joined(comp[rows])
+            for k, others in pairs:
+                others = joined.apart(others, k)
+                for other in _near(regs, n, k, others, percent) if len(others) else ():
                     if joined.label[other] != joined.label[k] and sets[k].linked(sets[other], percent):
                         joined.join(other, k)
-                        a.append(max(rep[k], rep[other]))
-                        b.append(min(rep[k], rep[other]))
+                        x, y = rep[rows[k]], rep[rows[other]]
+                        a.append(max(x, y))
+                        b.append(min(x, y))
         return type(group)({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return cut.groupBy("pack", "i", "j").applyInPandas(compare, "a long, b long")
+    return (_dealt(members, "text", weight=F.col("n_shingles")).groupBy("cut", "pack", "i", "j")
+            .applyInPandas(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,9 +281,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     component; rows that share an id are judged each by its text. Other columns are left out.
 
     Search: each text is first tried with the smallest member of the buckets that it shares with it most often, one
-    pair for a text. Where members of a bucket then still lie in different components, the texts that such buckets
-    tie together are a group, and the members of a group are compared with each other in blocks, so that no link of
-    a bucket is lost.
+    pair for a text. Where members of a bucket then still lie in different components, they are compared by their
+    registers, in blocks. Components that may be linked after that form groups, whose members meet in blocks with their
+    texts, so that no link of a bucket is lost.
     """
     docs = id_text(docs, key, text)
     rows = settle(sketches(docs, width))
@@ -256,13 +304,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
                       ((F.col("n") == 2) & F.col("b").eqNullSafe(F.col("tried"))).alias("settled")))
     mixed_keys = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("settled").alias("settled"))
                   .where("lo < hi AND NOT settled").select("key"))
-    ties = settle(placed.join(mixed_keys, "key").select("rep", "b", "component").distinct())
-    if not ties.isEmpty():
-        groups = components(ties.select(F.col("rep").alias("a"), "b")).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-        apart = (ties.select("rep", "component").distinct().join(groups, "rep")
-                 .join(classes.select("rep", "n_shingles"), "rep"))
-        own = _of_ids(docs, apart.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-        more = settle(_across(settle(apart.join(own.withColumnRenamed("doc_id", "rep"), "rep")), percent, width))
+    apart = placed.join(mixed_keys, "key").select(F.col("key").alias("grp"), "rep", "component")
+    sets = rows.where("n_shingles > 0").join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).select(
+        F.col("doc_id").alias("rep"), "n_shingles", "regs").dropDuplicates(["rep"])
+    likely = settle(_estimated(settle(apart.join(sets, "rep")), percent))
+    if not likely.isEmpty():
+        # groups are tied by components, so that all members of two that may be linked meet
+        groups = components(likely.where("NOT member").select("a", "b")).select(
+            F.col("node").alias("component"), F.col("component").alias("grp"))
+        open_ = (likely.where("member").select(F.col("a").alias("rep")).distinct()
+                 .join(apart.select("rep", "component").distinct(), "rep").join(groups, "component"))
+        texts = _of_ids(docs, open_.select(F.col("rep").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("doc_id", "rep")
+        open_ = settle(open_.join(texts, "rep").join(classes.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep"))
+        more = settle(_across(open_, percent, width))
         joined = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = settle(components(joined.unionByName(more)))
 
