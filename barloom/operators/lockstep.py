@@ -405,15 +405,15 @@ def in_bag(row: np.ndarray, round_: int, share: float, seed: int) -> np.ndarray:
 
 def level_sums(x_bins: np.ndarray, nodes: np.ndarray, r: np.ndarray, h: np.ndarray, level: int) -> np.ndarray:
     """Rows, gradients and second derivatives by (output, node of the level, feature, bin)."""
-    outputs, first, width = r.shape[1], (1 << level) - 1, 1 << level
-    out = np.zeros((3, outputs, width, x_bins.shape[1], BINS + 1))
+    outputs, first, width, features = r.shape[1], (1 << level) - 1, 1 << level, x_bins.shape[1]
+    size = BINS + 1
+    out, offset = np.zeros((3, outputs, width, features, size)), np.arange(features) * size
     for o in range(outputs):
         at = np.flatnonzero(nodes[:, o] >= first)
-        where = (nodes[at, o] - first) * (BINS + 1)
-        for j in range(x_bins.shape[1]):
-            index = where + x_bins[at, j]
-            for c, weight in enumerate((None, r[at, o], h[at, o])):
-                out[c, o, :, j] = np.bincount(index, weight, width * (BINS + 1)).reshape(width, -1)
+        index = ((nodes[at, o] - first)[:, None] * (features * size) + offset + x_bins[at]).ravel()
+        for c, weight in enumerate((None, r[at, o], h[at, o])):
+            spread = None if weight is None else np.repeat(weight, features)
+            out[c, o] = np.bincount(index, spread, width * features * size).reshape(width, features, size)
     return out
 
 
