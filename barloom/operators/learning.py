@@ -1,8 +1,8 @@
 """Walk-forward training on a pooled panel, model comparison and regimes.
 
-All assets of a training window are fitted together, and all windows of a logistic or boosted run in the same jobs
-(``lockstep``); forests are MLlib's, one fit per window. What reaches the driver is bounded by the calendar and the
-schema: the list of periods, scaling statistics and class counts of each, coefficients and trees.
+All assets of a training window are fitted together, and all windows of a run in the same jobs (``lockstep``,
+``forests``). What reaches the driver is the list of periods, scaling statistics and class counts of each, coefficients
+and trees: bounded by the calendar and the schema, but for forests without a depth.
 """
 
 from __future__ import annotations
@@ -16,16 +16,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.forests import fit_forest
 from barloom.operators.lockstep import (
     Panel, Window, day_number, fit_boosting, fit_logistic, quantiles, scored,
 )
-from barloom.session import scratch_path
 
 SEED = 42
 
@@ -42,17 +41,13 @@ class Logistic:
 
 @dataclass(frozen=True)
 class Forest:
-    """Random forest with balanced class weights; no depth means the deepest tree the library grows."""
+    """Random forest, classes weighted by their share of each tree's bag; no depth means no limit."""
 
     trees: int = 200
     depth: int | None = None
     leaf: int = 5
     name: str = "Random Forest"
 
-    def build(self) -> RandomForestClassifier:
-        return RandomForestClassifier(numTrees=self.trees, maxDepth=30 if self.depth is None else self.depth,
-                                      minInstancesPerNode=self.leaf, seed=SEED, weightCol="weight")
-
 
 @dataclass(frozen=True)
 class Boosting:
@@ -233,10 +228,12 @@ def _scorer(fitted: dict, windows: Sequence[Window]) -> Callable:
 def _fitted(panel: Panel, model: Model, moments: dict) -> dict:
     if isinstance(model, Logistic):
         return fit_logistic(panel, model.c, _scales(panel, model.scaler, moments), model.steps)
+    if isinstance(model, Forest):
+        return fit_forest(panel, model.trees, model.depth, model.leaf, SEED)
     return fit_boosting(panel, model.rounds, model.rate, model.depth, model.subsample, SEED)
 
 
-def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, model: Logistic | Boosting) -> DataFrame | None:
+def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, model: Model) -> DataFrame | None:
     """The test rows with y_pred and p_active, or None when there is no training row.
 
     ``p_active`` is the logistic probability of class 1 where the classes are 0 and 1, and missing otherwise.
@@ -260,36 +257,8 @@ def _concurrently(data: DataFrame, jobs: Sequence[Callable], parallelism: int) -
         return list(pool.map(lambda job: job(), [wrap(job) for job in jobs]))
 
 
-def _forest_predictions(data: DataFrame, features: Sequence[str], label: str, model: Forest, splits: Sequence[Split],
-                        windows: Sequence[Window], kept: Sequence[str], period: str, parallelism: int) -> DataFrame:
-    """One MLlib fit per window. The rows of a split are date filters that reach the scan of a stored table; each
-    split's predictions are written as they are made, and the result is one scan of them."""
-    path, by_fold = scratch_path(data.sparkSession, "predictions"), {w.fold: w for w in windows}
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-
-    def job(s: Split):
-        w = by_fold[s.fold]
-        train = data.filter(F.col(period).between(F.lit(s.train_from), F.lit(s.train_to)))
-        test = data.filter(F.col(period).between(F.lit(s.test_from), F.lit(s.test_to)))
-        out = [*kept, F.lit(s.fold).alias("fold"), F.col(label).cast("int").alias("y_true")]
-        if len(w.classes) == 1:
-            done = test.select(*out, F.lit(w.classes[0]).alias("y_pred"))
-        else:
-            by_class = [F.when(F.col(label) == v, F.lit(w.rows / (len(w.classes) * n))) for v, n in zip(w.classes, w.counts, strict=True)]
-            ready = assembler.transform(train).select("features", F.col(label).cast("double").alias("label"), F.coalesce(*by_class).alias("weight"))
-            done = model.build().fit(ready).transform(assembler.transform(test)).select(*out, F.col("prediction").cast("int").alias("y_pred"))
-        done = done.withColumn("p_active", F.lit(float(w.classes[0]) if w.classes in ((0,), (1,)) else None).cast("double"))
-        # a folder for each split: writers of one folder at the same time would clear each other's files
-        done.write.parquet(f"{path}/part{s.fold:05d}")
-        return done.schema
-
-    schemas = _concurrently(data, [lambda s=s: job(s) for s in splits if s.fold in by_fold], parallelism)
-    return data.sparkSession.read.schema(schemas[0]).option("recursiveFileLookup", "true").parquet(path)
-
-
 def compare_models(data: DataFrame, features: Sequence[str], label: str, models: Sequence[Model],
-                   splits: Sequence[Split], keys: Sequence[str] = ("asset",), period: str = "period_end",
-                   parallelism: int = 8) -> DataFrame:
+                   splits: Sequence[Split], keys: Sequence[str] = ("asset",), period: str = "period_end") -> DataFrame:
     """Out-of-sample predictions of every model and split.
 
     Columns: keys, period, model, fold, y_true, y_pred, p_active. ``data`` is scanned several times; settle it first.
@@ -301,18 +270,14 @@ def compare_models(data: DataFrame, features: Sequence[str], label: str, models:
         raise ValueError("no split has training rows")
     trained = {w.fold for w in windows}
     tests = [(s.fold, day_number(s.test_from), day_number(s.test_to)) for s in splits if s.fold in trained]
-    kept, panel, found = [*keys, period], None, []
+    kept, found = [*keys, period], []
+    panel = Panel(data, features, label, windows, sum(s.n for s in stats), keys, period)
+    rows = data.withColumn("y_true", F.col(label).cast("int"))
     for model in models:
-        if isinstance(model, Forest):
-            done = _forest_predictions(data, features, label, model, splits, windows, kept, period, parallelism)
-        else:
-            panel = panel or Panel(data, features, label, windows, sum(s.n for s in stats), keys, period)
-            rows = data.withColumn("y_true", F.col(label).cast("int"))
-            done = scored(rows, features, [*kept, "y_true"], period, tests, _scorer(_fitted(panel, model, moments), windows),
-                          "y_pred int, p_active double")
+        done = scored(rows, features, [*kept, "y_true"], period, tests, _scorer(_fitted(panel, model, moments), windows),
+                      "y_pred int, p_active double")
         found.append(done.select(*kept, F.lit(model.name).alias("model"), "fold", "y_true", "y_pred", "p_active"))
-    if panel:
-        panel.rdd.unpersist()
+    panel.rdd.unpersist()
     return reduce(DataFrame.unionByName, found)
 
 

@@ -128,8 +128,8 @@ def test_published_settings():
     assert [m.name for m in daily_models()] == [m.name for m in monthly_models()] == [m.name for m in weekly_models()]
     lr = logistic(0.5, 500)
     assert (lr.c, lr.steps, lr.scaler) == (0.5, 500, "standard")
-    rf = forest().build()
-    assert rf.getNumTrees() == 200 and rf.getMaxDepth() == 30 and rf.getMinInstancesPerNode() == 5
+    rf = forest()
+    assert (rf.trees, rf.depth, rf.leaf) == (200, None, 5)
     gb = boosting()
     assert (gb.rounds, gb.rate, gb.depth, gb.subsample) == (200, .05, 3, 1.0)
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from barloom.operators import lockstep
-from barloom.operators.learning import Split, boosting, compare_models, logistic
+from barloom.operators.learning import Split, boosting, compare_models, forest, logistic
 from barloom.operators.lockstep import Panel, Window, day_number, fit_boosting, fit_logistic, in_bag, quantiles
 
 FEATURES = ["a", "b", "c"]
@@ -161,8 +161,8 @@ def test_runs_end_to_end(spark):
     span = lambda k, a, b, c, d: Split(k, DAYS[a], DAYS[b], DAYS[c], DAYS[d])
     early = Split(0, dt.date(1990, 1, 1), dt.date(1990, 2, 1), DAYS[0], DAYS[3])
     splits = [early, span(1, 0, 9, 10, 12), span(2, 0, 14, 15, 17), span(3, 0, 27, 28, 29)]
-    got = compare_models(df, FEATURES, "y", [logistic(), boosting(3, 0.1, 2)], splits).collect()
-    for name in ("Logistic Regression", "Gradient Boosting"):
+    got = compare_models(df, FEATURES, "y", [logistic(), boosting(3, 0.1, 2), forest(5, None, 2)], splits).collect()
+    for name in ("Logistic Regression", "Gradient Boosting", "Random Forest"):
         mine = [r for r in got if r.model == name]
         assert {r.y_pred for r in mine if r.fold == 1} == {2}
         assert {r.y_pred for r in mine if r.fold == 2} <= {0, 2}

@@ -18,8 +18,8 @@ WANT = {
     "walkforward_gbt_calendar": (BOOST_CALENDAR, None, 24),
     "perf_crypto_monthly": (BOOST_CALENDAR, None, 24),
     "perf_adaptive_weekly": (BOOST_WEEK, None, 104),
-    "cv_model_comparison": ((200, .05, 3, 1.0), (200, 30, 5), None),
-    "cv_daily_comparison": ((200, .05, 3, 1.0), (200, 30, 5), None),
+    "cv_model_comparison": ((200, .05, 3, 1.0), (200, None, 5), None),
+    "cv_daily_comparison": ((200, .05, 3, 1.0), (200, None, 5), None),
     "cv_weekly_comparison": (BOOST_WEEK, (300, 4, 5), None),
     "cv_rolling_comparison": ((80, .1, 1, .8), (150, 3, 4), 60),
 }
@@ -33,7 +33,7 @@ class Handed(Exception):
 def handed(monkeypatch):
     """Runs a query up to its training and returns what training would have got."""
 
-    def stop(data, features, label, models, splits, keys=("asset",), period="period_end", parallelism=8):
+    def stop(data, features, label, models, splits, keys=("asset",), period="period_end"):
         raise Handed(models, splits, period_list(data, period))
 
     for module in (operators, learning, chains):
@@ -56,8 +56,8 @@ def test_tree_queries_run_the_published_job(spark, handed, name):
     assert (gb.rounds, gb.rate, gb.depth, gb.subsample) == boost
     assert ("Random Forest" in made) == (trees is not None)
     if trees:
-        rf = made["Random Forest"].build()
-        assert (rf.getNumTrees(), rf.getMaxDepth(), rf.getMinInstancesPerNode()) == trees
+        rf = made["Random Forest"]
+        assert (rf.trees, rf.depth, rf.leaf) == trees
     if first is None:
         assert len(splits) == 5
     else:  # each period from the first full window on is tested by a fit of its own
