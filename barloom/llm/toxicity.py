@@ -1,4 +1,8 @@
-"""Toxicity: a factorisation machine over hashed terms, which also weighs pairs of terms in one text."""
+"""Toxicity: a factorisation machine over hashed terms, which also weighs pairs of terms in one text.
+
+The machine sees every term that tells about the label by itself and every term of a pair that tells together, so also
+pairs of terms of which neither tells alone. How many they are follows from the sample.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +17,12 @@ from barloom.llm.labelled import SAMPLE_ROWS, fitted, labelled_sample, scored, s
 BINS = 1 << 20
 #: Bytes of a word's beginning that make a term of their own, for words that are built from a stem.
 STEM_BYTES = 4
-#: Terms that the model keeps at most, and the chi-square that a term must reach to be kept.
-KEPT, LEAST = 2048, 15.0
+#: Chi-square from which a term tells by itself, and how much more than the largest of that many by chance a pair needs.
+LEAST = 15.0
+#: Pairs are looked at among terms that at least this share of the sample has, and at least this share has not.
+PAIR_SHARE = 0.01
+#: Terms of a block of pairs, and rows that are spread out at once for it.
+PAIR_BLOCK, PAIR_ROWS = 1024, 2048
 FACTORS, EPOCHS, RATE, L2 = 8, 12, 0.1, 1e-4
 
 
@@ -42,21 +50,66 @@ class _Lazy:
         return np.unique(np.concatenate([both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)])).astype(np.int32)
 
 
-def telling(found: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Bins whose presence goes with the label, by chi-square over all rows of the sample."""
-    total, ones = len(labels), labels.sum()
-    if not 0 < ones < total:
-        return np.empty(0, np.int64)
-    have, hits = np.zeros(BINS), np.zeros(BINS)
+def _singles(found: list[np.ndarray], labels: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Bins whose presence goes with the label, by chi-square."""
+    total, ones, hits = len(labels), labels.sum(), np.zeros(BINS)
     for bins, y in zip(found, labels, strict=True):
-        have[bins] += 1
         if y:
             hits[bins] += 1
     want = have * ones / total
     spread = want * (1 - ones / total) * (1 - have / total)
     chi = np.divide((hits - want) ** 2, spread, out=np.zeros(BINS), where=spread > 0)
-    best = np.argsort(-chi, kind="stable")[:KEPT]
-    return np.sort(best[chi[best] >= LEAST])
+    return np.flatnonzero(chi >= LEAST)
+
+
+def _pairs(found: list[np.ndarray], labels: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Bins of pairs that go with the label together, whatever each does alone.
+
+    For every pair the sum over rows of (label - mean) (a - mean) (b - mean), squared over its variance by chance.
+    Pairs for which that variance is less than one row are left alone: nothing can be told from them.
+    """
+    total = len(labels)
+    share = have / total
+    terms_ = np.flatnonzero((share >= PAIR_SHARE) & (share <= 1 - PAIR_SHARE))
+    place, off = np.full(BINS, -1), (labels - labels.mean()).astype(np.float32)
+    place[terms_] = np.arange(len(terms_))
+    own = [(at := place[f])[at >= 0] for f in found]
+    least = LEAST + 4 * np.log(max(len(terms_), 1))
+    var, tell = share[terms_] * (1 - share[terms_]), np.zeros(len(terms_), bool)
+    blocks = range(0, len(terms_), PAIR_BLOCK)
+    for i in blocks:
+        for j in blocks[i // PAIR_BLOCK:]:
+            sums = 0.0
+            for r in range(0, total, PAIR_ROWS):
+                x = [_spread(own[r:r + PAIR_ROWS], first, share[terms_][first:first + PAIR_BLOCK]) for first in (i, j)]
+                sums = sums + (x[0] * off[r:r + PAIR_ROWS, None]).T @ x[1]
+            chance = total * labels.var() * np.outer(var[i:i + PAIR_BLOCK], var[j:j + PAIR_BLOCK])
+            both = (chance >= 1) & (sums**2 >= least * chance)
+            if i == j:
+                np.fill_diagonal(both, False)
+            tell[i:i + PAIR_BLOCK] |= both.any(1)
+            tell[j:j + PAIR_BLOCK] |= both.any(0)
+    return terms_[tell]
+
+
+def _spread(own: list[np.ndarray], first: int, share: np.ndarray) -> np.ndarray:
+    """Presence less its mean, rows by the terms of a block."""
+    x = np.tile(-share.astype(np.float32), (len(own), 1))
+    rows = np.repeat(np.arange(len(own)), [len(at) for at in own])
+    at = np.concatenate(own) - first if own else np.empty(0, np.int64)
+    inside = (at >= 0) & (at < len(share))
+    x[rows[inside], at[inside]] += 1
+    return x
+
+
+def telling(found: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Bins that tell about the label over all rows of the sample: by themselves, or as one of a pair."""
+    if not 0 < labels.sum() < len(labels):
+        return np.empty(0, np.int64)
+    have = np.zeros(BINS)
+    for bins in found:
+        have[bins] += 1
+    return np.union1d(_singles(found, labels, have), _pairs(found, labels, have))
 
 
 def fit(found: list[np.ndarray], labels: np.ndarray) -> bytes:
@@ -108,7 +161,7 @@ def make_score(model: bytes):
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", rows: int = SAMPLE_ROWS) -> bytes:
-    """A model of at most ``KEPT`` terms, learned from at most ``rows`` labelled texts for which ``usable`` holds."""
+    """A model of the terms that tell, alone or in pairs, learned from at most ``rows`` labelled texts for which ``usable`` holds."""
     return fitted(labelled_sample(docs, labels, label, usable, rows), _Lazy(), fit)
 
 
