@@ -1,4 +1,4 @@
-"""Walk-forward training on a pooled panel, model comparison and regimes.
+"""Walk-forward training on a pooled panel and model comparison.
 
 All assets of a training window are fitted together, and all windows of a run in the same jobs (``lockstep``,
 ``forests``). What reaches the driver is the list of periods, scaling statistics and class counts of each, coefficients
@@ -8,16 +8,12 @@ and trees: bounded by the calendar and the schema, but for forests without a dep
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -250,13 +246,6 @@ def fit_predict(train: DataFrame, test: DataFrame, features: Sequence[str], labe
                   "y_pred int, p_active double").drop("fold")
 
 
-def _concurrently(data: DataFrame, jobs: Sequence[Callable], parallelism: int) -> list:
-    """Results of independent driver-side fits in their order, a few of them submitted to the cluster at once."""
-    wrap = inheritable_thread_target(data.sparkSession)
-    with ThreadPoolExecutor(max(1, min(parallelism, len(jobs)))) as pool:
-        return list(pool.map(lambda job: job(), [wrap(job) for job in jobs]))
-
-
 def compare_models(data: DataFrame, features: Sequence[str], label: str, models: Sequence[Model],
                    splits: Sequence[Split], keys: Sequence[str] = ("asset",), period: str = "period_end") -> DataFrame:
     """Out-of-sample predictions of every model and split.
@@ -285,26 +274,3 @@ def walk_forward(data: DataFrame, features: Sequence[str], label: str, model: Mo
                  **options) -> DataFrame:
     """``compare_models`` for a single model."""
     return compare_models(data, features, label, [model], splits, **options).drop("model")
-
-
-# --- regimes --------------------------------------------------------------------------------------------
-
-def cluster_regimes(data: DataFrame, features: Sequence[str], k: int = 3, starts: int = 10,
-                    parallelism: int = 5) -> DataFrame:
-    """K-means regimes on standardised features: best of several seeded starts, clusters numbered by the
-    mean of the first feature so that the numbering does not depend on the start."""
-    stats = data.agg(*[x for c in features for x in (F.avg(c), F.stddev_pop(c))]).first()
-    scale = {c: (stats[2 * i], stats[2 * i + 1] or 1.0) for i, c in enumerate(features)}
-    scaled = data.withColumns({f"_x_{c}": (F.col(c) - F.lit(m)) / F.lit(d) for c, (m, d) in scale.items()})
-    points = VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="features").transform(scaled)
-
-    def start(i: int):
-        fitted = KMeans(k=k, seed=SEED + i, maxIter=100).fit(points.select("features"))
-        return fitted.summary.trainingCost, i, fitted
-
-    fits = _concurrently(data, [lambda i=i: start(i) for i in range(starts)], parallelism)
-    best = min(fits, key=lambda f: f[:2])[2]
-    centers = best.clusterCenters()
-    order = sorted(range(len(centers)), key=lambda j: centers[j][0])
-    renumber = F.create_map(*[F.lit(v) for j, old in enumerate(order) for v in (old, j)])
-    return best.transform(points).withColumn("regime", renumber[F.col("prediction")]).select(*data.columns, "regime")

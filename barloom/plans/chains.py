@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators.indicators import EQUITY_FEATURES
+from barloom.operators.clusters import cluster_regimes
 from barloom.operators.learning import (
-    cluster_regimes, compare_models, daily_models, expanding_splits, kfold_splits, logistic, period_list, weekly_models,
+    compare_models, daily_models, expanding_splits, kfold_splits, logistic, period_list, weekly_models,
 )
 from barloom.operators.resample import last_row, last_valid
 from barloom.operators.strategies import lag_features, target_active_wins, target_not_default

@@ -11,8 +11,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators.indicators import CRYPTO_FEATURES
+from barloom.operators.clusters import cluster_regimes
 from barloom.operators.learning import (
-    boosting, cluster_regimes, compare_models, daily_models, kfold_splits, logistic, monthly_models, period_list,
+    boosting, compare_models, daily_models, kfold_splits, logistic, monthly_models, period_list,
     rolling_splits,
 )
 from barloom.operators.metrics import accuracy, shares

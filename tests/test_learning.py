@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from barloom.functions.frames import PERIODIC
 from barloom.operators.folds import calendar_folds, expanding_folds, kfold_table, rolling_folds
+from barloom.operators.clusters import cluster_regimes
 from barloom.operators.learning import (
-    boosting, calendar_splits, cluster_regimes, expanding_splits, fit_predict, forest, kfold_splits, logistic,
+    boosting, calendar_splits, expanding_splits, fit_predict, forest, kfold_splits, logistic,
     monthly_models, period_list, rolling_splits, walk_forward, weekly_models, daily_models,
 )
 from barloom.session import settle
