@@ -118,7 +118,7 @@ def word_shingles(words: list[bytes], width: int) -> frozenset:
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id",
-                    text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+                    text: str = "text", item_key: str = "item_id", item_text: str = "text", tell_rows: bool = False) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles): items of which at least ``percent`` of the distinct shingles of
     ``width`` words are in the whole document.
 
@@ -126,7 +126,8 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     shingle, its word sequence, and is looked for as such. An item counts as found where a passage of about its
     own length holds that share; one whose shingles are strewn over a long document may be missed. Items or
     documents that are null or empty match nothing; a null item_id is left out, a null doc_id is kept; equal
-    items and repeated rows give a row each. Other columns are left out.
+    items and repeated rows give a row each. Other columns are left out; with ``tell_rows`` a column ``row``
+    follows, the 64-bit hash of the text, which tells rows of one id apart.
 
     The benchmark is small by nature: its texts go to every task after a check of their size. Documents are
     read once, without a shuffle.
@@ -136,12 +137,13 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
         raise ValueError("the benchmark is too large to broadcast; search it in parts")
     listed = [(r[0], r[1]) for r in items.select(items[item_key].cast("long"), items[item_text].cast("string")).collect()]
     shared = docs.sparkSession.sparkContext.broadcast(listed)
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64()),
+                        ("row", pa.int64())])
 
     def search(batches):
         index = Index(shared.value, width, percent)
         for piece in pieces(batches):
-            texts, ids = raw(piece.column("text")), piece.column("doc_id").to_pylist()
+            texts, ids, hashes = raw(piece.column("text")), piece.column("doc_id").to_pylist(), piece.column("row").to_pylist()
             rows: list[tuple] = []
             sets: dict[tuple[int, int], frozenset] = {}
             for at, candidate in index.search(texts) if index.sets else ():
@@ -152,16 +154,20 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
                     sets[at, length] = word_shingles(words, length) if len(words) >= length else frozenset()
                 both = len(wanted & sets[at, length])
                 if 100 * both >= percent * len(wanted):
-                    rows.append((ids[at], item, both, len(wanted)))
+                    rows.append((ids[at], item, both, len(wanted), hashes[at]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)],
                                                  schema=schema)
 
-    return (docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-            .mapInArrow(search, "doc_id long, item_id long, n_shared long, n_shingles long"))
+    found = (docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+             .withColumn("row", F.xxhash64("text"))
+             .mapInArrow(search, "doc_id long, item_id long, n_shared long, n_shingles long, row long"))
+    return found if tell_rows else found.drop("row")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` in which no item is found; columns as they were. Rows with a null id stay."""
-    hit = contained_items(docs, items, width, percent).select(F.col("doc_id").alias("id that goes")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == hit["id that goes"], "left_anti")
+    """Rows of ``docs`` in which no item is found, each judged by its own text, whatever its id; columns as they were."""
+    hit = (contained_items(docs, items, width, percent, tell_rows=True)
+           .select(F.col("doc_id").alias("that id"), F.col("row").alias("that text")).distinct())
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["that id"])
+                     & (F.xxhash64(docs["text"].cast("string")) == hit["that text"]), "left_anti")

@@ -93,7 +93,7 @@ def may_link(agree: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray,
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, and for texts with words: set_key (digest of the whole set), bands and regs."""
+    """doc_id, row, n_shingles, and for texts with words: set_key (digest of the whole set), bands and regs."""
 
     def make():
         def one(text: bytes):
@@ -105,13 +105,13 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
         def work(piece: pa.RecordBatch) -> dict:
             n, keys, bands, regs = zip(*map(one, raw(piece.column("text"))), strict=True)
-            return {"doc_id": piece.column("doc_id"), "n_shingles": pa.array(n, pa.int64()),
+            return {"doc_id": piece.column("doc_id"), "row": piece.column("row"), "n_shingles": pa.array(n, pa.int64()),
                     "set_key": pa.array(keys, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())),
                     "regs": pa.array(regs, pa.binary())}
 
         return work
 
-    return by_piece(docs, make, "doc_id long, n_shingles long, set_key binary, bands array<long>, regs binary")
+    return by_piece(docs, make, "doc_id long, row long, n_shingles long, set_key binary, bands array<long>, regs binary")
 
 
 class _Set:
@@ -270,7 +270,8 @@ def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
             .applyInPandas(compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text",
+                    tell_rows: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: the smallest doc_id reachable over links of sets whose
     intersection is at least ``percent`` of their union.
 
@@ -278,7 +279,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     of ``width`` words of the whole text, or its word sequence if that is shorter. Texts without words, null
     ones too, are linked with nothing. Equal sets, repeated rows included, meet as one class by their digest
     before any search, so copies are not paired. A row with a null id takes no part and keeps a null
-    component; rows that share an id are judged each by its text. Other columns are left out.
+    component; rows that share an id are judged each by its text. Other columns are left out; with ``tell_rows`` a
+    column ``row`` follows, the 64-bit hash of the text, which tells rows of one id apart.
 
     Search: each text is first tried with the smallest member of the buckets that it shares with it most often, one
     pair for a text. Where members of a bucket then still lie in different components, they are compared by their
@@ -286,7 +288,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     texts, so that no link of a bucket is lost.
     """
     docs = id_text(docs, key, text)
-    rows = settle(sketches(docs, width))
+    rows = settle(sketches(docs.withColumn("row", F.xxhash64("text")), width))
     classes = settle(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     bands = classes.select("rep", F.explode("bands").alias("key")).where("key IS NOT NULL")
@@ -322,9 +324,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
 
     of_set = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component"))
-    return (rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
+    named = ["row"] if tell_rows else []
+    return (rows.select("doc_id", "n_shingles", "set_key", *named).join(of_set, "set_key", "left")
             .select("doc_id", "n_shingles",
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), *named))
 
 
 def _of_ids(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -335,7 +338,21 @@ def _of_ids(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` without those that are near duplicates of a document of smaller id."""
-    gone = (near_duplicates(docs, width, percent).where("doc_id <> component_id")
-            .select(F.col("doc_id").alias("id that goes")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["id that goes"], "left_anti")
+    """Rows of ``docs`` without those that are near duplicates of a document of smaller id.
+
+    Every row is judged by its own text, also where rows share an id: of rows with equal id and equal text one stays,
+    and a row does not go for another row of its id. Rows with a null id stay. Columns are as they were.
+    """
+    judged = (near_duplicates(docs, width, percent, tell_rows=True).where("component_id IS NOT NULL")
+              .groupBy("doc_id", "row").agg(F.min("component_id").alias("component"), F.count("*").alias("n"),
+                                            F.max("n_shingles").alias("size")))
+    found = settle(judged.where("component <> doc_id OR (n > 1 AND size > 0)")
+                   .select("doc_id", "row", (F.col("component") != F.col("doc_id")).alias("goes")))
+    # the whole row goes as one column, so that its names cannot clash
+    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("row"),
+                        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("whole"))
+    kept = named.join(found, ["doc_id", "row"], "left_anti").select("whole")
+    again = found.where("NOT goes")
+    if not again.isEmpty():
+        kept = kept.union(named.join(again, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("whole"))
+    return kept.select("whole.*")

@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_long, by_piece, id_text, mixed, pieces, raw, rolled, word_hashes
+from barloom.llm.common import by_piece, id_text, mixed, pieces, raw, rolled, word_hashes
 
 #: The sketch: rows of saturating counters 0, 1, "2 or more". Its size is fixed, whatever the input: what is
 #: broadcast is one bit per counter, 16 MB. More windows than counters make it let more through, never less.
@@ -108,66 +109,100 @@ def repeated(bits: list[np.ndarray], low: np.ndarray) -> np.ndarray:
     return found
 
 
+class Windows:
+    """The windows of one text: their words' bytes, and for each the first window of the text with equal words."""
+
+    def __init__(self, text: bytes, width: int):
+        self.words = text.split()
+        self.joined = b" ".join(self.words)
+        ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
+        self.ends = ends[width - 1:]
+        self.begins = np.concatenate([[0], ends[:-1] + 1])[:len(self.ends)]
+
+    def at(self, i: int) -> bytes:
+        return self.joined[self.begins[i]:self.ends[i]]
+
+    def heads(self, hashes: np.ndarray) -> np.ndarray:
+        """First equal window of each; hashes only propose, the bytes decide."""
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        heads = first[which]
+        for i in np.flatnonzero(heads != np.arange(len(heads))).tolist():
+            if self.at(i) != self.at(heads[i]):
+                seen: dict[bytes, int] = {}
+                return np.array([seen.setdefault(self.at(k), k) for k in range(len(heads))])
+        return heads
+
+    def digests(self, at: np.ndarray) -> np.ndarray:
+        """128 bits of each of these windows' bytes as two numbers."""
+        parts = [xxhash.xxh3_128_digest(self.joined[a:b]) for a, b in zip(self.begins[at].tolist(), self.ends[at].tolist(), strict=True)]
+        return np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
+
+
 def remove_repeats(docs: DataFrame, width: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept) per row: the text without words that a repeated window covers.
 
     Words are runs without ASCII white space, unchanged; a window is ``width`` consecutive words of one row,
     and it is repeated if its words also start earlier: in a row of smaller id, or before it in the same row.
     Windows are judged on the input. ``kept`` joins what is left by single blanks. Null, empty and shorter
-    texts lose nothing. Rows that share an id are not earlier than each other; a null id comes after all
-    others. Other columns are left out.
+    texts lose nothing. Rows that share an id are not earlier than each other and judged each by its text; a null
+    id comes after all others. Other columns are left out.
 
-    The sketch of the whole table decides which windows go to the exact pass, which groups them by 95 bits of
-    hash with partial aggregation, so that a passage in a third of all rows arrives as one row per task. The
-    way back is a join that adaptive execution splits where a passage is hot.
+    The sketch of the whole table decides which windows go to the exact pass, which groups them by a digest of
+    128 bits of their bytes with partial aggregation, so that a passage in a third of all rows arrives as one row
+    per task. The way back names windows by their position; its join is one that adaptive execution splits where a
+    passage is hot. Inside a row windows are compared by their bytes.
     """
     docs = id_text(docs, key, text)
     shared = docs.sparkSession.sparkContext.broadcast([b.tobytes() for b in merged_sketch(partial_sketches(docs, width))])
-    ranked = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("place"), "doc_id", "text")
+    # place and row name a text: rows of one id, null ones above all, are told apart by a hash of it
+    ranked = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("place"), F.xxhash64("text").alias("row"), "doc_id", "text")
 
     def candidates(batches):
         bits = [np.frombuffer(b, np.uint8) for b in shared.value]
         for piece in pieces(batches):
-            places, found, checks = [], [], []
-            for place, x in zip(piece.column("place").to_pylist(), raw(piece.column("text")), strict=True):
+            digests, names, begins = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+            for place, row, x in zip(piece.column("place").to_pylist(), piece.column("row").to_pylist(),
+                                     raw(piece.column("text")), strict=True):
                 h = word_hashes(x)
                 if len(h) < width:
                     continue
                 whole, low = windows(h, width)
-                new, at = np.unique(whole, return_index=True)
-                at = at[repeated(bits, low[at])]
-                found.append(whole[at])
-                checks.append((rolled(mixed(h), width)[at] >> np.uint64(33)).astype(np.int32))
-                places.append(np.full(len(at), place, np.int64))
-            if found:
+                may = np.flatnonzero(repeated(bits, low))
+                if not len(may):
+                    continue
+                own = Windows(x, width)
+                at = may[own.heads(whole)[may] == may]
+                digests.append(own.digests(at))
+                names.append(np.tile(np.array([place, row], np.int64), (len(at), 1)))
+                begins.append(at)
+            d, n = np.concatenate(digests), np.concatenate(names)
+            if len(d):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(np.concatenate(found))), pa.array(np.concatenate(checks)),
-                     pa.array(np.concatenate(places))], names=["window", "more", "place"])
+                    [pa.array(np.ascontiguousarray(c)) for c in (d[:, 0], d[:, 1], n[:, 0], n[:, 1])]
+                    + [pa.array(np.concatenate(begins).astype(np.int32))], names=["d1", "d2", "place", "row", "begin"])
 
-    rows = ranked.select("place", "text").mapInArrow(candidates, "window long, more int, place long")
-    first = rows.groupBy("window", "more").agg(F.min("place").alias("first"))
-    later = rows.join(first, ["window", "more"]).where("place > first")
-    gone = later.groupBy("place").agg(F.collect_set("window").alias("gone"))
+    rows = ranked.select("place", "row", "text").mapInArrow(candidates, "d1 long, d2 long, place long, row long, begin int")
+    first = rows.groupBy("d1", "d2").agg(F.min("place").alias("first"))
+    later = rows.join(first, ["d1", "d2"]).where("place > first")
+    gone = later.groupBy("place", "row").agg(F.collect_set("begin").alias("gone"))
 
     def make():
         def one(x: bytes, gone) -> tuple[int, int, bytes]:
-            words = x.split()
-            n = len(words)
+            own = Windows(x, width)
+            n = len(own.words)
             if n < width:
-                return n, 0, b" ".join(words)
-            whole = as_long(rolled(word_hashes(x), width))
-            _, first = np.unique(whole, return_index=True)
-            bad = np.ones(len(whole), bool)
-            bad[first] = False
+                return n, 0, own.joined
+            heads = own.heads(rolled(word_hashes(x), width))
+            bad = heads != np.arange(len(heads))
             if gone is not None:
-                bad |= np.isin(whole, gone)
+                bad[gone] = True
             if not bad.any():
-                return n, 0, b" ".join(words)
+                return n, 0, own.joined
             edge = np.zeros(n + 1, np.int64)
             edge[:len(bad)] += bad
             edge[width:width + len(bad)] -= bad
             covered = np.cumsum(edge[:n]) > 0
-            return n, int(covered.sum()), b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c])
+            return n, int(covered.sum()), b" ".join([w for w, c in zip(own.words, covered.tolist(), strict=True) if not c])
 
         def work(piece: pa.RecordBatch) -> dict:
             lists = piece.column("gone")
@@ -179,5 +214,5 @@ def remove_repeats(docs: DataFrame, width: int = 20, key: str = "doc_id", text:
 
         return work
 
-    return by_piece(ranked.join(gone, "place", "left").select("doc_id", "text", "gone"), make,
+    return by_piece(ranked.join(gone, ["place", "row"], "left").select("doc_id", "text", "gone"), make,
                     "doc_id long, n_words long, n_removed long, kept string")

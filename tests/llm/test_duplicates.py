@@ -11,7 +11,7 @@ import pytest
 from barloom.llm import near_dup, suffixes
 from barloom.llm.graph import components
 from barloom.llm.near_dup import keep_one, near_duplicates, registers, similarity
-from barloom.llm.substrings import remove_repeats
+from barloom.llm.substrings import Windows, remove_repeats
 
 SCHEMA = "doc_id long, text string, kept string, digest int"
 
@@ -167,6 +167,36 @@ def test_chain_of_near_copies(spark, monkeypatch, block):
     assert {r.doc_id for r in kept.collect()} == {i for i, _, c in groups(rows, 4, 80) if i == c}
 
 
+def test_rows_that_share_an_id(spark):
+    pick = random.Random(8)
+    word = lambda: "".join(pick.choice("abcdefgh") for _ in range(7))
+    a, b = (" ".join(word() for _ in range(60)) for _ in range(2))
+    rows = [(1, a, "first", 1), (7, a, "copy", 1), (7, b, "other", 1), (7, b, "other", 1), (9, "", "empty", 1),
+            (9, "", "empty", 1), (None, a, "no id", 1), (None, b, "no id", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `that id` string, goes int").repartition(3)
+    kept = keep_one(df, 5, 80)
+    assert kept.columns == df.columns
+    assert Counter(r["that id"] for r in kept.collect()) == {"first": 1, "other": 1, "empty": 2, "no id": 2}
+
+
+def test_words_of_rows_that_share_an_id(spark):
+    pick = random.Random(9)
+    word = lambda: "".join(pick.choice("abcdefgh") for _ in range(7))
+    a, b, c = (" ".join(word() for _ in range(40)) for _ in range(3))
+    rows = [(1, a, "", 1), (3, f"{b} {a}", "", 1), (3, f"{a} {c}", "", 1), (None, f"{c} {b}", "", 1), (None, f"x {b} {c}", "", 1),
+            (None, c, "", 1), (None, "y " + c, "", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    assert Counter(map(tuple, remove_repeats(df, 20).collect())) == words_without_repeats(rows, 20)
+
+
+def test_windows_are_told_apart_by_their_bytes():
+    own = Windows(b" a b\ta b  aa b ", 2)
+    assert [own.at(i) for i in range(5)] == [b"a b", b"b a", b"a b", b"b aa", b"aa b"]
+    for hashes in (np.zeros(5, np.uint64), np.array([5, 6, 5, 7, 8], np.uint64)):
+        assert own.heads(hashes).tolist() == [0, 1, 0, 3, 4]
+    assert len({tuple(d) for d in own.digests(np.arange(5)).tolist()}) == 4
+
+
 def test_estimates_follow_similarity():
     pick = np.random.default_rng(9)
     for share in (0.5, 0.8, 0.95):

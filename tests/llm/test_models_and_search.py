@@ -86,7 +86,12 @@ def test_items_in_documents(spark):
     assert Counter(map(tuple, contained_items(df, bench).collect())) == want
     left = drop_contaminated(df, bench)
     assert left.columns == df.columns
-    assert {r.doc_id for r in left.collect()} == {d[0] for d in docs} - {w[0] for w in want} | {None}
+    assert {r.doc_id for r in left.collect()} == {d[0] for d in docs} - {w[0] for w in want}
+    # a row of the same id with a clean text stays, rows without an id are judged too
+    dirty = next(d for d in docs if d[0] in {w[0] for w in want} and d[0] is not None)
+    mixed = spark.createDataFrame([dirty, (dirty[0], "nothing of the kind", 2), (None, dirty[1], 3), (None, "clean", 4), (None, None, 5)],
+                                  "doc_id long, text string, item_id int")
+    assert sorted(r.item_id for r in drop_contaminated(mixed, bench).collect()) == [2, 4, 5]
     assert contained_items(df.limit(0), bench).collect() == [] and contained_items(df, bench.limit(0)).collect() == []
 
 
