@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import by_piece, id_text, mixed, pieces, raw, rolled, word_hashes
@@ -19,6 +19,10 @@ CHUNK = 1 << 20
 #: A window is counted by that run of this many of its words whose hash is lowest.
 RUN = 8
 LAST = (1 << 63) - 1
+#: Windows a task holds at a time to settle what it can by itself, 10 MB and four times that while it does so.
+HELD = 1 << 18
+#: A span of windows is begin * RUNS + length.
+RUNS = 1 << 31
 
 
 def windows(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +142,39 @@ class Windows:
         return np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
 
 
+def local_first(found: np.ndarray) -> np.ndarray:
+    """What of (d1, d2, place, row, begin) still has to meet the rest of the table, as (d1, d2, place, row, span).
+
+    A window with a smaller place beside it here is repeated for sure and leaves as part of a run of such windows of
+    its text (span: begin * RUNS + length, dealt by place and row); of the others each one leaves, with length 0.
+    """
+    order = np.lexsort((found[:, 2], found[:, 1], found[:, 0]))
+    d1, d2, place = (found[order, i] for i in range(3))
+    starts = np.flatnonzero(np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])]))
+    least = np.repeat(place[starts], np.diff(np.append(starts, len(order))))
+    sure = np.zeros(len(found), bool)
+    sure[order] = place > least
+    left, runs = found[~sure], found[sure]
+    left[:, 4] *= RUNS
+    if not len(runs):
+        return left
+    # rows are still in the order of the texts and, inside one, of the windows
+    cut = np.concatenate([[True], (runs[1:, 2:4] != runs[:-1, 2:4]).any(1) | (runs[1:, 4] != runs[:-1, 4] + 1)])
+    heads = np.flatnonzero(cut)
+    length = np.diff(np.append(heads, len(runs)))
+    runs = runs[heads]
+    runs[:, :2] = runs[:, 2:4]
+    runs[:, 4] = runs[:, 4] * RUNS + length
+    return np.concatenate([left, runs])
+
+
+def batches_of(rows: np.ndarray):
+    """Arrow batches of moderate size."""
+    for i in range(0, len(rows), 1 << 16):
+        part = rows[i:i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in part.T], names=["d1", "d2", "place", "row", "span"])
+
+
 def remove_repeats(docs: DataFrame, width: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept) per row: the text without words that a repeated window covers.
 
@@ -148,9 +185,10 @@ def remove_repeats(docs: DataFrame, width: int = 20, key: str = "doc_id", text:
     id comes after all others. Other columns are left out.
 
     The sketch of the whole table decides which windows go to the exact pass, which groups them by a digest of
-    128 bits of their bytes with partial aggregation, so that a passage in a third of all rows arrives as one row
-    per task. The way back names windows by their position; its join is one that adaptive execution splits where a
-    passage is hot. Inside a row windows are compared by their bytes.
+    128 bits of their bytes. A task looks at up to ``HELD`` windows at a time and keeps back those that start earlier
+    among these already, so a passage in a third of all rows meets as one row for each of these lots. (Rows that share
+    one id, or have none, cannot be told earlier or later and all meet.) The way back names windows by their
+    position in the text. Inside a row windows are compared by their bytes.
     """
     docs = id_text(docs, key, text)
     shared = docs.sparkSession.sparkContext.broadcast([b.tobytes() for b in merged_sketch(partial_sketches(docs, width))])
@@ -159,8 +197,8 @@ def remove_repeats(docs: DataFrame, width: int = 20, key: str = "doc_id", text:
 
     def candidates(batches):
         bits = [np.frombuffer(b, np.uint8) for b in shared.value]
+        held, size = [], 0
         for piece in pieces(batches):
-            digests, names, begins = [np.empty((0, 2), np.int64)], [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
             for place, row, x in zip(piece.column("place").to_pylist(), piece.column("row").to_pylist(),
                                      raw(piece.column("text")), strict=True):
                 h = word_hashes(x)
@@ -172,19 +210,18 @@ def remove_repeats(docs: DataFrame, width: int = 20, key: str = "doc_id", text:
                     continue
                 own = Windows(x, width)
                 at = may[own.heads(whole)[may] == may]
-                digests.append(own.digests(at))
-                names.append(np.tile(np.array([place, row], np.int64), (len(at), 1)))
-                begins.append(at)
-            d, n = np.concatenate(digests), np.concatenate(names)
-            if len(d):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(c)) for c in (d[:, 0], d[:, 1], n[:, 0], n[:, 1])]
-                    + [pa.array(np.concatenate(begins).astype(np.int32))], names=["d1", "d2", "place", "row", "begin"])
-
-    rows = ranked.select("place", "row", "text").mapInArrow(candidates, "d1 long, d2 long, place long, row long, begin int")
-    first = rows.groupBy("d1", "d2").agg(F.min("place").alias("first"))
-    later = rows.join(first, ["d1", "d2"]).where("place > first")
-    gone = later.groupBy("place", "row").agg(F.collect_set("begin").alias("gone"))
+                held.append(np.column_stack([own.digests(at), np.tile(np.array([place, row], np.int64), (len(at), 1)), at]))
+                size += len(at)
+                if size >= HELD:
+                    yield from batches_of(local_first(np.concatenate(held)))
+                    held, size = [], 0
+        if size:
+            yield from batches_of(local_first(np.concatenate(held)))
+
+    rows = ranked.select("place", "row", "text").mapInArrow(candidates, "d1 long, d2 long, place long, row long, span long")
+    first = F.min("place").over(Window.partitionBy("d1", "d2", F.col("span") % RUNS == 0))
+    gone = (rows.withColumn("first", first).where((F.col("place") > F.col("first")) | (F.col("span") % RUNS != 0))
+            .groupBy("place", "row").agg(F.collect_list("span").alias("gone")))
 
     def make():
         def one(x: bytes, gone) -> tuple[int, int, bytes]:
@@ -195,7 +232,10 @@ def remove_repeats(docs: DataFrame, width: int = 20, key: str = "doc_id", text:
             heads = own.heads(rolled(word_hashes(x), width))
             bad = heads != np.arange(len(heads))
             if gone is not None:
-                bad[gone] = True
+                edge = np.zeros(n + 1, np.int64)
+                np.add.at(edge, gone // RUNS, 1)
+                np.add.at(edge, gone // RUNS + np.maximum(gone % RUNS, 1), -1)
+                bad |= np.cumsum(edge)[:len(bad)] > 0
             if not bad.any():
                 return n, 0, own.joined
             edge = np.zeros(n + 1, np.int64)

@@ -11,7 +11,7 @@ import pytest
 from barloom.llm import near_dup, suffixes
 from barloom.llm.graph import components
 from barloom.llm.near_dup import keep_one, near_duplicates, registers, similarity
-from barloom.llm.substrings import Windows, remove_repeats
+from barloom.llm.substrings import RUNS, Windows, local_first, remove_repeats
 
 SCHEMA = "doc_id long, text string, kept string, digest int"
 
@@ -197,6 +197,19 @@ def test_windows_are_told_apart_by_their_bytes():
     assert len({tuple(d) for d in own.digests(np.arange(5)).tolist()}) == 4
 
 
+@pytest.mark.parametrize("lot", [1, 7, 1000])
+def test_lots_settle_what_they_can(lot):
+    pick = random.Random(lot)
+    found = np.array([(pick.randrange(9), 0, place, place + 50, begin) for place in range(12) for begin in range(6)])
+    parts = [local_first(found[i:i + lot].copy()) for i in range(0, len(found), lot)]
+    sure = {(int(p), int(s) // RUNS + k) for part in parts for _, _, p, _, s in part for k in range(int(s) % RUNS)}
+    left = [(int(d), int(p), int(s) // RUNS) for part in parts for d, _, p, _, s in part if not s % RUNS]
+    least = {d: min(p for e, p, _ in left if e == d) for d, _, _ in left}
+    want = {(p, b) for d, _, p, _, b in found.tolist() if any(e == d and q < p for e, _, q, _, _ in found.tolist())}
+    assert sure | {(p, b) for d, p, b in left if p > least[d]} == want
+    assert lot == 1 or sure
+
+
 def test_estimates_follow_similarity():
     pick = np.random.default_rng(9)
     for share in (0.5, 0.8, 0.95):
