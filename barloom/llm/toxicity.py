@@ -29,6 +29,8 @@ FACTORS, EPOCHS, RATE, L2 = 8, 12, 0.1, 1e-4
 class TermBins(WordHashes):
     """Word to two bins in one number: that of the word and that of its stem."""
 
+    BOUND = 100_000
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
             self.clear()
@@ -40,13 +42,16 @@ class TermBins(WordHashes):
 
 
 class _Lazy:
-    made: TermBins | None = None
+    """Bins of texts; the words seen are kept for one task, as a worker outlives it and lends its memory to others."""
+
+    def __init__(self):
+        self.made: TermBins | None = None
 
     def __call__(self, text: bytes) -> np.ndarray:
         """Distinct bins of a text's words and stems."""
-        if _Lazy.made is None:
-            _Lazy.made = TermBins()
-        both = _Lazy.made.of(list(set(terms(text))))
+        if self.made is None:
+            self.made = TermBins()
+        both = self.made.of(list(set(terms(text))))
         return np.unique(np.concatenate([both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)])).astype(np.int32)
 
 
