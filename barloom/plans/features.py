@@ -9,15 +9,18 @@ from barloom.functions.frames import (
     running_max, zscore,
 )
 from barloom.functions.scalars import excess_ratio
+from barloom.operators.blocks import in_blocks, number_rows
 from barloom.operators.indicators import (
     crypto_features, enrich, equity_features, macro_features,
     monthly_return_features, rolling_drawdown, rsi, up_day_share, widen_quotes,
 )
 from barloom.operators.resample import period_returns
+from barloom.operators.scans import growth_scan, last_scan, max_scan, scan, sum_scan
 from barloom.operators.smoothing import macd
 from barloom.plans import sql_parts as q
 from barloom.plans.market import TICKERS
 from barloom.plans.registry import Shape, query
+from barloom.session import settle
 from barloom.sources.bars import brand_bars, macro_quotes, segment_bars, settled_bars
 
 
@@ -67,6 +70,37 @@ def drawdown_daily(spark, sf_dir):
     })
 
 
+DRAWDOWN_SHAPE = Shape("asset d", r6="drawdown_60d drawdown_all")
+
+
+@query(DRAWDOWN_SHAPE, "bars", f"""
+SELECT asset, d, adj_close / max(adj_close) {q.over(59)} - 1 AS drawdown_60d,
+  adj_close / max(adj_close) {q.over('all')} - 1 AS drawdown_all FROM bars""")
+def drawdown_blocks(spark, sf_dir):
+    """The same distances computed in blocks; the all-time high is carried from block to block."""
+    s = Series()
+    bars = settle(number_rows(settled_bars(spark, sf_dir), s))
+    near = in_blocks(bars, s, 59, lambda df, part: df.withColumn("drawdown_60d", rolling_drawdown("adj_close", 60, part)), 512)
+    tops = scan(near, s, {"top": max_scan("adj_close")}, 512)
+    return tops.withColumn("drawdown_all", excess_ratio("adj_close", "top"))
+
+
+@query(Shape("asset d", r6="equity equity_drawdown last_rise", n="rises"), "eq0", f"""
+SELECT asset, d, equity, equity / max(equity) {q.over('all')} - 1 AS equity_drawdown, last_rise, rises FROM (
+  SELECT asset, d, product(1 + daily_return) {q.over('all')} AS equity,
+    last_value(CASE WHEN daily_return > 0 THEN adj_close END IGNORE NULLS) {q.over('all')} AS last_rise,
+    sum(CASE WHEN daily_return > 0 THEN 1 ELSE 0 END) {q.over('all')} AS rises FROM eq0)""")
+def equity_daily_blocks(spark, sf_dir):
+    """Daily equity, its drawdown, the last close that rose and the number of rises, carried from block to block."""
+    s = Series()
+    bars = number_rows(settled_bars(spark, sf_dir), s)
+    moves = settle(in_blocks(bars, s, 1, lambda df, part: df.withColumn("daily_return", lag_return("adj_close", part)), 512))
+    rose = F.col("daily_return") > 0
+    curves = scan(moves, s, {"equity": growth_scan("daily_return"), "last_rise": last_scan(F.when(rose, F.col("adj_close"))),
+                             "rises": sum_scan(F.when(rose, 1).otherwise(0))}, 512)
+    return scan(curves, s, {"top": max_scan("equity")}, 512).withColumn("equity_drawdown", excess_ratio("equity", "top"))
+
+
 EQUITY_SHAPE = Shape(
     "asset d",
     r6="daily_return rolling_volatility_10d rolling_volatility_20d rolling_volatility_60d price_over_sma20 "
