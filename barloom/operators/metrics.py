@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.frames import PERIODIC, Series, growth, ratio, running_max
 from barloom.functions.scalars import STRATEGIES, infer_choice
+from barloom.operators.quantiles import quantiles
 
 STATS = ("total_return", "annualized_return", "annualized_vol", "sharpe", "max_drawdown")
 
@@ -138,24 +139,31 @@ def classification_report(pred: DataFrame, by: Sequence[str] = (), y: str = "y_t
     return per.select(*by, "label", *scores, "support").unionByName(summary)
 
 
-def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), large: bool = False) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of each column, one row per column.
 
     Exact quartiles keep one counter per distinct value in the aggregation buffer; grouping by asset
-    bounds that by the length of its daily series.
+    bounds that by the length of its daily series. With ``large``, for groups without such a bound, they are
+    found in a few passes over refined histograms instead.
     """
-    quart = {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in columns}
+    points = (0.25, 0.5, 0.75)
     aggs = []
     for c in columns:
         aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"std_{c}"),
-                 F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), quart[c].alias(f"q_{c}")]
+                 F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
+        if not large:
+            aggs.append(F.percentile(c, F.array(*map(F.lit, points))).alias(f"q_{c}"))
     wide = df.groupBy(*by).agg(*aggs)
     rows = [F.struct(
         F.lit(c).alias("field"), F.col(f"n_{c}").alias("count"), F.col(f"mean_{c}").alias("mean"),
-        F.col(f"std_{c}").alias("std"), F.col(f"min_{c}").alias("min"),
-        F.col(f"q_{c}")[0].alias("p25"), F.col(f"q_{c}")[1].alias("p50"), F.col(f"q_{c}")[2].alias("p75"),
-        F.col(f"max_{c}").alias("max")) for c in columns]
-    return wide.select(*by, F.inline(F.array(*rows)))
+        F.col(f"std_{c}").alias("std"), F.col(f"min_{c}").alias("min"), F.col(f"max_{c}").alias("max"),
+        *([] if large else [F.col(f"q_{c}").alias("q")])) for c in columns]
+    tidy = wide.select(*by, F.inline(F.array(*rows)))
+    if large:
+        found = quantiles(df, columns, points, by).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("field").alias("_field"), "q")
+        tidy = tidy.join(found, [tidy[c].eqNullSafe(found[f"_{c}"]) for c in (*by, "field")], "left")
+    return tidy.select(*by, "field", "count", "mean", "std", "min",
+                       *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def cluster_profile(df: DataFrame, features: Sequence[str], cluster: str = "regime") -> DataFrame:

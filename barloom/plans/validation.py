@@ -18,7 +18,7 @@ from barloom.plans import sql_parts as q
 from barloom.plans.choices import last_choice, month_rules, monthly_dataset
 from barloom.plans.backtests import month_dataset, rules_of
 from barloom.plans.registry import Shape, query
-from barloom.sources.bars import segment_bars
+from barloom.sources.bars import segment_bars, table
 from barloom.sources.checks import known_label, unknown_labels
 
 FEATURES = ["ret_1m", "ret_3m", "ret_6m", "vol_3m", "vol_6m"]
@@ -224,6 +224,16 @@ def summary_stats(spark, sf_dir):
     return describe(segment_bars(spark, sf_dir), ["open", "high", "low", "close", "volume"], ["asset"])
 
 
+@query(Shape("l_returnflag field", n="count", r6="min p25 p50 p75 max", r3="mean std"), "", " UNION ALL ".join(
+    f"""SELECT l_returnflag, '{c}' AS field, count({c}) AS "count", avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS "min",
+  quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.75) AS p75, max({c}) AS "max"
+  FROM lineitem GROUP BY l_returnflag""" for c in ("l_extendedprice", "l_quantity", "l_discount")))
+def summary_stats_trades(spark, sf_dir):
+    """The same for raw order lines, in groups of any size: quartiles from refined histograms."""
+    fields = ["l_extendedprice", "l_quantity", "l_discount"]
+    return describe(table(spark, sf_dir, "lineitem").select("l_returnflag", *fields), fields, ["l_returnflag"], large=True)
+
+
 _REGIME = f"WITH v AS (SELECT m.*, avg(vol_3m) {q.over(11, 0, 'period_end')} AS base FROM ml_data m), g AS (SELECT *, CASE WHEN vol_3m > 1.2::DOUBLE * base THEN 2 WHEN vol_3m > 0.8::DOUBLE * base THEN 1 ELSE 0 END AS regime FROM v)"
 
 
