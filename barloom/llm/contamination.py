@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import ODD, mixed, pieces, raw, text_shingles
+from barloom.session import settle
 
 #: Chance that an item that is there is not found, at most.
 MISS = 1e-6
 #: Step from one size partition to the next.
 GROWTH = 1.5
-#: The items' shingles are broadcast; more bytes of text than this are refused and want more than one call.
+#: Items are broadcast in parts of about half this many bytes of text at most, one after the other.
 MAX_ITEM_BYTES = 64 << 20
 
 
@@ -118,7 +121,8 @@ def word_shingles(words: list[bytes], width: int) -> frozenset:
 
 
 def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id",
-                    text: str = "text", item_key: str = "item_id", item_text: str = "text", tell_rows: bool = False) -> DataFrame:
+                    text: str = "text", item_key: str = "item_id", item_text: str = "text", tell_rows: bool = False,
+                    part_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles): items of which at least ``percent`` of the distinct shingles of
     ``width`` words are in the whole document.
 
@@ -129,14 +133,30 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     items and repeated rows give a row each. Other columns are left out; with ``tell_rows`` a column ``row``
     follows, the 64-bit hash of the text, which tells rows of one id apart.
 
-    The benchmark is small by nature: its texts go to every task after a check of their size. Documents are
-    read once, without a shuffle.
+    A benchmark of up to ``part_bytes`` of text goes to every task as one broadcast, and documents are read once,
+    without a shuffle. A larger one is dealt by hash into parts of half that on average; each part is searched
+    in a pass over all documents, its rows are written to the shared folder, and its broadcast ends before the
+    next begins. So neither the driver nor a task holds more than a part (or one item, if that is larger).
     """
-    size = items.agg(F.sum(F.octet_length(items[item_text].cast("string"))).alias("n")).first().n or 0
-    if size > MAX_ITEM_BYTES:
-        raise ValueError("the benchmark is too large to broadcast; search it in parts")
-    listed = [(r[0], r[1]) for r in items.select(items[item_key].cast("long"), items[item_text].cast("string")).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(listed)
+    listed = items.select(items[item_key].cast("long").alias("item"), items[item_text].cast("string").alias("text"))
+    size = listed.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    parts = 1 if size <= part_bytes else -(-2 * size // part_bytes)
+    if parts == 1:
+        found = _search(docs, listed, width, percent, key, text)[0]
+    else:
+        done = []
+        for part in range(parts):
+            rows, shared = _search(docs, listed.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part),
+                                   width, percent, key, text)
+            done.append(settle(rows))
+            shared.destroy()
+        found = reduce(DataFrame.unionByName, done)
+    return found if tell_rows else found.drop("row")
+
+
+def _search(docs: DataFrame, items: DataFrame, width: int, percent: int, key: str, text: str) -> tuple[DataFrame, Broadcast]:
+    """Rows found for items that fit a broadcast, and that broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64()),
                         ("row", pa.int64())])
 
@@ -162,7 +182,7 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = 5, percent:
     found = (docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
              .withColumn("row", F.xxhash64("text"))
              .mapInArrow(search, "doc_id long, item_id long, n_shared long, n_shingles long, row long"))
-    return found if tell_rows else found.drop("row")
+    return found, shared
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -84,6 +84,8 @@ def test_items_in_documents(spark):
             if 100 * both >= 80 * len(wanted):
                 want[d, i, both, len(wanted)] += 1
     assert Counter(map(tuple, contained_items(df, bench).collect())) == want
+    # a benchmark beyond the bound is searched in parts, to the same end; parts without an item do no harm
+    assert Counter(map(tuple, contained_items(df, bench, part_bytes=700).collect())) == want
     left = drop_contaminated(df, bench)
     assert left.columns == df.columns
     assert {r.doc_id for r in left.collect()} == {d[0] for d in docs} - {w[0] for w in want}
