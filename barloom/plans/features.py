@@ -20,8 +20,9 @@ from barloom.operators.smoothing import macd
 from barloom.plans import sql_parts as q
 from barloom.plans.market import TICKERS
 from barloom.plans.registry import Shape, query
-from barloom.session import settle
+from barloom.session import scratch_path, settle
 from barloom.sources.bars import brand_bars, macro_quotes, segment_bars, settled_bars
+from barloom.sources.panels import store_panel
 
 
 @query(Shape("asset d", r6="std10 std60 sum5 mean20 z21 max60"), "eq0", f"""
@@ -120,6 +121,13 @@ def equity_features_blocks(spark, sf_dir):
     return equity_features(settled_bars(spark, sf_dir), block_rows=512)
 
 
+@query(EQUITY_SHAPE, "eq_ready", "eq_ready")
+def equity_features_stored(spark, sf_dir):
+    """The daily equity bundle over bars stored in buckets by asset: the windows need no exchange."""
+    path = scratch_path(spark, "panel")
+    return equity_features(store_panel(segment_bars(spark, sf_dir), path.rsplit("/", 1)[1].replace("-", "_"), path, buckets=8))
+
+
 BRAND_SHAPE = Shape("asset d", r6="daily_return rolling_volatility_20d price_over_sma50 price_over_sma200 mom_60d "
                                   "rsi_14 intraday_range_10d_ma drawdown_60d")
 
