@@ -18,8 +18,10 @@ from barloom.plans import sql_parts as q
 from barloom.plans.choices import last_choice, month_rules, monthly_dataset
 from barloom.plans.backtests import month_dataset, rules_of
 from barloom.plans.registry import Shape, query
+from barloom.session import scratch_path
 from barloom.sources.bars import segment_bars, table
 from barloom.sources.checks import known_label, unknown_labels
+from barloom.sources.files import write_checked
 
 FEATURES = ["ret_1m", "ret_3m", "ret_6m", "vol_3m", "vol_6m"]
 Z = " ".join(f"z_{c}" for c in FEATURES)
@@ -145,6 +147,14 @@ def labels_outside_set(spark, sf_dir):
     return unknown_labels(label_same_period(month_rules(spark, sf_dir)), "best_strategy", (BH, MOM))
 
 
+@query(Shape("asset period_end best_strategy"), "label_same", "label_same")
+def stored_checked_labels(spark, sf_dir):
+    """Labels stored with their checks (rows, dates, allowed values) counted by the job that writes them."""
+    path = scratch_path(spark, "labels")
+    write_checked(label_same_period(month_rules(spark, sf_dir)), path, day_column="period_end", labels={"best_strategy": STRATEGIES})
+    return spark.read.parquet(path)
+
+
 # --- evaluation of the last-winner predictor ------------------------------------------------------------
 
 _CODE = "CASE {c} WHEN 'Buy & Hold' THEN 0 WHEN 'Momentum' THEN 1 WHEN 'Mean Reversion' THEN 2 END"
