@@ -21,12 +21,16 @@ GROWTH = 1.5
 #: Items are broadcast in parts of about half this many bytes of text at most, one after the other.
 MAX_ITEM_BYTES = 64 << 20
 
+#: Shingles that are compared at a time, so that they stay in a core's cache; strides shorter than SHORT lie crosswise.
+CHUNK, SHORT = 1 << 15, 128
+
 
 class Partition:
     """Items whose number of shingles lies in (low, high].
 
     Documents are cut into strides of ``high`` shingles, and a block is two neighbouring strides, so a passage
-    of that many shingles lies whole in some block. An item of which a share t is in a block of 2 * high
+    of that many shingles lies whole in some block. A text with fewer than ``least`` shingles holds the share of no
+    item. ``marks`` tells by the last bits of a MinHash value whether an item may have it. An item of which a share t is in a block of 2 * high
     shingles has a Jaccard similarity of at least t * low / (2 * high + (1 - t) * low) with it, and that is the
     chance that one MinHash value of both agrees; the number of values follows from it.
     """
@@ -39,13 +43,21 @@ class Partition:
         self.seeds = mixed(np.arange(1, self.functions + 1, dtype=np.uint64) * ODD) | np.uint64(1)
         self.values: list[dict[int, list[int]]] = [{} for _ in range(self.functions)]
         self.sorted: list[np.ndarray] = []
+        self.marks: list[np.ndarray] = []
+        self.share, self.least = share, high
 
     def add(self, item: int, fingerprints: np.ndarray) -> None:
+        self.least = min(self.least, math.floor(self.share * len(fingerprints)))
         for table, seed in zip(self.values, self.seeds, strict=True):
             table.setdefault(int((fingerprints * seed).min()), []).append(item)
 
     def close(self) -> None:
         self.sorted = [np.array(sorted(t), np.uint64) for t in self.values]
+        self.least = max(self.least, 1)
+        for keys in self.sorted:
+            marks = np.zeros(min(1 << 16, max(1 << 12, 1 << (32 * len(keys)).bit_length())), bool)
+            marks[(keys & np.uint64(len(marks) - 1)).view(np.int64)] = True
+            self.marks.append(marks)
 
 
 class Index:
@@ -74,43 +86,50 @@ class Index:
     def search(self, texts: list[bytes]) -> list[tuple[int, int]]:
         """(position in ``texts``, position in ``sets``) of candidates.
 
-        All texts lie end to end in one array. Blocks never cross them; one pass of array operations per
-        MinHash function covers all blocks.
+        All texts lie end to end in one array, made once for a width. Blocks never cross them; one pass of array
+        operations per MinHash function covers all blocks.
         """
         found: set[tuple[int, int]] = set()
         lower = [x.lower() for x in texts]
-        for level in sorted(self.partitions):
-            part = self.partitions[level]
-            widths = [self.width, *self.lengths] if level == 0 else [self.width]
-            for width in widths:
-                arrays = [text_shingles(x, width) for x in lower]
-                found |= self._blocks(part, arrays)
+        for width in [self.width, *self.lengths]:
+            arrays = [text_shingles(x, width) for x in lower]
+            for level in sorted(self.partitions) if width == self.width else [0]:
+                found |= self._blocks(self.partitions[level], arrays)
         return sorted(found)
 
     @staticmethod
     def _blocks(part: Partition, arrays: list[np.ndarray]) -> set[tuple[int, int]]:
+        """Candidates of one partition. Every text has two strides at least, and its last one is filled up with its
+        last shingle, which changes no minimum, so strides of one length lie side by side in pieces of CHUNK."""
         sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
-        full = np.flatnonzero(sizes)
+        full = np.flatnonzero(sizes >= part.least)
+        found: set[tuple[int, int]] = set()
         if not len(full):
-            return set()
-        strides = -(-sizes[full] // part.high)
+            return found
+        strides = np.maximum(-(-sizes[full] // part.high), 2)
         owner = np.repeat(full, strides)
-        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        within = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(strides)])[:-1], strides)
-        cuts = begins[owner] + within * part.high
-        h = np.concatenate(arrays)
-        pair = np.flatnonzero(owner[1:] == owner[:-1])
-        alone = np.flatnonzero(np.bincount(owner, minlength=len(arrays))[owner] == 1)
-        heads = np.concatenate([pair, alone])
-        tails = np.concatenate([pair + 1, alone])
-        found: set[tuple[int, int]] = set()
-        for seed, table, keys in zip(part.seeds, part.values, part.sorted, strict=True):
-            low = np.minimum.reduceat(h * seed, cuts)
-            block = np.minimum(low[heads], low[tails])
-            at = np.searchsorted(keys, block)
-            at[at == len(keys)] = 0
-            for i in np.flatnonzero(keys[at] == block).tolist():
-                found.update((int(owner[heads[i]]), item) for item in table[int(block[i])])
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(strides) - strides, strides)
+        ends = np.cumsum(sizes)
+        first, last = (ends - sizes)[owner] + within * part.high, ends[owner] - 1
+        h, offsets, short = np.concatenate(arrays), np.arange(part.high), part.high < SHORT
+        step = max(1, CHUNK // part.high)
+        for begin in range(0, len(owner) - 1, step):
+            here = slice(begin, begin + step + 1)
+            cut = h[np.minimum(first[here, None] + offsets, last[here, None])]
+            if short:
+                cut = np.ascontiguousarray(cut.T)
+            product = np.empty_like(cut)
+            for seed, table, keys, marks in zip(part.seeds, part.values, part.sorted, part.marks, strict=True):
+                low = np.multiply(cut, seed, out=product).min(axis=0 if short else 1)
+                block = np.minimum(low[:-1], low[1:])
+                maybe = np.flatnonzero(marks[(block & np.uint64(len(marks) - 1)).view(np.int64)])
+                if not len(maybe):
+                    continue
+                at = np.searchsorted(keys, block[maybe])
+                at[at == len(keys)] = 0
+                for i in maybe[keys[at] == block[maybe]].tolist():
+                    if owner[begin + i] == owner[begin + i + 1]:
+                        found.update((int(owner[begin + i]), item) for item in table[int(block[i])])
         return found
 
 

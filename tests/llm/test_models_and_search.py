@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 import barloom.llm.queries  # noqa: F401
 import corpus_pipeline
-from barloom.llm import quality, toxicity
+from barloom.llm import contamination, quality, toxicity
 from barloom.llm.catalog import LLM_QUERIES
-from barloom.llm.common import crc_mod
+from barloom.llm.common import crc_mod, text_shingles
 from barloom.llm.contamination import contained_items, drop_contaminated, word_shingles
 from barloom.llm.hnsw import nearest_neighbours
 
@@ -97,6 +97,33 @@ def test_items_in_documents(spark):
     assert contained_items(df.limit(0), bench).collect() == [] and contained_items(df, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("chunk,short", [(1 << 15, 128), (64, 8), (1 << 15, 1), (8, 128)])
+def test_texts_are_cut_into_shingles_once(monkeypatch, chunk, short):
+    """One pass for all sizes of items, and the same items found in pieces of any size and in either layout."""
+    made = []
+    monkeypatch.setattr(contamination, "text_shingles", lambda text, width: made.append(width) or text_shingles(text, width))
+    monkeypatch.setattr(contamination, "CHUNK", chunk)
+    monkeypatch.setattr(contamination, "SHORT", short)
+    pick = random.Random(3)
+    word = lambda: "".join(pick.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 3, 5, 6, 9, 15, 22, 40, 59, 120, 700])]
+    index = contamination.Index(items, 5, 80)
+    texts, want = [], []
+    for i, text in items * 2:
+        words = text.split()
+        for n in (len(words), len(words) - len(words) // 12, len(words) // 2):
+            before, after = ([word() for _ in range(pick.choice([0, 3, 200]))] for _ in range(2))
+            texts.append(" ".join([*before, *words[:n], *after]).encode())
+            wanted = word_shingles(text.encode().split(), 5)
+            size = len(next(iter(wanted)))
+            both = len(wanted & word_shingles(texts[-1].split(), size)) if n + len(before) + len(after) >= size else 0
+            want += [(len(texts) - 1, i)] if 100 * both >= 80 * len(wanted) else []
+    made.clear()
+    found = {(at, index.sets[k][0]) for at, k in index.search([*texts, b"", b"x"])}
+    assert set(want) <= found and len(want) > 30
+    assert len(made) == (len(texts) + 2) * 3  # widths 5, 1 and 3
+
+
 def brute(rows, every, k):
     good = {}
     for i, v, _ in rows:
