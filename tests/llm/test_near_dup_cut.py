@@ -121,3 +121,39 @@ def test_a_group_just_under_the_threshold(spark, monkeypatch, block):
     assert got == dict(enumerate(label))
     blocks = -(-240 // block)
     assert 0 < emitted[0].count() <= 240 * blocks
+
+
+@pytest.mark.parametrize("most", [64, 1 << 25])
+def test_few_rows_pass_the_sieve(spark, monkeypatch, most):
+    """All rows that are among the keys pass, in a large sieve few others; what passes and what does not is the whole."""
+    monkeypatch.setattr(near_dup, "SIEVE_BITS", most)
+    rows = spark.range(20_000).selectExpr("id * 7 as doc_id", "xxhash64(id) as row", "'text' as text")
+    rows = rows.union(spark.sql("SELECT CAST(null AS BIGINT), 5L, 'null'"))
+    for names, keys in ((["doc_id"], rows.where("doc_id % 100 = 0")), (["doc_id", "row"], rows.where("row % 97 = 0"))):
+        sieve = near_dup._sieve(keys, *names)
+        passed, held = sieve(rows, "left_semi"), sieve(rows, "left_anti")
+        assert passed.columns == rows.columns and "Exchange" not in _without_broadcast(passed)
+        assert passed.count() + held.count() == 20_001
+        assert held.join(keys, names, "left_semi").count() == 0
+        assert most == 64 or passed.count() < 0.2 * 20_000
+    nothing = near_dup._sieve(rows.limit(0), "doc_id")
+    assert nothing(rows, "left_semi").count() == 0 and nothing(rows, "left_anti").count() == 20_001
+
+
+def _without_broadcast(df):
+    return df._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+
+
+def test_texts_of_few_rows_are_shuffled(spark, monkeypatch):
+    """Only rows that may be named meet the ids in a shuffle, and the result does not hang on the sieve's size."""
+    docs = spark.createDataFrame([(i if i % 50 else None, f"words of document {i % 190} and {i % 190} more for it {i % 190}", i)
+                                  for i in range(200)], "doc_id long, text string, x int")
+    got = []
+    for most in (64, 1 << 25):
+        monkeypatch.setattr(near_dup, "SIEVE_BITS", most)
+        got.append(sorted(r.x for r in near_dup.keep_one(docs, 4, 80).collect()))
+    judged = {r.doc_id: r.component_id for r in near_duplicates(docs, 4, 80).collect()}
+    assert got[0] == got[1] == [i for i in range(200) if i % 50 == 0 or judged[i] == i]
+    named = near_dup._of_ids(docs.select("doc_id", "text"), docs.limit(1).selectExpr("11L as a", "12L as b"))
+    assert sorted(r.doc_id for r in named.collect()) == [11, 12]
+    assert "getbit" in named._jdf.queryExecution().optimizedPlan().toString()
