@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import copy
 import heapq
 import os
 import re
@@ -16,7 +17,7 @@ from barloom.llm.common import by_piece, id_text
 
 #: A rank file is broadcast; a larger one is refused.
 MAX_RANK_BYTES = 64 << 20
-#: Distinct chunks and pre-tokens whose ids a worker remembers between pieces of text, and the longest of them.
+#: Distinct chunks and pre-tokens whose ids a task remembers between pieces of text, and the longest of them.
 MEMORY, LONGEST = 400_000, 48
 #: From so many pre-tokens on they are merged together.
 MANY = 2_000
@@ -253,19 +254,28 @@ class Codec:
         for memory in (self.chunks, self.known):
             if len(memory) > MEMORY:
                 memory.clear()
-        parts = list(map(cut, texts))
-        missing = list(set().union(*parts).difference(self.chunks)) if parts else []
+        seen: set[str] = set()
+        for text in texts:  # cut again below, as the chunks of all texts at once are many times their size
+            seen.update(cut(text))
+        missing = list(seen.difference(self.chunks))
+        del seen
         split = list(map(self.find, missing))
         self.known.update(self.merge_all(list(set().union(*split).difference(self.known))))
         for c, found in zip(missing, split, strict=True):
             self.chunks[c] = b"".join(map(self.known.__getitem__, found))
-        ids = [b"".join(map(self.chunks.__getitem__, p)) for p in parts]
+        ids = [b"".join(map(self.chunks.__getitem__, cut(text))) for text in texts]
         for memory, new in ((self.chunks, missing), (self.known, {t for found in split for t in found})):
             for key in new:
                 if len(key) > LONGEST:
                     memory.pop(key, None)
         return ids
 
+    def fresh(self) -> Codec:
+        """The same codec that remembers nothing yet."""
+        other = copy.copy(self)
+        other.chunks, other.known = {}, {}
+        return other
+
     def merge_all(self, pre_tokens: list[str]) -> dict[str, bytes]:
         done, rest, raw = {}, [], []
         for t in pre_tokens:
@@ -319,7 +329,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        codec = _codec(shared.value, pattern)
+        codec = _codec(shared.value, pattern).fresh()  # what it remembers goes with the task, as a worker outlives it
 
         def work(piece: pa.RecordBatch) -> dict:
             ids = codec.encode([x or "" for x in piece.column("text").to_pylist()])

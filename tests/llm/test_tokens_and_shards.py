@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import base64
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
 
+from barloom.llm import byte_bpe
 from barloom.llm.byte_bpe import Codec, RankQueue, encode_decode, merge, parse_ranks
 from barloom.llm.sharding import lookup_table, place
 
@@ -88,6 +91,30 @@ def test_rows_of_all_kinds(spark, library):
     assert encode_decode(docs.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
 
 
+def test_a_worker_remembers_nothing_after_its_task(spark, monkeypatch):
+    """The codec stays in the worker for later tasks; ids of chunks and pre-tokens, which take far more memory, do not."""
+    monkeypatch.setattr(byte_bpe, "by_piece", lambda docs, make, schema: make)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    make = encode_decode(docs, PATH, public_tokenizers.PATTERN)
+    piece = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words of a text", "some zzyzx"]})
+    work = make()
+    assert work(piece)["n_tokens"] == work(piece)["n_tokens"]
+    assert [len(c.chunks) + len(c.known) for c in byte_bpe._codecs.values()] == [0]
+    assert make()(piece)["ids"] == work(piece)["ids"]
+
+
+def test_chunks_of_many_texts_are_not_held_at_once(data):
+    texts = [" the word" * 100] * 2000
+    codec = Codec(data, public_tokenizers.PATTERN)
+    tracemalloc.start()
+    try:
+        ids = codec.encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * sum(map(len, ids)) < 3 * 2000 * 801  # 400,000 chunks as strings would be 20 MB
+
+
 def test_table_is_filled_in_turns():
     names = [f"s{i}" for i in range(7)]
     owner = lookup_table(names, 1009)
