@@ -21,6 +21,8 @@ MAX_RANK_BYTES = 64 << 20
 MEMORY, LONGEST = 400_000, 48
 #: From so many pre-tokens on they are merged together.
 MANY = 2_000
+#: Bytes of text that are encoded at a time: less takes less memory, but merges fewer pre-tokens together.
+PIECE_BYTES = 2 << 20
 
 SPACE_RUN = re.compile(r"\s ")
 CHUNK = re.compile(r"(?<=\S)(?= )")
@@ -338,4 +340,4 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "do
 
         return work
 
-    return by_piece(id_text(docs, key, text), make, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return by_piece(id_text(docs, key, text), make, "doc_id long, n_tokens long, ids binary, decoded binary", most=PIECE_BYTES)

@@ -15,6 +15,7 @@ import tiktoken
 
 from barloom.llm import byte_bpe
 from barloom.llm.byte_bpe import Codec, RankQueue, encode_decode, merge, parse_ranks
+from barloom.llm.common import pieces
 from barloom.llm.sharding import lookup_table, place
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -93,7 +94,7 @@ def test_rows_of_all_kinds(spark, library):
 
 def test_a_worker_remembers_nothing_after_its_task(spark, monkeypatch):
     """The codec stays in the worker for later tasks; ids of chunks and pre-tokens, which take far more memory, do not."""
-    monkeypatch.setattr(byte_bpe, "by_piece", lambda docs, make, schema: make)
+    monkeypatch.setattr(byte_bpe, "by_piece", lambda docs, make, schema, **how: make)
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     make = encode_decode(docs, PATH, public_tokenizers.PATTERN)
     piece = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words of a text", "some zzyzx"]})
@@ -115,6 +116,14 @@ def test_chunks_of_many_texts_are_not_held_at_once(data):
     assert peak < 3 * sum(map(len, ids)) < 3 * 2000 * 801  # 400,000 chunks as strings would be 20 MB
 
 
+def test_texts_are_encoded_in_pieces_of_two_megabytes(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(byte_bpe, "by_piece", lambda docs, make, schema, **how: seen.update(how))
+    encode_decode(spark.createDataFrame([(1, "a")], "doc_id long, text string"), PATH, public_tokenizers.PATTERN)
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * (1 << 19)] * 9 + ["y" * (5 << 20), None, ""]})
+    assert [p.num_rows for p in pieces(iter([batch]), **seen)] == [4, 4, 1, 1, 2]
+
+
 def test_table_is_filled_in_turns():
     names = [f"s{i}" for i in range(7)]
     owner = lookup_table(names, 1009)
